@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from ..common import table as t
-from . import topn
+from . import encode, pack, split, topn
 
 QUERIES = {
+    "p2_found": lambda s, d: split.oversized_items(t(s, d, "chunk_items"), t(s, d, "chunk_batches")),
+    "p2_pieces": lambda s, d: split.split_items(t(s, d, "chunk_items"), t(s, d, "chunk_batches")),
     "p5_found": lambda s, d: topn.best_paths(t(s, d, "candidate_paths"), t(s, d, "sinks")).select("path_id"),
     "p5_best": lambda s, d: topn.best_paths(t(s, d, "candidate_paths"), t(s, d, "sinks")).select("entry_id", "category", "path_id"),
+    "p6_ids": lambda s, d: t(s, d, "documents").select("doc_id", encode.token_ids(s, "text").alias("ids")),
+    "p7_found": lambda s, d: pack.oversized(t(s, d, "documents")),
+    "p7_containers": lambda s, d: pack.pack(t(s, d, "documents")),
 }
 
 _P5 = r"""
@@ -20,6 +25,9 @@ r AS (SELECT p.*, k.category, row_number() OVER (PARTITION BY entry_id, k.catego
 """
 
 ORACLES = {
+    "p2_found": """SELECT DISTINCT i.item_id, l.list_name FROM chunk_items i JOIN
+        (SELECT unnest(candidate_chunks) AS n, 'candidate' AS list_name FROM chunk_batches UNION SELECT unnest(stored_chunks), 'stored' FROM chunk_batches) l
+        ON l.n = i.chunk_name WHERE strlen(i.payload) > 8192""",
     "p5_found": _P5 + "SELECT path_id FROM r WHERE place <= 3",
     "p5_best": _P5 + "SELECT entry_id, category, path_id FROM r WHERE place <= 3",
 }
