@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ..common import table as t
-from . import encode, pack, split, topn
+from . import encode, handwritten, pack, split, topn
 
 QUERIES = {
+    "p1_found": lambda s, d: handwritten.classify(t(s, d, "source_files"), t(s, d, "repos")).select("path"),
+    "p1_methods": lambda s, d: handwritten.handwritten(t(s, d, "methods"), handwritten.classify(t(s, d, "source_files"), t(s, d, "repos"))).select("id", "file_path").distinct(),
     "p2_found": lambda s, d: split.oversized_items(t(s, d, "chunk_items"), t(s, d, "chunk_batches")),
     "p2_pieces": lambda s, d: split.split_items(t(s, d, "chunk_items"), t(s, d, "chunk_batches")),
     "p5_found": lambda s, d: topn.best_paths(t(s, d, "candidate_paths"), t(s, d, "sinks")).select("path_id"),
