@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from ..common import table as t
-from . import encode, handwritten, pack, split, topn
+from . import encode, handwritten, pack, split, syntax, topn
 
 QUERIES = {
     "p1_found": lambda s, d: handwritten.classify(t(s, d, "source_files"), t(s, d, "repos")).select("path"),
     "p1_methods": lambda s, d: handwritten.handwritten(t(s, d, "methods"), handwritten.classify(t(s, d, "source_files"), t(s, d, "repos"))).select("id", "file_path").distinct(),
     "p2_found": lambda s, d: split.oversized_items(t(s, d, "chunk_items"), t(s, d, "chunk_batches")),
     "p2_pieces": lambda s, d: split.split_items(t(s, d, "chunk_items"), t(s, d, "chunk_batches")),
+    "p3_found": lambda s, d: syntax.check_files(t(s, d, "source_files")).where("edits > 0").select("path"),
+    "p3_files": lambda s, d: syntax.check_files(t(s, d, "source_files")),
+    "p3_rates": lambda s, d: syntax.invalid_rates(syntax.check_files(t(s, d, "source_files"))),
     "p5_found": lambda s, d: topn.best_paths(t(s, d, "candidate_paths"), t(s, d, "sinks")).select("path_id"),
     "p5_best": lambda s, d: topn.best_paths(t(s, d, "candidate_paths"), t(s, d, "sinks")).select("entry_id", "category", "path_id"),
     "p6_ids": lambda s, d: t(s, d, "documents").select("doc_id", encode.token_ids(s, "text").alias("ids")),
