@@ -54,21 +54,29 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
-    """Keys that hold more than an eighth of an average partition, from (key, count): at most 8 x partitions rows, so safe to broadcast."""
-    least = max(10_000, total // (8 * parts(counts.sparkSession)))
-    return counts.where((F.col("count") > least) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"))
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys of (key, count) that a join has to spread: the most frequent with over 10,000 rows, at most 8 x partitions of them.
+
+    Whatever is not among those holds at most an eighth of an average partition, so the list is bounded and safe to broadcast.
+    None if no key is hot.
+    """
+    n = 8 * parts(counts.sparkSession)
+    top = counts.where((F.col("count") > 10_000) & F.col(key).isNotNull()).orderBy(F.desc("count")).limit(n).select(F.col(key).alias("_hot"))
+    rows = top.collect()
+    return counts.sparkSession.createDataFrame(rows, top.schema) if rows else None
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | str = "find") -> DataFrame:
     """big join small on `key` (how: inner, left or left_semi), where any key may hold a large share of `big` and `small` has few rows a key.
 
-    The rows of hot keys (see hot_keys) are spread over as many salts as there are partitions and their rows of `small` are
-    repeated for each. NULL keys of `big` match nothing; how="left" keeps them.
+    The rows of hot keys are spread over as many salts as there are partitions and their rows of `small` are repeated for each.
+    NULL keys of `big` match nothing; how="left" keeps them. hot: what hot_keys() gave for `big`, if known.
     """
     n = max(2, parts(big.sparkSession))
+    if isinstance(hot, str):
+        hot = hot_keys(big.groupBy(key).count(), key)
     if hot is None:
-        hot = hot_keys(big.groupBy(key).count(), key, big.count())
+        return big.join(small, key, how)
     hot = F.broadcast(hot)
     spread = F.floor(F.rand(7) * n).cast("int")
     left = big.join(hot, big[key] == F.col("_hot"), "left")
