@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..common import table as t
-from . import encode, handwritten, pack, split, syntax, topn
+from . import encode, handwritten, pack, pii, split, syntax, topn
 
 QUERIES = {
     "p1_found": lambda s, d: handwritten.classify(t(s, d, "source_files"), t(s, d, "repos")).select("path"),
@@ -17,6 +17,8 @@ QUERIES = {
     "p5_best": lambda s, d: topn.best_paths(t(s, d, "candidate_paths"), t(s, d, "sinks")).select("entry_id", "category", "path_id"),
     "p6_ids": lambda s, d: t(s, d, "documents").select("doc_id", encode.token_ids(s, "text").alias("ids")),
     "p7_found": lambda s, d: pack.oversized(t(s, d, "documents")),
+    "p8_found": lambda s, d: pii.found(t(s, d, "documents")),
+    "p8_clean": lambda s, d: pii.masked(t(s, d, "documents")),
     "p7_containers": lambda s, d: pack.pack(t(s, d, "documents")),
 }
 

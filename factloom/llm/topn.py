@@ -22,8 +22,7 @@ def cutoffs(rows: DataFrame, n: int) -> DataFrame:
     """rows(g, code), code unique in a group -> (g, cutoff): exactly min(n, size of g) rows have code >= cutoff."""
     kind = rows.schema["code"].dataType
     state = cut(rows.groupBy("g").agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count("*").alias("count")))
-    total = state.agg(F.sum("count")).first()[0] or 0
-    hot = cut(hot_keys(state, "g", total))
+    hot = hot_keys(state, "g")
     closed = state.where(F.col("count") <= n).select("g", F.col("lo").alias("cutoff"))
     state = state.where(F.col("count") > n).select("g", "lo", "hi", F.lit(n).cast("long").alias("need"))
     step = F.ceil((F.col("hi") - F.col("lo") + 1) / FAN) if kind.typeName() == "long" else F.expr(f"cast(ceil((hi - lo + 1) / {FAN}) as decimal(38,0))")
@@ -70,7 +69,7 @@ def top_n(df: DataFrame, group: list[str], score: list[tuple[Column, str]], iden
     rows = cut(keyed.withColumn("code", code).withColumn("g", F.struct(*group)).drop(*names))
     best = cutoffs(rows, n)
     sizes = rows.groupBy("g").count()
-    return skew_join(rows, best, "g", hot=hot_keys(sizes, "g", rows.count())).where("code >= cutoff").select(*df.columns)
+    return skew_join(rows, best, "g", hot=hot_keys(sizes, "g")).where("code >= cutoff").select(*df.columns)
 
 
 def latest_paths(paths: DataFrame) -> DataFrame:
