@@ -133,7 +133,7 @@ def features(text: str, a: int, b: int, kind: str, lex: Lexicon) -> list[str]:
     elif kind == "ADDRESS":
         w = [x.lower().strip(".,") for x in s.split()]
         front = s[0].isdigit()
-        out += [f"A:street {_street(s)}", f"A:{'front' if front else 'back'}", f"A:{w[-1] if front else w[0]}", f"A:{w[-2] if front else w[-2]}", f"A:n{len(w)}", f"A:hyphen{right[:1] == '-'}", f"A:len{max(map(len, re.findall(r'[0-9]+', s)))}"]
+        out += [f"A:street {_street(s)}", f"A:{'front' if front else 'back'}", f"A:{w[-1] if front else w[0]}", f"A:{w[-2] if front else w[-2]}", f"A:n{len(w)}", f"A:hyphen{right[:1] == '-'}", f"A:len{max(map(len, re.findall(r'\d+', s)), default=0)}"]
         if any(re.search(r"[a-z][A-Z]", x) for x in s.split()):
             out.append("A:camel")
     elif kind == "EMAIL":
