@@ -2,15 +2,250 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..common import table as t
+from ..common import trimmed
+from ..functions import text as tx
+from ..operators import classify, graph, report, resolve, taint
 from ..operators import hierarchy as hi
+from ..sources import discover as disc
+from ..sources import java_facts as jf
+from ..sources import scanners
+from ..streaming import events as ev
+from . import pipeline
+
+# ---------------------------------------------------------------- relations that several queries read
+_CALL = r"^(?:([\w$.]+)\.)?([\w$]+)\((.*)\)$"
+
+
+def files(s: SparkSession, d: str) -> DataFrame:
+    return jf.latest_files(t(s, d, "source_files"))
+
+
+def methods(s: SparkSession, d: str) -> DataFrame:
+    """One row an id: the one indexed last, smallest sequence number first."""
+    m = t(s, d, "methods").where("id is not null")
+    best = F.max_by(F.struct("method_seq", "class_name", "method_name", "parameter_count", "parameter_names", "file_path", "start_line", "signature"), F.struct("indexed_at", (-F.col("method_seq")).alias("n"))).alias("r")
+    return m.groupBy("id").agg(best).select("id", "r.*")
+
+
+def sinks(s: SparkSession, d: str) -> DataFrame:
+    """One row an id, with the category in its plain form."""
+    k = t(s, d, "sinks").groupBy("id").agg(F.min("sink_ord").alias("sink_ord"), *[F.max(c).alias(c) for c in ("category", "api", "method_id", "file_path", "line", "code")])
+    return k.withColumn("category", F.upper(trimmed("category")))
+
+
+def edges(s: SparkSession, d: str) -> DataFrame:
+    """Distinct edges with trimmed ends; the latest record of a call counts."""
+    e = t(s, d, "call_edges").select(trimmed("from_id").alias("from_id"), "edge_ord", trimmed("to_id").alias("to_id"), "line", "expression", "resolution")
+    return e.where("from_id <> '' and to_id <> '' and edge_ord is not null").groupBy("from_id", "edge_ord", "to_id").agg(F.min(F.struct("line", "expression", "resolution")).alias("r")).select("from_id", "edge_ord", "to_id", "r.*")
+
+
+def calls(s: SparkSession, d: str) -> DataFrame:
+    """Call sites as call_edges tells them: receiver, method and number of arguments of the expression."""
+    e = edges(s, d).where(F.col("expression").rlike(_CALL))
+    part = lambda i: F.regexp_extract("expression", _CALL, i)
+    arguments = F.when(F.trim(part(3)) == "", F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.split(part(3), ","), F.trim))
+    return e.select(
+        F.col("from_id").alias("method_id"), F.regexp_extract("to_id", "^([^#]*)#", 1).alias("callee_class"), F.regexp_extract("from_id", "^([^#]*)#", 1).alias("class_name"), F.regexp_extract("from_id", r"@(.*):\d+:\d+$", 1).alias("file_path"), F.col("edge_ord").cast("int").alias("call_ord"), part(2).alias("method_name"),
+        part(1).alias("receiver"), F.lit("").alias("receiver_type"), F.size(arguments).alias("argument_count"), F.transform(arguments, lambda a: F.lit("")).alias("argument_types"), arguments.alias("argument_expressions"), "line", "expression",
+    )
+
+
+def paths(s: SparkSession, d: str) -> DataFrame:
+    """The counting row of each candidate path with its sink."""
+    p = t(s, d, "candidate_paths").where("path_id is not null")
+    p = p.groupBy("path_id").agg(F.max(F.struct("recorded_at", "entry_id", "sink_id", "static_confidence", "call_depth", "review_status", "taint_confidence")).alias("r")).select("path_id", "r.*")
+    k = sinks(s, d).select(F.col("id").alias("sink_id"), "category", "file_path", "line")
+    return p.join(k, "sink_id")
+
+
+#: Kinds of vulnerability by sink category.
+KIND = {"COMMAND_EXECUTION": "COMMAND_INJECTION", "NATIVE_DESERIALIZATION": "DESERIALIZATION", "OUTBOUND_HTTP": "SSRF", "XML_PARSE": "XXE", "FILTER_ENTRY": "MISSING_AUTH", "SERVLET_ENTRY": "MISSING_AUTH", "SCRIPT_OR_EXPRESSION_EXECUTION": "SSTI"}
+
+
+def findings(s: SparkSession, d: str) -> DataFrame:
+    """Candidate paths as findings: one a path, at its sink."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv]), F.col("category"))
+    return paths(s, d).where("category <> ''").select(
+        F.col("path_id").alias("ord"), F.col("category").alias("rule_id"), tx.unix_path("file_path").alias("file_path"), F.col("line").alias("start_line"), report.verdict("taint_confidence").alias("verdict"), tx.confidence("static_confidence").alias("confidence"),
+        F.when(F.col("call_depth") <= 1, "CRITICAL").when(F.col("call_depth") <= 4, "HIGH").otherwise("MEDIUM").alias("severity"), F.coalesce("review_status", F.lit("")).alias("discovered_by"), F.coalesce(kind, F.col("category")).alias("vuln_type"),
+    )
+
+
+def sessions(s: SparkSession, d: str) -> DataFrame:
+    """The events table as agent events of one session a user."""
+    e = t(s, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "result").when(F.col("event_type") == "error", "error").otherwise("text")
+    k = F.get_json_object("props", "$.k")
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("type"), k.alias("task_id"), F.concat(F.lit("agent-"), k).alias("agent"), F.when(F.col("value") > 20, "completed").otherwise("stopped").alias("status"), F.col("props").alias("summary"), F.format_string("%.2f", "value").alias("result"))
+
+
+def storage(s: SparkSession, d: str) -> DataFrame:
+    """Reads and writes of stores, with the class of the callee as the receiver's type."""
+    kind, key = classify.storage_sql("method_name", "receiver", "callee_class")
+    return calls(s, d).withColumn("kind", F.expr(kind)).withColumn("storage_key", F.expr(key)).where("kind is not null")
+
+
+def starts(s: SparkSession, d: str) -> DataFrame:
+    """Entry methods: callers that nobody calls."""
+    e = edges(s, d)
+    return e.select(F.col("from_id").alias("method_id")).distinct().join(e.select(F.col("to_id").alias("method_id")), "method_id", "left_anti").withColumn("entry_id", F.col("method_id"))
+
+
+def parsed(s: SparkSession, d: str) -> DataFrame:
+    return jf.parse_files(files(s, d))
+
+
+def _goal_sinks(s, d):
+    return sinks(s, d).where("method_id <> '' and category <> ''")
+
+
+def q_paths(s, d):
+    return graph.candidate_paths(starts(s, d), edges(s, d), _goal_sinks(s, d))
+
+
+def q_write_paths(s, d):
+    a = storage(s, d).where("kind = 'WRITE'").select(F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord")).alias("access_id"), F.struct("method_id", "call_ord").alias("access_ord"), "method_id").distinct()
+    return graph.write_paths(starts(s, d).withColumn("entry_ord", F.col("entry_id")), edges(s, d), a).select("entry_id", "access_id", "call_depth", "correlation", "path")
+
+
+def q_derived(s, d):
+    f = edges(s, d).where(F.col("expression").rlike(r"\(.*[^\s()].*\)"))
+    return graph.derived_sinks(methods(s, d), f, _goal_sinks(s, d))
+
+
+def q_resolve(s, d):
+    none = s.createDataFrame([], "parent string, child string")
+    refs = s.createDataFrame([], "class_name string, name string")
+    return resolve.resolve_calls(calls(s, d), methods(s, d), none, refs)[0].select("from_id", "call_ord", "to_id", "resolution")
+
+
+def q_unresolved(s, d):
+    none = s.createDataFrame([], "parent string, child string")
+    refs = s.createDataFrame([], "class_name string, name string")
+    return resolve.resolve_calls(calls(s, d), methods(s, d), none, refs)[1]
+
+
+def q_bind(s, d):
+    e = t(s, d, "sinks").select("id", "file_path", F.regexp_extract("method_id", r"#([^/]*)/", 1).alias("method_name"), F.col("line").alias("start_line")).distinct().where("method_name <> ''")
+    return resolve.bind_nearest(e, methods(s, d)).select("id", "file_path", "start_line", "method_id", "binding_status")
+
+
+def q_stored(s, d):
+    a = storage(s, d)
+    w = a.where("kind = 'WRITE'").select(F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord")).alias("write_ord"), F.col("method_id").alias("write_entry"), "storage_key", F.lit("").alias("value_type"))
+    r = a.where("kind = 'READ'").join(_goal_sinks(s, d).select("method_id", F.col("id").alias("sink_id")), "method_id")
+    r = r.select(F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord"), "sink_id").alias("read_ord"), F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord")).alias("read_id"), "sink_id", "storage_key", F.lit("").alias("value_type"))
+    return report.stored_flows(w, r).select("write_entry", "read_id", "sink_id", "correlation")
+
+
+def q_surface(s, d):
+    e = paths(s, d).where(trimmed("entry_id") != "").select("entry_id").distinct()
+    p = paths(s, d).where("category <> '' and call_depth >= 0")
+    return report.authorization_surface(e, p)
+
+
+def q_coverage(s, d):
+    p = paths(s, d)
+    one = p.agg(F.count("*").alias("paths"), F.countDistinct("entry_id").alias("entries_with_paths"), F.count_if(F.col("taint_confidence") == "CONFIRMED").alias("confirmed"))
+    return one.select("paths", "entries_with_paths", "confirmed", report.rate(F.col("confirmed"), F.col("paths")).alias("confirmed_rate"))
+
+
+def q_batches(s, d):
+    b = t(s, d, "chunk_batches").dropDuplicates(["batch_id"])
+    n = t(s, d, "chunk_items").select("item_id", "chunk_name").distinct().groupBy("chunk_name").agg(F.count("*").alias("k"))
+    names = b.select("batch_id", F.explode(F.concat(F.coalesce("candidate_chunks", F.expr("array()")), F.coalesce("stored_chunks", F.expr("array()")))).alias("chunk_name"))
+    items = names.join(n, "chunk_name").groupBy("batch_id").agg(F.sum("k").alias("items"))
+    return report.batch_plan(b.join(items, "batch_id", "left").withColumn("items", F.coalesce("items", F.lit(0)).cast("long")), 20)
+
+
+def q_chunks(s, d):
+    i = t(s, d, "chunk_items").select("item_id", "chunk_name", "item_ord", F.octet_length("payload").alias("size")).distinct()
+    return report.chunk_plan(i, "chunk_name", "item_ord", "size")
+
+
+def q_ids(s, d):
+    k = sinks(s, d).where("method_id <> ''")
+    name = F.regexp_extract("method_id", r"^([^#]*)#([^/]*)/", 1), F.regexp_extract("method_id", r"^([^#]*)#([^/]*)/", 2)
+    k = k.select("id", "category", F.array("api").alias("ops"), "code", name[0].alias("cls"), name[1].alias("m"), "file_path")
+    return k.select("id", tx.entry_id("category", "ops", "code", "cls", "m", "file_path").alias("entry_id"), tx.java_hash("code").alias("code_hash"), tx.cache_key("file_path").alias("cache_key"))
+
+
+def q_summaries(s, d):
+    p = parsed(s, d)
+    return taint.summaries(jf.methods(p), jf.calls(p))
+
+
+def q_taint_sinks(s, d):
+    p = parsed(s, d)
+    c, m = jf.calls(p), jf.methods(p)
+    k = pipeline.number_sinks(classify.classify_calls(c).withColumn("code", F.col("expression")))
+    return taint.local_taint_sinks(m, c, k)
+
+
+def q_analysis(s, d):
+    return pipeline.analyze(files(s, d)).candidates.select("entry_id", "sink_id", "path", "call_depth", "static_confidence", "taint_confidence", "source_classification")
+
 
 QUERIES = {
     "p4_found": lambda s, d: hi.cycles(t(s, d, "call_edges")),
     "p4_tree": lambda s, d: hi.hierarchy(t(s, d, "call_edges"), nodes=t(s, d, "methods").select("id")).fillna(-1, ["depth"]),
     "p4_descendants": lambda s, d: hi.descendants(hi.hierarchy(t(s, d, "call_edges"), nodes=t(s, d, "methods").select("id"))),
+    # scans
+    "java_methods": lambda s, d: jf.methods(parsed(s, d)).select("id", "class_name", "method_name", "parameter_count", "file_path", "start_line", "end_line", "signature"),
+    "java_calls": lambda s, d: jf.calls(parsed(s, d)).select("method_id", "call_ord", "method_name", "receiver", "receiver_type", "argument_count", "line"),
+    "java_implementations": lambda s, d: resolve.closure(jf.implementations(parsed(s, d))),
+    "java_diagnostics": lambda s, d: jf.diagnostics(parsed(s, d)),
+    "entry_points": lambda s, d: disc.discover(parsed(s, d)),
+    "interface_inventory": lambda s, d: disc.inventory(disc.discover(parsed(s, d))),
+    "yaml_templates": lambda s, d: scanners.yaml_templates(files(s, d)),
+    "properties_templates": lambda s, d: scanners.properties_templates(files(s, d)),
+    "xml_templates": lambda s, d: scanners.xml_templates(files(s, d).where(F.col("path").endswith(".xml"))),
+    "mapper_statements": lambda s, d: scanners.mapper_statements(files(s, d).where(F.col("path").endswith(".xml"))),
+    "source_hints": lambda s, d: scanners.source_hints(files(s, d)),
+    "tech_profile": lambda s, d: scanners.tech_profile(files(s, d)),
+    # classification
+    "sink_rules": lambda s, d: sinks(s, d).select("id", F.expr(classify.sink_case("regexp_replace(api, '^.*[.]', '')", "api", "''")).alias("found")),
+    "storage_accesses": lambda s, d: storage(s, d).select("method_id", "call_ord", "kind", "storage_key").distinct(),
+    "hunter_sinks": lambda s, d: classify.for_hunters(sinks(s, d)).groupBy("hunter", "category").agg(F.count("*").alias("n")),
+    "local_taint_sinks": q_taint_sinks,
+    "suspicious_calls": lambda s, d: classify.suspicious_calls(jf.calls(p := parsed(s, d)), pipeline.number_sinks(classify.classify_calls(jf.calls(p)).withColumn("code", F.col("expression"))), jf.classes(p)),
+    # joins and graph
+    "resolved_calls": q_resolve,
+    "unresolved_calls": q_unresolved,
+    "nearest_binding": q_bind,
+    "stored_flows": q_stored,
+    "authorization_surface": q_surface,
+    "missing_sinks": lambda s, d: disc.missing_ids(t(s, d, "candidate_paths").where("sink_id is not null").select(F.col("sink_id").alias("id")), t(s, d, "sinks")),
+    "reverse_reach": lambda s, d: graph.reverse_reach(edges(s, d), _goal_sinks(s, d).select("method_id"), 20),
+    "candidate_search": q_paths,
+    "write_paths": q_write_paths,
+    "derived_sinks": q_derived,
+    "distinct_sinks": lambda s, d: graph.dedup_sinks(t(s, d, "sinks")).select("sink_ord", "id", "category", "method_id", "file_path", "line"),
+    "taint_summaries": q_summaries,
+    "analysis": q_analysis,
+    # reports
+    "coverage": q_coverage,
+    "coverage_tables": lambda s, d: report.coverage({n: t(s, d, n) for n in ("source_files", "methods", "sinks", "call_edges", "candidate_paths", "parse_errors")}),
+    "sinks_by_category": lambda s, d: sinks(s, d).groupBy("category").agg(F.count("*").alias("n")),
+    "best_findings": lambda s, d: report.dedup_findings(findings(s, d)).select("ord", "rule_id", "file_path", "start_line", "verdict", "confidence"),
+    "finding_stats": lambda s, d: report.finding_stats(findings(s, d)),
+    "attack_chains": lambda s, d: report.attack_chains(findings(s, d).withColumn("repo", F.substring_index("file_path", "/", 1)), group=["repo"]),
+    "findings_summary": lambda s, d: report.summary(f := findings(s, d), report.dedup_findings(f), report.attack_chains(f)),
+    "candidate_priority": lambda s, d: report.by_priority(paths(s, d)).select("path_id", "static_confidence", F.coalesce("call_depth", F.lit(-1)).alias("call_depth")),
+    "batch_plan": q_batches,
+    "chunk_plan": q_chunks,
+    "entry_ids": q_ids,
+    # streams, over finished logs
+    "last_results": lambda s, d: ev.last_results(sessions(s, d)),
+    "agent_progress": lambda s, d: ev.progress_batch(sessions(s, d)),
+    "retained_events": lambda s, d: report.retained(t(s, d, "events"), "user_id", "event_id", 50).select("user_id", "event_id"),
 }
 
+# ---------------------------------------------------------------- SQL
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _F, _T, _I = (_TRIM.format(x) for x in ("from_id", "to_id", "id"))
 _LINKS = f"WITH RECURSIVE l AS (SELECT {_T} AS child, min({_F}) AS parent FROM call_edges WHERE {_F} <> '' AND {_T} <> '' GROUP BY 1),\n"
@@ -21,6 +256,54 @@ w AS (SELECT id, id AS root, 0 AS depth, [id] AS path FROM n WHERE id NOT IN (SE
       UNION ALL SELECT l.child, w.root, w.depth + 1, list_append(w.path, l.child) FROM w JOIN l ON l.parent = w.id)
 """
 )
+_FILES = "f AS (SELECT path, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, file_id DESC) AS rn FROM source_files WHERE path IS NOT NULL) WHERE rn = 1 AND content IS NOT NULL)"
+_METHODS = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, method_seq) AS rn FROM methods WHERE id IS NOT NULL) WHERE rn = 1)"
+_SINKS = f"k AS (SELECT id, min(sink_ord) AS sink_ord, upper({_TRIM.format('max(category)')}) AS category, max(api) AS api, max(method_id) AS method_id, max(file_path) AS file_path, max(line) AS line, max(code) AS code FROM sinks GROUP BY id)"
+_EDGES = f"""e AS (SELECT f AS from_id, edge_ord, t AS to_id, r.line AS line, r.expression AS expression, r.resolution AS resolution FROM (SELECT {_F} AS f, edge_ord, {_T} AS t,
+    min(struct_pack(line := line, expression := expression, resolution := resolution)) AS r FROM call_edges WHERE {_F} <> '' AND {_T} <> '' AND edge_ord IS NOT NULL GROUP BY 1, 2, 3))"""
+_PART = "regexp_extract(expression, '" + _CALL + "', {})"
+_CALLS = (
+    _EDGES
+    + f""", c AS (SELECT from_id AS method_id, regexp_extract(from_id, '^([^#]*)#', 1) AS class_name, edge_ord AS call_ord, {_PART.format(2)} AS method_name, {_PART.format(1)} AS receiver, regexp_extract(to_id, '^([^#]*)#', 1) AS callee_class, line, expression,
+    CASE WHEN trim({_PART.format(3)}) = '' THEN 0 ELSE len(string_split({_PART.format(3)}, ',')) END AS n FROM e WHERE regexp_matches(expression, '{_CALL}'))"""
+)
+_DUCK = lambda sql: sql.replace("regexp_like(", "regexp_matches(")
+_SKIND, _SKEY = map(_DUCK, classify.storage_sql("method_name", "receiver", "callee_class"))
+_STORE = _CALLS + f", a AS (SELECT *, {_SKIND} AS kind, {_SKEY} AS storage_key FROM c), st AS (SELECT *, method_id || '|' || printf('%05d', call_ord) AS access_id FROM a WHERE kind IS NOT NULL)"
+_GOALS = _SINKS + ", g AS (SELECT method_id, id, category, sink_ord FROM k WHERE method_id <> '' AND category <> '')"
+_UNIX = r"regexp_replace(replace({}, '\', '/'), '^(\./|/)+', '')"
+_PATHS = f"""{_SINKS}, p AS (SELECT r.path_id, r.entry_id, r.sink_id, r.static_confidence, r.call_depth, r.review_status, r.taint_confidence, k.category, k.file_path, k.line FROM (SELECT *, row_number() OVER (PARTITION BY path_id
+    ORDER BY recorded_at DESC, entry_id DESC NULLS LAST, sink_id DESC NULLS LAST, static_confidence DESC NULLS LAST, call_depth DESC NULLS LAST, review_status DESC NULLS LAST, taint_confidence DESC NULLS LAST) AS rn FROM candidate_paths WHERE path_id IS NOT NULL) r JOIN k ON k.id = r.sink_id WHERE rn = 1)"""
+_CONF = "CASE upper(trim(static_confidence)) WHEN 'HIGH' THEN 0.9 WHEN 'MEDIUM' THEN 0.7 WHEN 'LOW' THEN 0.5 ELSE coalesce(TRY_CAST(trim(static_confidence) AS DOUBLE), 0.0) END"
+_VERDICT = "CASE v WHEN '' THEN 'CONFIRM' " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in report._SAME.items()) + " ELSE v END"
+_FINDINGS = f"""{_PATHS}, fi AS (SELECT path_id AS ord, category AS rule_id, {_UNIX.format('file_path')} AS file_path, line AS start_line, {_VERDICT} AS verdict, CAST({_CONF} AS DOUBLE) AS confidence,
+    CASE WHEN call_depth <= 1 THEN 'CRITICAL' WHEN call_depth <= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, coalesce(review_status, '') AS discovered_by,
+    CASE category {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KIND.items())} ELSE category END AS vuln_type FROM (SELECT *, replace(upper(trim(coalesce(taint_confidence, ''))), '-', '_') AS v FROM p WHERE category <> ''))"""
+_RANK = lambda c, r: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in r.items()) + " ELSE 0 END"
+_BEST = f"b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, file_path, start_line ORDER BY {_RANK('verdict', report.VERDICTS)} DESC, confidence DESC, ord) AS rn FROM fi) WHERE rn = 1)"
+_RULES = ", ".join(f"({i}, '{rid}', '{side}', '{alias}', {'true' if ty == 'WEAK_WHITELIST' and alias == 'SSRF' else 'false'}, '{sev}', {conf})" for i, (rid, am, ta, sev, conf) in enumerate(report.CHAIN_RULES) for side, types in (("amplifier", am), ("target", ta)) for ty in types for alias in report.ALIASES.get(ty, [ty]))
+
+
+def _chains(group: str) -> str:
+    pick = lambda side, col: f"arg_max({col}, struct_pack(a := confidence, b := -ord)) FILTER (WHERE side = '{side}')"
+    return f"""ru(rule_ord, chain_id, side, type, weak, chain_severity, base) AS (VALUES {_RULES}),
+ch AS (SELECT {group} AS repo, chain_id, chain_severity AS severity, CAST(base AS DOUBLE) AS confidence, {pick('amplifier', 'file_path')} AS file_path, {pick('amplifier', 'start_line')} AS start_line, {pick('target', 'file_path')} AS target_file, {pick('target', 'start_line')} AS target_line,
+    count(*) FILTER (WHERE side = 'amplifier') AS amplifier_count, count(*) FILTER (WHERE side = 'target') AS target_count, false AS needs_review
+    FROM fi JOIN ru ON upper(fi.vuln_type) = ru.type WHERE NOT weak OR regexp_matches(lower(rule_id), 'weak|whitelist|contains') GROUP BY {group}, rule_ord, chain_id, chain_severity, base),
+cc AS (SELECT * FROM ch WHERE amplifier_count > 0 AND target_count > 0 AND confidence >= 0.6)"""
+
+
+_START = "s AS (SELECT DISTINCT from_id AS id FROM e WHERE from_id NOT IN (SELECT to_id FROM e))"
+_L = "l AS (SELECT from_id, to_id, o.edge_ord AS edge_ord, o.resolution AS resolution FROM (SELECT from_id, to_id, min(struct_pack(edge_ord := edge_ord, resolution := resolution)) AS o FROM e GROUP BY 1, 2))"
+_WALK = """w AS (SELECT id AS entry_id, id AS at, [id] AS path, CAST([] AS INT[]) AS ords, CAST([] AS VARCHAR[]) AS res, 0 AS depth FROM s
+      UNION ALL SELECT w.entry_id, l.to_id, list_append(path, l.to_id), list_append(ords, l.edge_ord), list_append(res, l.resolution), depth + 1 FROM w JOIN l ON l.from_id = w.at WHERE depth < {} AND NOT list_contains(path, l.to_id))"""
+_CERTAIN = "[" + ", ".join(f"'{c}'" for c in graph.CERTAIN) + "]"
+_PATHREGEX = r"^\s*([^#!=:\s][^=:\s]*)\s*[=:]\s*(.*\S)\s*$"
+_LINES = r"ln AS (SELECT path, i AS line_no, string_split_regex(content, '\r\n|\n|\r')[i] AS line FROM (SELECT path, content, unnest(range(1, len(string_split_regex(content, '\r\n|\n|\r')) + 1)) AS i FROM f))"
+_ISCMD = "(" + " OR ".join(f"contains(lower(v), '{w}')" for w in scanners.COMMANDS) + ")"
+_MAP = scanners.MAPPER.replace("[\\s\\S]", "(?s:.)")
+_ENTRY = r"sha256(upper(category) || chr(10) || '[' || api || ']' || chr(10) || code || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 1) || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 2) || chr(10) || " + _UNIX.format("file_path") + ")"
+
 ORACLES = {
     "p4_found": _LINKS
     + """a AS (SELECT child AS id, parent AS up FROM l UNION SELECT a.id, l.parent FROM a JOIN l ON l.child = a.up),
@@ -28,4 +311,70 @@ c AS (SELECT id FROM a WHERE id = up)
 SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP BY a.id""",
     "p4_tree": _TREE + "SELECT n.id, w.root, coalesce(w.depth, -1) AS depth, w.path, w.id IS NULL AS cyclic FROM n LEFT JOIN w ON w.id = n.id",
     "p4_descendants": _TREE + "SELECT x AS id, id AS descendant, CAST(depth - i + 1 AS INT) AS distance FROM (SELECT id, depth, unnest(path) AS x, generate_subscripts(path, 1) AS i FROM w) WHERE i <= depth",
+    "properties_templates": f"""WITH {_FILES}, {_LINES}, kv AS (SELECT path, regexp_extract(line, '{_PATHREGEX}', 1) AS key, regexp_extract(line, '{_PATHREGEX}', 2) AS v FROM ln)
+        SELECT path AS config_file, key, v AS template_value, regexp_extract_all(v, '\\$\\{{([^}}]+)\\}}', 1) AS placeholders FROM kv WHERE key <> '' AND contains(v, '${{') AND {_ISCMD}""",
+    "mapper_statements": f"""WITH {_FILES}, x AS (SELECT path, regexp_extract(content, 'namespace\\s*=\\s*"([^"]+)"', 1) AS ns, regexp_extract_all(content, '{_MAP}', 1) AS ids, regexp_extract_all(content, '{_MAP}', 2) AS bodies FROM f WHERE path LIKE '%.xml'),
+        y AS (SELECT path, ns, i, ids[i] AS id, bodies[i] AS raw, trim(regexp_replace(bodies[i], '\\s+', ' ', 'g')) AS body FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM x WHERE ns <> ''))
+        SELECT path AS file_path, regexp_extract(ns, '([^.]*)$', 1) AS mapper, CAST(i - 1 AS INT) AS ord, id AS statement_id, CASE WHEN length(body) > 200 THEN substr(body, 1, 200) || '...' ELSE body END AS snippet FROM y WHERE contains(raw, '${{')""",
+    "source_hints": f"WITH {_FILES}, {_LINES}, r(rule, p) AS (VALUES {', '.join(f'''('{n}', '{p}')''' for n, p in scanners.HINT_RULES)})"
+    + " SELECT path, CAST(line_no AS INT) AS line_no, rule, substr(trim(line, ' '), 1, 500) AS code FROM ln JOIN r ON regexp_matches(line, p) WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '//')",
+    "tech_profile": f"WITH {_FILES}, r(kind, name, tx) AS (VALUES {', '.join(f'''('{k}', '{n}', '{x}')''' for k, n, x in scanners.TECH)}) SELECT split_part(path, '/', 1) AS repo, kind, name, count(DISTINCT path) AS files FROM f JOIN r ON contains(content, tx) GROUP BY 1, 2, 3",
+    "sink_rules": f"WITH {_SINKS} SELECT id, {_DUCK(classify.sink_case('''regexp_replace(api, '^.*[.]', '')''', 'api', chr(39) * 2))} AS found FROM k",
+    "storage_accesses": f"WITH {_STORE} SELECT DISTINCT method_id, call_ord, kind, storage_key FROM st",
+    "hunter_sinks": f"WITH {_SINKS}, h(hunter, c) AS (VALUES {', '.join(f'''('{h}', '{c}')''' for h, cs in classify.HUNTERS.items() for c in cs)}) SELECT hunter, category, count(*) AS n FROM k JOIN h ON h.c = k.category GROUP BY 1, 2",
+    "resolved_calls": f"""WITH {_CALLS}, {_METHODS}, w AS (
+          SELECT method_id, call_ord, 2 AS pr, class_name AS cls, 'same-class' AS resolution, 0 AS block, method_name, n FROM c WHERE receiver IN ('', 'this', 'super')
+          UNION ALL SELECT method_id, call_ord, 3, regexp_replace(receiver, '^.*[.$]', ''), 'static-class-name', 1, method_name, n FROM c WHERE regexp_matches(receiver, '^[A-Z]')
+          UNION ALL SELECT method_id, call_ord, 4, regexp_replace(upper(receiver[1]) || receiver[2:], '^.*[.$]', ''), 'field-name-type', 2, method_name, n FROM c WHERE regexp_matches(receiver, '^[a-z]') AND receiver NOT IN ('this', 'super')),
+        hit AS (SELECT w.*, m.id AS to_id, struct_pack(a := m.class_name, b := m.file_path, c := m.start_line, d := m.id) AS rk FROM w JOIN m ON m.class_name = w.cls AND m.method_name = w.method_name AND m.parameter_count = w.n),
+        lead AS (SELECT method_id, call_ord, min(block) AS block FROM hit GROUP BY 1, 2), one AS (SELECT method_name, parameter_count AS n, min(id) AS id, count(*) AS k FROM m GROUP BY 1, 2),
+        al AS (SELECT hit.method_id, hit.call_ord, pr, to_id, rk, resolution FROM hit JOIN lead USING (method_id, call_ord, block)
+          UNION ALL SELECT c.method_id, c.call_ord, 6, one.id, struct_pack(a := '', b := '', c := 0, d := one.id), 'unique-method-name-untyped' FROM c JOIN one ON one.method_name = c.method_name AND one.n = c.n AND one.k = 1
+            LEFT JOIN lead ON lead.method_id = c.method_id AND lead.call_ord = c.call_ord WHERE lead.method_id IS NULL AND NOT regexp_matches(c.receiver, '^[A-Z]')),
+        fs AS (SELECT method_id, call_ord, to_id, min(struct_pack(pr := pr, rk := rk, resolution := resolution)) AS r FROM al GROUP BY 1, 2, 3), pl AS (SELECT *, row_number() OVER (PARTITION BY method_id, call_ord ORDER BY r) AS place FROM fs)
+        SELECT method_id AS from_id, call_ord, to_id, r.resolution AS resolution FROM pl WHERE place <= 12""",
+    "nearest_binding": f"""WITH {_METHODS}, en AS (SELECT DISTINCT id, file_path, regexp_extract(method_id, '#([^/]*)/', 1) AS nm, line AS start_line FROM sinks WHERE regexp_extract(method_id, '#([^/]*)/', 1) <> ''),
+        j AS (SELECT en.*, m.id AS mid, row_number() OVER (PARTITION BY en.id, en.file_path, en.start_line, nm ORDER BY abs(m.start_line - en.start_line), m.method_seq) AS rn FROM en LEFT JOIN m ON {_UNIX.format('m.file_path')} = {_UNIX.format('en.file_path')} AND m.method_name = nm)
+        SELECT id, file_path, start_line, coalesce(mid, '') AS method_id, CASE WHEN mid IS NULL THEN 'UNRESOLVED' ELSE 'BOUND' END AS binding_status FROM j WHERE rn = 1""",
+    "stored_flows": f"""WITH {_STORE}, {_GOALS}, wr AS (SELECT access_id AS wo, method_id AS write_entry, lower(storage_key) AS key FROM st WHERE kind = 'WRITE'),
+        rd AS (SELECT access_id || '|' || g.id AS ro, access_id AS read_id, g.id AS sink_id, lower(storage_key) AS key FROM st JOIN g ON g.method_id = st.method_id WHERE kind = 'READ'),
+        pr AS (SELECT write_entry, read_id, sink_id, min(ro) AS ro, min(wo) AS wo FROM wr JOIN rd USING (key) GROUP BY 1, 2, 3)
+        SELECT write_entry, read_id, sink_id, 'MEDIUM' AS correlation FROM pr ORDER BY ro, read_id, sink_id, wo, write_entry LIMIT 500""",
+    "authorization_surface": f"""WITH {_PATHS}, en AS (SELECT DISTINCT entry_id FROM p WHERE {_TRIM.format('entry_id')} <> ''), q AS (SELECT entry_id, list_sort(list(DISTINCT category)) AS cs, count(*) AS n, min(call_depth) AS dp FROM p WHERE category <> '' AND call_depth >= 0 GROUP BY 1)
+        SELECT entry_id, coalesce(cs, []) AS categories, coalesce(n, 0) AS paths, coalesce(dp, -1) AS min_depth FROM en LEFT JOIN q USING (entry_id)""",
+    "missing_sinks": "SELECT DISTINCT sink_id AS id FROM candidate_paths WHERE sink_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sinks WHERE sinks.id = candidate_paths.sink_id)",
+    "reverse_reach": f"WITH RECURSIVE {_EDGES}, {_GOALS}, w AS (SELECT DISTINCT method_id AS id, 0 AS hops FROM g UNION SELECT e.from_id, w.hops + 1 FROM w JOIN e ON e.to_id = w.id WHERE w.hops < 20) SELECT id, min(hops) AS hops FROM w GROUP BY id",
+    "candidate_search": f"""WITH RECURSIVE {_EDGES}, {_GOALS}, {_L}, {_START}, {_WALK.format(20)}, st AS (SELECT w.*, gs.n FROM w JOIN (SELECT method_id, count(*) AS n FROM g GROUP BY 1) gs ON gs.method_id = w.at),
+        cu AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY entry_id ORDER BY depth, ords, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st)
+        SELECT entry_id, g.id AS sink_id, path, depth AS call_depth, CASE WHEN len(list_filter(res, lambda x: NOT list_contains({_CERTAIN}, x))) = 0 THEN 'HIGH' WHEN len(list_filter(res, lambda x: starts_with(x, 'unique-method-name'))) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS static_confidence
+        FROM cu JOIN g ON g.method_id = cu.at WHERE before < 200""",
+    "write_paths": f"""WITH RECURSIVE {_STORE}, {_L}, {_START}, {_WALK.format(12)}, ac AS (SELECT DISTINCT access_id, method_id FROM st WHERE kind = 'WRITE'),
+        h AS (SELECT w.*, ac.access_id, row_number() OVER (PARTITION BY entry_id, access_id ORDER BY depth, ords, path) AS rn FROM w JOIN ac ON ac.method_id = w.at), sn AS (SELECT entry_id, depth, ords, path, res, count(*) AS n FROM h WHERE rn = 1 GROUP BY ALL),
+        cu AS (SELECT *, coalesce(sum(n) OVER (ORDER BY entry_id, depth, ords, path, res ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sn)
+        SELECT h.entry_id, access_id, h.depth AS call_depth, CASE WHEN len(list_filter(h.res, lambda x: starts_with(x, 'unique-method-name'))) > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS correlation, h.path FROM h JOIN cu USING (entry_id, depth, ords, path, res) WHERE rn = 1 AND before < 1000""",
+    "derived_sinks": f"""WITH RECURSIVE {_EDGES}, {_GOALS}, {_METHODS}, b AS (SELECT method_id AS id, arg_max(category, sink_ord) AS category FROM g GROUP BY 1), fw AS (SELECT from_id, to_id, min(edge_ord) AS edge_ord FROM e WHERE regexp_matches(expression, '\\(.*[^\\s()].*\\)') AND from_id NOT IN (SELECT id FROM b) GROUP BY 1, 2),
+        fs AS (SELECT fw.*, x.method_seq AS fseq, y.method_seq AS tseq, fw.to_id IN (SELECT id FROM b) AS base FROM fw JOIN m x ON x.id = fw.from_id LEFT JOIN m y ON y.id = fw.to_id),
+        dd AS (SELECT from_id AS id FROM fs WHERE base UNION SELECT fs.from_id FROM fs JOIN dd ON dd.id = fs.to_id WHERE NOT base AND tseq < fseq),
+        ch AS (SELECT from_id, min(struct_pack(o := edge_ord, t := to_id)) AS c FROM fs WHERE base OR tseq < fseq AND to_id IN (SELECT id FROM dd) GROUP BY 1),
+        up AS (SELECT from_id AS id, c.t AS at FROM ch UNION ALL SELECT up.id, ch.c.t FROM up JOIN ch ON ch.from_id = up.at)
+        SELECT up.id AS method_id, b.category, ch.c.t AS target_id FROM up JOIN b ON b.id = up.at JOIN ch ON ch.from_id = up.id""",
+    "distinct_sinks": "SELECT sink_ord, id, category, method_id, file_path, line FROM (SELECT *, row_number() OVER (PARTITION BY method_id, category, file_path, line ORDER BY sink_ord, id) AS rn FROM sinks) WHERE rn = 1",
+    "coverage": f"WITH {_PATHS} SELECT *, CASE WHEN paths = 0 THEN 1.0 ELSE floor(confirmed / paths * 10000 + 0.5) / 10000 END AS confirmed_rate FROM (SELECT count(*) AS paths, count(DISTINCT entry_id) AS entries_with_paths, count(*) FILTER (WHERE taint_confidence = 'CONFIRMED') AS confirmed FROM p)",
+    "coverage_tables": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("source_files", "methods", "sinks", "call_edges", "candidate_paths", "parse_errors")),
+    "sinks_by_category": f"WITH {_SINKS} SELECT category, count(*) AS n FROM k GROUP BY 1",
+    "best_findings": f"WITH {_FINDINGS}, {_BEST} SELECT ord, rule_id, file_path, start_line, verdict, confidence FROM b",
+    "finding_stats": f"WITH {_FINDINGS} SELECT 'total' AS dimension, '' AS key, count(*) AS n FROM fi UNION ALL SELECT 'by_severity', upper(severity), count(*) FROM fi GROUP BY 2 UNION ALL SELECT 'by_verdict', upper(verdict), count(*) FROM fi GROUP BY 2"
+    " UNION ALL SELECT 'by_agent', CASE WHEN trim(discovered_by) = '' THEN 'unknown' ELSE discovered_by END, count(*) FROM fi GROUP BY 2 UNION ALL SELECT 'by_vuln_type', vuln_type, count(*) FROM fi GROUP BY 2",
+    "attack_chains": f"WITH {_FINDINGS}, " + _chains("split_part(file_path, '/', 1)") + " SELECT * FROM cc",
+    "findings_summary": f"WITH {_FINDINGS}, {_BEST}, " + _chains("''") + " SELECT *, after_dedup + chain_findings AS final FROM (SELECT (SELECT count(*) FROM fi) AS total_raw, (SELECT count(*) FROM b) AS after_dedup, (SELECT count(*) FROM cc) AS chain_findings)",
+    "candidate_priority": f"WITH {_PATHS} SELECT path_id, static_confidence, coalesce(call_depth, -1) AS call_depth FROM p",
+    "batch_plan": """WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ingested_at) AS rn FROM chunk_batches) WHERE rn = 1), i AS (SELECT chunk_name, count(DISTINCT item_id) AS k FROM chunk_items GROUP BY 1),
+        nm AS (SELECT batch_id, unnest(list_concat(coalesce(candidate_chunks, []), coalesce(stored_chunks, []))) AS chunk_name FROM b), it AS (SELECT batch_id, sum(k) AS items FROM nm JOIN i USING (chunk_name) GROUP BY 1),
+        z AS (SELECT b.batch_id, CAST(coalesce(items, 0) AS BIGINT) AS items, coalesce(len(candidate_chunks), 0) + coalesce(len(stored_chunks), 0) AS n FROM b LEFT JOIN it USING (batch_id)), q AS (SELECT *, unnest(range(0, (n + 19) // 20)) AS p FROM z WHERE n > 0)
+        SELECT batch_id, CAST(p AS INT) AS plan, CAST(least(n, (p + 1) * 20) - p * 20 AS INT) AS chunks, items * (p * 20) // n AS items_from, items * least(n, (p + 1) * 20) // n AS items_to FROM q""",
+    "entry_ids": f"""WITH {_SINKS} SELECT id, substr({_ENTRY}, 1, 24) AS entry_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(code, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296) AS BIGINT) AS code_hash, substr(sha256(file_path), 1, 16) AS cache_key
+        FROM k WHERE method_id <> ''""",
+    "last_results": """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS session_id, arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS r, bool_or(event_type = 'error') AS failed FROM events GROUP BY 1)
+        SELECT session_id, CASE WHEN NOT failed AND r IS NOT NULL THEN 'OK' ELSE 'ERROR' END AS state, printf('%.2f', r) AS result FROM x""",
+    "retained_events": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 50",
 }
