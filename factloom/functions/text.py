@@ -39,9 +39,10 @@ def java_hash(c: Column | str) -> Column:
 
 
 def entry_id(protocol: str, operations: str, route: str, class_name: str, method: str, path: str) -> Column:
-    """First 24 hex digits of SHA-256 over the newline-joined parts of an entry point; operations are sorted and shown as [A, B]."""
+    """First 24 hex digits of SHA-256 over the newline-joined parts of an entry point; operations are sorted and shown as [A, B]; a NULL part counts as blank."""
     ops = F.concat(F.lit("["), F.array_join(F.sort_array(operations), ", "), F.lit("]"))
-    return F.substring(F.sha2(F.concat_ws("\n", F.upper(protocol), ops, F.col(route), F.col(class_name), F.col(method), unix_path(path)), 256), 1, 24)
+    parts = [F.coalesce(x, F.lit("")) for x in (F.upper(protocol), ops, F.col(route), F.col(class_name), F.col(method), unix_path(path))]
+    return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 24)
 
 
 def cache_key(c: Column | str) -> Column:

@@ -34,6 +34,8 @@ def reverse_reach(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        if k % 6 == 0:
+            found = cut(found)
     return found
 
 
@@ -49,34 +51,37 @@ def simple_paths(entries: DataFrame, edges: DataFrame, goals: DataFrame, depth:
     e = cut(edges.join(near.select(F.col("id").alias("to_id"), "hops"), "to_id"))
     hot = hot_keys(e.groupBy("from_id").count(), "from_id")
     strings = F.expr("cast(array() as array<string>)")
-    front = cut(entries.join(near, entries.method_id == near.id).select("entry_id", F.col("method_id").alias("at"), F.array("method_id").alias("path"), F.expr("cast(array() as array<int>)").alias("ords"), strings.alias("resolutions")))
-    done = None
-    kept: list[DataFrame] = []
+    state = ["entry_id", "at", "path", "ords", "resolutions"]
+    front = entries.join(near, entries.method_id == near.id).select("entry_id", F.col("method_id").alias("at"), F.array("method_id").alias("path"), F.expr("cast(array() as array<int>)").alias("ords"), strings.alias("resolutions"))
+    hits: list[DataFrame] = []
+    most_so_far = 0  # no entry has more goals than this yet
     for k in range(depth + 1):
-        hits = front.join(at, front["at"] == at["id"]).select("entry_id", F.lit(k).alias("depth"), "path", "ords", "resolutions", "goals")
-        if per_entry:
-            first = Window.partitionBy("entry_id").orderBy("ords", "path")
-            hits = hits.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_entry)  # each state has a goal
-            before = F.coalesce(F.sum(F.size("goals")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            hits = hits.withColumn("_before", before)
-            if done is not None:
-                hits = hits.join(done, "entry_id", "left").withColumn("_before", F.col("_before") + F.coalesce("emitted", F.lit(0)))
-            hits = hits.where(F.col("_before") < per_entry).select("entry_id", "depth", "path", "ords", "resolutions", "goals")
-        hits = cut(hits)
-        kept.append(hits)
-        if k == depth:
+        front = cut(front.join(at, front["at"] == at["id"], "left").select(*state, "goals"))
+        hit = front.where("goals is not null").select("entry_id", F.lit(k).alias("depth"), "path", "ords", "resolutions", "goals")
+        hits.append(hit)
+        size = front.groupBy("entry_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("goals").isNotNull(), F.size("goals")).otherwise(0)).alias("g")).agg(F.sum("n"), F.max("g")).first()
+        if not size[0] or k == depth:
             break
-        if per_entry:
-            fresh = hits.groupBy("entry_id").agg(F.sum(F.size("goals")).alias("emitted"))
-            done = cut(fresh if done is None else done.unionByName(fresh).groupBy("entry_id").agg(F.sum("emitted").alias("emitted")))
-            front = front.join(done.where(F.col("emitted") >= per_entry), "entry_id", "left_anti")
+        most_so_far += size[1]
+        if per_entry and most_so_far >= per_entry:
+            # entries that have their share already are not searched any further
+            full = _union(hits).groupBy("entry_id").agg(F.sum(F.size("goals")).alias("g")).where(F.col("g") >= per_entry)
+            front = front.join(full, "entry_id", "left_anti")
         step = e.select(F.col("from_id").alias("at"), "to_id", "edge_ord", "resolution", "hops").where(F.col("hops") <= depth - k - 1)
-        j = skew_join(step, front, "at", hot=hot).where(~F.array_contains("path", F.col("to_id")))
-        front = cut(j.select("entry_id", F.col("to_id").alias("at"), F.concat("path", F.array("to_id")).alias("path"), F.concat("ords", F.array(F.col("edge_ord").cast("int"))).alias("ords"), F.concat("resolutions", F.array("resolution")).alias("resolutions")))
-        if front.isEmpty():
-            break
-    out = kept[0]
-    for x in kept[1:]:
+        j = skew_join(step, front.drop("goals"), "at", hot=hot).where(~F.array_contains("path", F.col("to_id")))
+        front = j.select("entry_id", F.col("to_id").alias("at"), F.concat("path", F.array("to_id")).alias("path"), F.concat("ords", F.array(F.col("edge_ord").cast("int"))).alias("ords"), F.concat("resolutions", F.array("resolution")).alias("resolutions"))
+    out = _union(hits)
+    if per_entry and most_so_far >= per_entry:
+        order = Window.partitionBy("entry_id").orderBy("depth", "ords", "path")
+        out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_entry)  # each state has a goal, so these suffice
+        before = F.coalesce(F.sum(F.size("goals")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out = out.withColumn("_before", before).where(F.col("_before") < per_entry).drop("_n", "_before")
+    return out
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
         out = out.unionByName(x)
     return out
 

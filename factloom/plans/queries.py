@@ -302,7 +302,7 @@ _PATHREGEX = r"^\s*([^#!=:\s][^=:\s]*)\s*[=:]\s*(.*\S)\s*$"
 _LINES = r"ln AS (SELECT path, i AS line_no, string_split_regex(content, '\r\n|\n|\r')[i] AS line FROM (SELECT path, content, unnest(range(1, len(string_split_regex(content, '\r\n|\n|\r')) + 1)) AS i FROM f))"
 _ISCMD = "(" + " OR ".join(f"contains(lower(v), '{w}')" for w in scanners.COMMANDS) + ")"
 _MAP = scanners.MAPPER.replace("[\\s\\S]", "(?s:.)")
-_ENTRY = r"sha256(upper(category) || chr(10) || '[' || api || ']' || chr(10) || code || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 1) || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 2) || chr(10) || " + _UNIX.format("file_path") + ")"
+_ENTRY = r"sha256(coalesce(upper(category), '') || chr(10) || '[' || api || ']' || chr(10) || code || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 1) || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 2) || chr(10) || " + _UNIX.format("file_path") + ")"
 
 ORACLES = {
     "p4_found": _LINKS
