@@ -49,7 +49,7 @@ Core = B[Block] | ; | ( return | throw | yield ) Expr ; | assert ( Expr % : ) ;
   | switch P[Paren] B[SwitchBody] | synchronized P[Paren] B[Block] | ( abstract | final | static | strictfp | Ann )* ( class Id TParams? ( extends Type )? ( implements Types )? B[ClassBody] | enum Id ( implements Types )? B[EnumBody] | interface Id TParams? ( extends Types )? B[ClassBody] | record Id TParams? P[Params] ( implements Types )? B[ClassBody] )
 Effect = Prim Post* ( P[Args] | ( '++' | -- ) | ( EQ | ASSIGN ) Expr ) | New ( . Id | K[Paren] | P[Args] )* | ( '++' | -- ) Prim Post*
 SwitchBody = ( Label ( Label | Stmt )* )?
-Label = ( case ( ( Expr | Type Id | Type P[RecPat] | default ) % , ) ( when Expr )? | default ) ( : | -> )
+Label = ( case ( ( Expr | Type Id | Type P[RecPat] | default ) % , ) ( when Expr )? | default ) ( : | -> ( Expr ; )? )
 Lam = ( Id | P[LParams] ) ->
 Un = ( '+' | - | ! | ~ | '++' | -- | P[CastType] )* Lam* ( Prim | New ) Post* ( '++' | -- )? | P[CastType]* Lam+ B[Block]
 Prim = LIT | Id | this | super | P[Paren] | switch P[Paren] B[SwitchBody] | PRIM K[Empty]* ( . class | :: new ) | void . class | Id ( . Id )* K[Empty]+ ( . class | :: new ) | Id TArgs ( . Id TArgs? )* K[Empty]* :: ( Id | new )
@@ -145,14 +145,14 @@ Index = Exprs
 Hole = ( Exprs % MID )
 Object = ( Prop % , )? ,?
 Prop = ... Expr | Key : Expr | Id ( EQ Expr )? | ( async | '*' | async '*' | get | set )? Key P[Params] B[Block]
-Key = Id | WORD | S | N | K[Index] | PRIVATE | LIT | this
+Key = Id | S | N | K[Index] | PRIVATE | LIT | KEYWORD
 ClassBody = ( ; | NL | EOB | static B[Block] | static? ( async | '*' | async '*' | get | set )? Key P[Params] B[Block] | static? Key ( EQ Expr )? End )*
 Lam = async? ( Id | P[Params] ) ->
 Un = ( '+' | - | ! | ~ | '++' | -- | typeof | void | delete | await | yield '*'? | new )* Lam* ( Prim Post* ( '++' | -- )? ) | ( ! | '+' | - | void | await )* Lam+ B[Block] | yield
 Prim = LIT | Id | S | N | RE | T[Hole] | this | super | P[Group] | K[Array] | B[Object] | async? function '*'? Id? P[Params] B[Block] | class Id? ( extends Base )? B[ClassBody] | new . Id | import P[Args] | PRIVATE
 Group = Exprs
 Post = '?.' ( Name | P[Args] | K[Index] ) | . ( Name | PRIVATE ) | P[Args] | K[Index] | S_T | T[Hole]
-Name = Id | WORD | LIT | this
+Name = Id | WORD | LIT
 Op = '+' | - | '*' | '**' | / | MOD | & | '|' | ^ | && | '||' | '??' | CMP | in | instanceof | EQ | ASSIGN
 Bin = Un % Op
 Expr = Bin % ( '?' Expr : )
@@ -164,6 +164,7 @@ JS_WORDS = frozenset(
     var void while with enum""".split()
 )
 JS_SOFT = frozenset("let async of get set static await yield".split())
+JS = JS.replace("KEYWORD", " | ".join(sorted(JS_WORDS)))
 _JS = re.compile(
     r"(?P<space>[^\S\n\r\u2028\u2029]+|//[^\n\r]*|\#!(?<!.\#!)[^\n]*)|(?P<nl>[\n\r\u2028\u2029]|/\*[\s\S]*?\*/)|(?P<str>\"(?:\\[\s\S]|[^\"\\\r\n])*\"|'(?:\\[\s\S]|[^'\\\r\n])*')"
     r"|(?P<num>(?:0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO]?[0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)(?![\w$]))|(?P<word>\#?(?:[^\W\d]|\$)[\w$\u200c\u200d]*)|(?P<open>[({\[])|(?P<close>[)}\]])"
@@ -222,7 +223,7 @@ def js_tokens(text: str) -> list[tuple[str, str, int]]:
             name = "PRIVATE" if s[0] == "#" else s if s in JS_SOFT else "LIT" if s in _LITERAL else s if s in JS_WORDS else "I"
             last = next((x for x in reversed(out[-2:]) if x[1] != "NL"), None)
             after_dot = last is not None and not last[0] and last[1] in (".", "?.")
-            if name in JS_WORDS and name != "this" and (after_dot or re.compile(r"\s*:(?!:)").match(text, m.end()) and name not in ("default",) or (last in (None,) or last[1] in ("B", ",", "get", "set", "async", "*", "static", "NL", ";")) and name not in ("function", "if", "for", "while", "switch", "catch", "super", "import", "return", "typeof", "new", "void", "throw", "delete", "case", "in", "with", "instanceof") and re.compile(r"\s*\(").match(text, m.end())):
+            if name in JS_WORDS and after_dot:
                 name = "WORD"
             add(("", name, line(at)))
             operand = name not in JS_WORDS or name in ("this", "super") or after_dot

@@ -47,8 +47,8 @@ def _exact(lang: str, text: str) -> bool:
 def verdict(lang: str, text: str) -> tuple[int, str | None, int | None]:
     """(edit cost, cause, line of the first edit); cost 0 for texts that parse.
 
-    cause: conflict (edits in a file with conflict marks), truncation (all edits at the end), mismatch (more than one edit for
-    four lines, or the first line does not fit), else damage.
+    cause: conflict (edits in a file with conflict marks), mismatch (several edits, more than one for four lines, or many from the first
+    lines on), truncation (all edits at the end), else damage.
     """
     tokens = grammars.LANGUAGES[lang][2](text)
     cost, edits = chart.parse(grammars.grammar(lang), tokens)
@@ -58,10 +58,10 @@ def verdict(lang: str, text: str) -> tuple[int, str | None, int | None]:
     first = min((n for _, n in edits), default=1)
     if _CONFLICT.search(text):
         cause = "conflict"
+    elif cost * 4 > lines and cost > chart.MOST_EDITS // 2 or cost >= chart.MOST_EDITS and first <= 3:
+        cause = "mismatch"
     elif all(what == "end" or n >= lines - 2 for what, n in edits):
         cause = "truncation"
-    elif cost * 4 > lines or cost >= chart.MOST_EDITS and first <= 3:
-        cause = "mismatch"
     else:
         cause = "damage"
     return cost, cause, first

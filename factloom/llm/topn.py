@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..common import cut, drop_cut, hot_keys, skew_join
 
+#: The type of codes that do not fit a bigint.
+WIDE = "decimal(30,0)"
 #: Parts into which a round divides the interval of a group (8 bits a round).
 FAN = 256
 
@@ -25,13 +27,16 @@ def cutoffs(rows: DataFrame, n: int) -> DataFrame:
     hot = hot_keys(state, "g")
     closed = state.where(F.col("count") <= n).select("g", F.col("lo").alias("cutoff"))
     state = state.where(F.col("count") > n).select("g", "lo", "hi", F.lit(n).cast("long").alias("need"))
-    step = F.ceil((F.col("hi") - F.col("lo") + 1) / FAN) if kind.typeName() == "long" else F.expr(f"cast(ceil((hi - lo + 1) / {FAN}) as decimal(38,0))")
-    step = F.greatest(F.expr(f"(hi - lo) div {FAN}") + 1 if kind.typeName() == "long" else step, F.lit(1).cast(kind))
+    whole = kind.typeName() == "long"
+    step = F.expr(f"(hi - lo) div {FAN} + 1" if whole else f"cast(ceil((hi - lo + 1) / {FAN}) as {WIDE})")
     while not state.isEmpty():
-        state = cut(state.withColumn("step", step.cast(kind)))
+        state = cut(state.withColumn("step", step))
         live = skew_join(rows.select("g", "code"), state, "g", hot=hot).where("code between lo and hi")
-        part = F.floor((F.col("code") - F.col("lo")) / F.col("step")).cast("int") if kind.typeName() != "long" else F.expr("cast((code - lo) div step as int)")
-        counts = live.groupBy("g", "lo", "hi", "need", "step", part.alias("part")).agg(F.count("*").alias("k"))
+        if whole:
+            live = live.withColumn("part", F.expr("cast((code - lo) div step as int)"))
+        else:  # a decimal quotient may round up to the next part
+            live = live.withColumn("q", F.expr("cast(floor((code - lo) / step) as int)")).withColumn("part", F.expr("if(lo + q * step > code, q - 1, q)"))
+        counts = live.groupBy("g", "lo", "hi", "need", "step", "part").agg(F.count("*").alias("k"))
         # at most FAN rows a group
         above = F.sum("k").over(Window.partitionBy("g").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, 0))
         at = counts.withColumn("above", above).where("above >= need and above - k < need")
@@ -59,9 +64,9 @@ def top_n(df: DataFrame, group: list[str], score: list[tuple[Column, str]], iden
     whole = 1
     for x in span:
         whole *= x
-    kind = "long" if whole < 2**62 else "decimal(38,0)"
-    if whole >= 10**37:
-        raise ValueError("scores and identifiers together span more than 37 digits")
+    kind = "long" if whole < 2**62 else WIDE
+    if whole >= 10**29:
+        raise ValueError("scores and identifiers together span more than 29 digits")
     code = F.lit(0).cast(kind)
     for x, way, width in zip(names, ways, span):
         digit = F.col(x) - F.lit(ends[f"{x}lo"]) if way == "desc" else F.lit(ends[f"{x}hi"]) - F.col(x)
