@@ -147,7 +147,7 @@ def _body(f: _File, a: int, b: int, variables: dict[str, str]) -> tuple[list[dic
                     angle += 1
                 elif tok[j] == "<":
                     angle -= 1
-                elif not angle and not (tok[j][:1].isalpha() or tok[j] in (".", "[", "]")) or not angle and tok[j][:1].isalpha() and tok[j + 1][:1].isalpha():
+                elif not angle and not (tok[j][:1].isalpha() or tok[j] in (".", "[", "]")) or not angle and j + 1 < i and tok[j][:1].isalpha() and tok[j + 1][:1].isalpha():
                     break
                 j -= 1
             kind = simple_type("".join(tok[j + 1 if j > a or not tok[j][:1].isalpha() else j : i]))
