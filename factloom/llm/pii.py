@@ -30,9 +30,11 @@ _U, _L = "A-ZÀ-ÖØ-ÞŁŚŻŠŽČĆĐ", "a-zß-öø-ÿłśżšžčćđęąńő
 _CAP = rf"[{_U}][{_L}{_U}'’]+(?:-[{_U}][{_L}{_U}'’]+)*"
 _RUN = re.compile(rf"(?<![\w@./-])(?:{_CAP}|[{_U}]\.)(?:,? (?:{_CAP}|[{_U}]\.|(?:van|von|de|der|del|la|bin|al)(?= [{_U}])))+")
 _PART = re.compile(r"[^ ]+")
-_MAIL = re.compile(
-    r"(?<![\w.+@/-])(?:[A-Za-z0-9](?:[\w.+-]*\w)?)(?:@| ?[\[({<] ?(?:at|AT) ?[\])}>] ?| at )(?:[A-Za-z0-9-]+(?:\.| ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?| dot ))+[A-Za-z]{2,12}(?![\w@-]|\.\w)"
-)
+_LOCAL, _DOT = r"(?<![\w.+@/-])[A-Za-z0-9](?:[\w.+-]*\w)?", r"(?:\.| ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?| dot )"
+_HOST = rf"(?:[A-Za-z0-9-]+{_DOT})+[A-Za-z]{{2,12}}(?![\w@-]|\.\w)"
+#: Addresses with a sign for "at", and with the word; the latter may overlap.
+_MAIL = re.compile(rf"{_LOCAL}(?:@| ?[\[({{<] ?(?:at|AT) ?[\])}}>] ?){_HOST}")
+_MAIL_WORDS = re.compile(rf"(?={_LOCAL} at )(?=({_LOCAL} at {_HOST}))")
 _NUMBER = re.compile(r"(?<![\w.+])(?:(?:\+|00)\d{1,3}[ .-]?)?\(?\d(?:[ .()/-]{0,2}\d){6,16}(?![\w])")
 _IDS = re.compile(
     r"(?<![\w.-])(?:\d{3}[- ]?\d{2}[- ]?\d{4}|[A-Za-z]{2}(?: ?\d{2}){3} ?[A-Za-z]|\d{6}[-+ ]?\d{4}|[A-Za-z]{1,2}\d{2}-\d{6}-\d|[A-Za-z]{1,3}-?\d{6,9}[A-Za-z]?|\d{8}-?[A-Z]|[A-Z]-?\d{7}-?[A-Z]|\d{11}|\d{9})(?![\w])(?!-\d)"
@@ -70,10 +72,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = set()
     for m in _MAIL.finditer(text):
         out.add((m.start(), m.end(), "EMAIL"))
+    for m in _MAIL_WORDS.finditer(text):
+        out.add((m.start(1), m.end(1), "EMAIL"))
     for m in _NUMBER.finditer(text):
         s = m.group()
         ends = {i + 1 for i in range(len(s)) if s[i].isdigit() and (i + 1 == len(s) or not s[i + 1].isdigit())}
-        starts = {0} | {i for i in range(1, len(s)) if s[i - 1] == " " and s[i] in "(0123456789"}
+        starts = {0} | {i for i in range(1, len(s)) if s[i - 1] in " (" and s[i] in "(0123456789"}
         for a in starts:
             for b in ends:
                 piece = s[a:b]
@@ -125,11 +129,11 @@ def features(text: str, a: int, b: int, kind: str, lex: Lexicon) -> list[str]:
         parts = re.split(r",? ", s)
         low = [w.rstrip(".").lower() for w in parts]
         kinds = "".join("i" if len(w) < 3 and w.endswith(".") else "U" if w.isupper() else "c" for w in parts) + ("," if "," in s else "")
-        known = "".join("i" if len(w) == 1 else "B" if (x := {*w.split("-")}) & lex.given and x & lex.family else "G" if {*w.split("-")} & lex.given else "F" if {*w.split("-")} & lex.family or w in lex.family else "w" if w in lex.common else "?" for w in low)
+        known = _known(s, lex)
         camel = any(re.search(r"[a-z][A-Z]", w) for w in parts)
         side = lambda x: "F" if x in lex.family else "G" if x in lex.given else "n"
         out += [f"N:{',' in s} after {side(p1) if left[-1:] == ' ' and words[-1][0].isupper() else '-'}", f"N:{',' in s} before {side(n1) if right[:1] == ' ' and n1 != '$' and after[0][0].isupper() else '-'}"]
-        out += [f"N:{kinds}", f"N:{known}{',' if ',' in s else ''}", f"N:camel{camel}", f"N:common{sum(w in lex.common for w in low)}", f"N:open{min(2, len(parts))}"]
+        out += [f"N:{kinds}", f"N:{known}", f"N:camel{camel}", f"N:common{sum(w in lex.common for w in low)}", f"N:open{min(2, len(parts))}"]
     elif kind == "ADDRESS":
         w = [x.lower().strip(".,") for x in s.split()]
         front = s[0].isdigit()
@@ -163,11 +167,30 @@ _FOR = {
     "EMAIL": (r"(?:mail|correo|邮箱|notify=|\"email\":|Rückfragen an|Reach me at|Escalate to)" + _Q + r"$", r"^$"),
 }
 _AGAINST = re.compile(r"(?:\bbuild|\btrace|\bversion|\blicen[cs]e|\brange|\brule|\bport|\bpid|\bhash|\bticket|\bwindow|\brunner|\bremote is|\bnpm|\bhandle|\bsend to|\bTeam|\bthe|\bcommit|\bid:?|\brevision)" + r"[\s:=#]*$")
+_NO_MAIL = re.compile(r"(?:remote is|clone|npm|handle|send to|pull|push)[\s:=]*$")
 _FOR_RE = {k: (re.compile(a), re.compile(b)) for k, (a, b) in _FOR.items()}
 
 
-def label(text: str, cand: list[tuple[int, int, str]], common: set[str]) -> list[int | None]:
-    """1 personal, 0 not, None open, for each candidate, by contexts alone."""
+#: Orders of given (G) and family (F) names and initials (i) that are a name whatever stands around them.
+_NAMES = frozenset(["GF", "GiF", "iF", "iiF", "F,G", "F,Gi", "F,i"])
+
+
+def _known(s: str, lex: Lexicon) -> str:
+    """The words of a name candidate: G given, F family, B both, i initial, w common, ? unknown; a comma if it has one."""
+    out = ""
+    for w in re.split(r"(,?) ", s):
+        if w in (",", ""):
+            out += w
+            continue
+        w = w.rstrip(".").lower()
+        some = {*w.split("-")}
+        g, f = some & lex.given, some & lex.family or w in lex.family
+        out += "i" if len(w) == 1 else "B" if g and f else "G" if g else "F" if f else "w" if w in lex.common else "?"
+    return out
+
+
+def label(text: str, cand: list[tuple[int, int, str]], common: set[str], lex: Lexicon | None = None) -> list[int | None]:
+    """1 personal, 0 not, None open, for each candidate, by contexts alone, or by contexts and the names of a first fit."""
     got: list[int | None] = []
     for a, b, kind in cand:
         s, left, right = text[a:b], text[max(0, a - 30) : a], text[b : b + 30]
@@ -177,6 +200,7 @@ def label(text: str, cand: list[tuple[int, int, str]], common: set[str]) -> list
             hit = hit or "@" in s and s.rpartition(".")[2].lower() in TOP and not re.match(r":\w", right)
         if kind == "NAME":
             low = [w.strip(".,").lower() for w in s.split()]
+            hit = hit or lex is not None and _known(s, lex) in _NAMES
             if any(re.search(r"[a-z][A-Z]", w) for w in s.split()) or sum(w in common for w in low) == len(low):
                 got.append(0)
                 continue
@@ -192,16 +216,23 @@ def label(text: str, cand: list[tuple[int, int, str]], common: set[str]) -> list
             continue
         if kind in ("PHONE", "ID_NUMBER") and hit and len(set(re.sub(r"\D", "", s))) < 2:
             hit = False
-        got.append(1 if hit else 0 if _AGAINST.search(left) or right[:1] == "-" or kind == "EMAIL" and re.match(r":\w", right) else None)
-    # of overlapping positives of one kind the longest stays; whatever overlaps a positive is negative
-    order = sorted((i for i, g in enumerate(got) if g == 1), key=lambda i: (-(cand[i][1] - cand[i][0]), cand[i]))
-    taken: list[tuple[int, int]] = []
-    for i in order:
-        a, b, _ = cand[i]
-        if any(x < b and a < y for x, y in taken):
-            got[i] = 0
+        if kind == "EMAIL":
+            against = _NO_MAIL.search(left) or re.match(r":\w", right) or re.search(r"[A-Za-z]+$", s).group().lower() not in TOP
         else:
-            taken.append((a, b))
+            against = _AGAINST.search(left) or right[:1] == "-"
+        got.append(1 if hit else 0 if against else None)
+    # of overlapping positives those stay that cover most together; whatever overlaps one of them is negative
+    order = sorted((i for i, g in enumerate(got) if g == 1), key=lambda i: (cand[i][1], cand[i][0]))
+    ends = [cand[i][1] for i in order]
+    best: list[tuple[int, tuple]] = [(0, ())]
+    for n, i in enumerate(order):
+        a, b, _ = cand[i]
+        before = best[bisect.bisect_right(ends, a, 0, n)]
+        best.append(max(best[-1], (before[0] + b - a, (*before[1], i)), key=lambda x: x[0]))
+    stay = set(best[-1][1])
+    taken = [cand[i][:2] for i in stay]
+    for i in order:
+        got[i] = int(i in stay)
     for i, (a, b, _) in enumerate(cand):
         if got[i] is None and any(x < b and a < y for x, y in taken):
             got[i] = 0
@@ -217,20 +248,21 @@ def fit(texts: list[str]) -> tuple[dict[str, float], Lexicon]:
     """Weights and lexicon from a bounded list of texts. Deterministic."""
     lower = Counter(w for t in texts for w in set(re.findall(r"(?<![\w@.+-])[a-zß-ÿ]{2,}(?![\w@.+-])", t)))
     common = {w for w, n in lower.items() if n >= 3}
-    rows, given, family = [], Counter(), Counter()
-    for t in texts:
-        cand = candidates(t)
-        got = label(t, cand, common)
-        known = [(c, g) for c, g in zip(cand, got) if g is not None]
-        if known:
-            rows.append((t, known))
-        for (a, b, k), g in known:
-            if g and k == "NAME":
-                s = t[a:b]
-                first, last = (s.split(", ")[::-1] if "," in s else (s.rpartition(" ")[0], s.rpartition(" ")[2]))
-                given.update(w.strip(".").lower() for w in re.split(r"[ -]", first) if len(w.strip(".")) > 1)
-                family.update([last.lower(), *([] if "-" not in last else last.lower().split("-"))] if len(last) > 2 else [])
-    lex = Lexicon({w for w, n in given.items() if n >= 2 and n >= family[w]}, {w for w, n in family.items() if n >= 2 and n >= given[w]}, common)
+    lex = None
+    for _ in range(2):  # the names that contexts label first then label themselves elsewhere
+        rows, given, family = [], Counter(), Counter()
+        for t in texts:
+            cand = candidates(t)
+            known = [(c, g) for c, g in zip(cand, label(t, cand, common, lex)) if g is not None]
+            if known:
+                rows.append((t, known))
+            for (a, b, k), g in known:
+                if g and k == "NAME":
+                    s = t[a:b]
+                    first, last = s.split(", ")[::-1] if "," in s else (s.rpartition(" ")[0], s.rpartition(" ")[2])
+                    given.update(w.strip(".").lower() for w in re.split(r"[ -]", first) if len(w.strip(".")) > 1)
+                    family.update([last.lower(), *([] if "-" not in last else last.lower().split("-"))] if len(last) > 2 else [])
+        lex = Lexicon({w for w, n in given.items() if n >= 2 and n >= family[w]}, {w for w, n in family.items() if n >= 2 and n >= given[w]}, common)
     data = [[(a, b, k, g, features(t, a, b, k, lex)) for (a, b, k), g in known] for t, known in rows]
     seen = Counter(f for row in data for x in row for f in x[4])
     keep = {f for f, n in seen.most_common(FEATURES) if n >= 2}
