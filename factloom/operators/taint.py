@@ -112,7 +112,9 @@ def local_taint_sinks(methods: DataFrame, calls: DataFrame, sinks: DataFrame) ->
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), r"\s+")), lambda p: F.size(p) >= 2)
     words = "abstract boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new null package private protected public return short static super switch synchronized this throw throws transient true false try void volatile while".split()
     names = F.filter(F.transform(parts, lambda p: F.element_at(p, -1)), lambda n: n.rlike(r"^\p{Ll}") & ~F.lower(n).isin(words))
-    j = j.withColumn("params", F.array_distinct(names)).where(F.size("params") > 0)
+    # no name found between the brackets: any lower-case word of the signature that is no key word
+    every = F.filter(F.regexp_extract_all("signature", F.lit(r"\b([a-z]\w*)\b"), 1), lambda n: ~F.lower(n).isin(words))
+    j = j.withColumn("params", F.array_distinct(F.when(F.size(names) > 0, names).otherwise(every))).where(F.size("params") > 0)
     uses = lambda e: F.exists("params", lambda p: e.contains(p))
     text_work = F.exists("calls", lambda x: x["method_name"].isin(TEXT_WORK))
     plain = ~text_work & F.exists("codes", uses)
