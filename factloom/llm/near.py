@@ -1,8 +1,8 @@
 """Near copies of token-shingle sets: MinHash banding with exact verification.
 
-Equal sets are one class. Classes are hashed into BANDS x ROWS bands; in every bucket all classes are compared with one leader (a star, never
-all pairs) by exact Jaccard similarity. Classes that a leader fails to match stay: their bucket is divided by further signature values and
-elects new leaders, until every bucket is settled. So no bucket is capped, and a bucket shared by a third of all files is only a longer star.
+Equal sets are one class. Classes are hashed into BANDS x ROWS bands, and in every bucket all classes are compared with each other by exact Jaccard
+similarity: no bucket is capped or divided, and a class that has matched one other still meets the rest. The work of a bucket grows with the square of
+its classes; signature bits and sizes tell most unlike pairs apart before their sets are, and buckets of many pairs are spread over salts.
 """
 
 from __future__ import annotations
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from ..common import cut, drop_cut, hot_keys, skew_join
 
 BANDS, ROWS = 32, 8
-#: Signature values a bucket that holds unlike classes is divided by in each further round.
-DEEPER = 4
-#: Signature values of other bands that a row carries for this; when they are used up, leaders go on to be elected undivided.
-DEEP = 16
 _rng = np.random.RandomState(20240101)
 _A = _rng.randint(1, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _B = _rng.randint(0, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
@@ -48,67 +44,51 @@ def _mix(rows: np.ndarray) -> np.ndarray:
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keys, deep, bits = [], [], []
+        keys, bits = [], []
         for s in pdf["sh"]:
             sig = signature(np.asarray(s, dtype=np.int64))
             band = np.column_stack([np.arange(BANDS, dtype=np.uint32), sig.reshape(BANDS, ROWS)])
             keys.append(_mix(band).view(np.int64))
-            deep.append(sig)
             bits.append(np.packbits((sig & 1).astype(np.uint8)).view(np.int64))
-        n = len(pdf)
-        if n:
-            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), n), "bucket": np.concatenate(keys), "deep": [d[(ROWS * (b + 1) + np.arange(DEEP)) % len(d)].view(np.int32) for d in deep for b in range(BANDS)], "bits": [x for x in bits for _ in range(BANDS)]})
+        if len(pdf):
+            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), BANDS), "bucket": np.concatenate(keys), "bits": [x for x in bits for _ in range(BANDS)]})
 
 
 def links(sets: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """sets(id, sh array<bigint>) -> members(id, cid) and links(cid, leader): Jaccard similarity of cid and leader >= `least`.
+    """sets(id, sh array<bigint>) -> members(id, cid) and links(cid, leader): all pairs of classes that share a bucket and have a Jaccard similarity >= `least`.
 
-    NULL and empty sets belong to no class. Rows with an equal set have one class and need no link.
+    A pair is given once, its smaller class as cid. NULL and empty sets belong to no class. Rows with an equal set have one class and need no link.
     """
     own = sets.where(F.size("sh") > 0).select("id", F.array_sort(F.array_distinct("sh")).alias("sh"))
     own = cut(own.withColumn("cid", F.struct(F.xxhash64("sh").alias("a"), F.hash("sh").alias("b"))))
     members = own.select("id", "cid")
     classes = cut(own.groupBy("cid").agg(F.first("sh").alias("sh")))
-    rows = cut(classes.mapInPandas(_bands, "cid struct<a:bigint,b:int>, band int, bucket bigint, deep array<int>, bits array<bigint>"))
+    rows = cut(classes.mapInPandas(_bands, "cid struct<a:bigint,b:int>, bucket bigint, bits array<bigint>"))
+    shared = cut(rows.groupBy("bucket").count().where("count > 1"))
+    rows = skew_join(rows, shared.select("bucket"), "bucket", "left_semi", hot=hot_keys(shared, "bucket"))
+    rows = cut(rows.join(classes, "cid").select("cid", "bucket", "bits", F.col("sh").alias("x"), F.size("sh").alias("m")))
+    others = rows.select("bucket", F.col("cid").alias("leader"), F.col("bits").alias("lead_bits"), F.col("x").alias("y"), F.col("m").alias("n"))
+    hot = hot_keys(shared.select("bucket", F.expr("count * (count - 1) / 2000").alias("count")), "bucket")  # over ten million pairs
+    # one bit of each signature value, and the sizes, tell most unlike pairs apart before their sets are
     n = len(_A)
     most_unlike = math.ceil(n * (1 - least) / 2 + 5 * math.sqrt(n * (1 - least) / 2 * (1 + least) / 2))  # five standard deviations above what a pair of similarity `least` shows
-    left, found, depth = rows.count(), [], 0
-    while left:
-        lead = rows.groupBy("bucket").agg(F.min(F.struct("cid", "bits")).alias("l"), F.count("*").alias("count")).where("count > 1")
-        lead = lead.select("bucket", "count", F.col("l.cid").alias("leader"), F.col("l.bits").alias("lead_bits"))
-        few = left <= 10_000  # no key can be hot
-        open_ = cut(skew_join(rows, lead.drop("count"), "bucket", hot=None if few else hot_keys(lead, "bucket")).where("cid <> leader"))
-        # one bit of each signature value tells most unlike pairs apart before their sets are fetched
-        unlike = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(len(_A) // 64)), F.lit(0))
-        pairs = open_.where(unlike <= most_unlike).select("cid", "leader").distinct()
-        hot = None if few else hot_keys(pairs.groupBy("leader").count(), "leader")
-        pairs = skew_join(pairs.join(classes.withColumnRenamed("sh", "x"), "cid"), classes.select(F.col("cid").alias("leader"), F.col("sh").alias("y")), "leader", hot=hot)
-        both = F.size(F.array_intersect("x", "y"))
-        good = cut(pairs.where(both >= least * (F.size("x") + F.size("y") - both)).select("cid", "leader"))
-        found.append(good)
-        rest = open_.drop("lead_bits").join(good, ["cid", "leader"], "left_anti")
-        key = [F.col("bucket")] + [F.col("deep")[(depth + k) % DEEP] for k in range(DEEPER)]
-        old, rows = rows, cut(rest.select("cid", "band", F.xxhash64(*key).alias("bucket"), "deep", "bits"))
-        drop_cut(old)
-        drop_cut(open_)
-        depth += DEEPER
-        left = rows.count()
-    if not found:
-        return members, members.select("cid", F.col("cid").alias("leader")).limit(0)
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return members, cut(every.distinct())
+    unlike = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(n // 64)), F.lit(0))
+    sizes = F.least("m", "n") >= least * F.greatest("m", "n")
+    alike = F.size(F.array_intersect("x", "y")) >= F.ceil(least / (1 + least) * (F.col("m") + F.col("n")) - 1e-9)
+    pairs = skew_join(rows, others, "bucket", hot=hot).where((F.col("cid") < F.col("leader")) & sizes & (unlike <= most_unlike) & alike)
+    every = cut(pairs.select("cid", "leader").distinct())
+    drop_cut(rows)
+    return members, every
 
 
 def spread(members: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """(id, files, groups): the size of the largest star of near copies that holds a row's class, and from how many groups it comes.
 
-    groups: (id, grp). Stars overlap; a class counts in each star it was verified in.
+    groups: (id, grp). The star of a class holds it and all its near copies; a class counts in each star that holds it.
     """
-    star = pairs.unionByName(pairs.select(F.col("leader").alias("cid"), "leader")).unionByName(members.select("cid", F.col("cid").alias("leader"))).distinct()
+    star = pairs.unionByName(pairs.select(F.col("leader").alias("cid"), F.col("cid").alias("leader"))).unionByName(members.select("cid", F.col("cid").alias("leader")).distinct())
     per = members.join(groups, "id").groupBy("cid", "grp").agg(F.count("*").alias("k"))
-    per = skew_join(per, star, "cid").groupBy("leader", "grp").agg(F.sum("k").alias("k"))
+    per = skew_join(star, per, "cid").groupBy("leader", "grp").agg(F.sum("k").alias("k"))
     size = per.groupBy("leader").agg(F.sum("k").alias("files"), F.count("*").alias("groups"))
     best = skew_join(star, size, "leader").groupBy("cid").agg(F.max("files").alias("files"), F.max("groups").alias("groups"))
     return skew_join(members, best, "cid").select("id", "files", "groups")

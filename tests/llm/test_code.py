@@ -107,6 +107,19 @@ def test_links_equal_brute_force(spark):
     assert len(near_ & linked) >= 0.98 * len(near_)
 
 
+def test_links_of_a_star(spark):
+    """Copies that are alike through their original only: none may be lost because another copy met the original first."""
+    r = random.Random(5)
+    original = list(range(500))
+    sets = [("o", original)] + [(f"c{i}", sorted({*r.sample(original, 460), *(1000 * (i + 1) + k for k in range(40))})) for i in range(300)]
+    members, links = near.links(spark.createDataFrame(sets, "id string, sh array<bigint>"))
+    cls = {x.id: x.cid for x in members.collect()}
+    found = {frozenset((x.cid, x.leader)) for x in links.collect()}
+    assert sum(frozenset((cls["o"], cls[f"c{i}"])) in found for i in range(300)) >= 297
+    groups = spark.createDataFrame([(i, i[:1]) for i, _ in sets], "id string, grp string")
+    assert sum(x.files >= 298 and x.groups == 2 for x in near.spread(members, links, groups).collect()) >= 298
+
+
 def test_classes_of_files(spark):
     accessor = "".join(f"    private String name{i}_;\n    public String getName{i}() {{ return name{i}_; }}\n    public void setName{i}(String value) {{ this.name{i}_ = value; }}\n" for i in range(9))
     gen = lambda c: f"package io.me.x;\npublic class {c} {{\n{accessor}}}\n"
