@@ -1,7 +1,7 @@
 """Source files that do not parse, and the rates of them by repository and language.
 
-Each file is scanned and parsed by the error-correcting chart parser of chart.py with the grammar of its extension; a nonzero edit cost flags
-it, and the places of the edits tell truncation, merge conflicts and mismatched languages apart. Files are parsed where they are:
+Each file is scanned and parsed by the error-correcting chart parser of chart.py with the grammar of its extension; a nonzero edit cost, or an
+exact parser of Python, JSON or XML that rejects it, flags it, and the places of the edits tell truncation, merge conflicts and mismatched languages apart. Files are parsed where they are:
 the only shuffle picks the counting row of each path.
 """
 
@@ -12,6 +12,7 @@ import json
 import re
 import warnings
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,43 +25,51 @@ VERDICT = "path string, lang string, edits int, cause string, line int"
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|$)", re.M)
 
 
-def _exact(lang: str, text: str) -> bool:
-    """False if an exact parser of Python, JSON or XML accepts the text; the other languages have none here."""
+#: Limits of the exact parsers themselves, which say nothing about the text.
+_LIMITS = re.compile("too many nested|too deeply nested|too complex|Exceeds the limit|stack overflow|recursion", re.I)
+
+
+def _exact(lang: str, text: str) -> int | None:
+    """What an exact parser of Python, JSON or XML says: 0 if it accepts the text, else the line of the error. None if it cannot tell; the other languages have none here."""
+    text = text.removeprefix("\ufeff")
     try:
         if lang == "py":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
         elif lang == "json":
-            json.loads(text, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+            json.loads(text, parse_constant=lambda x: (_ for _ in ()).throw(json.JSONDecodeError(x, text, 0)), parse_int=str, parse_float=str)
         elif lang == "xml":
-            from xml.parsers import expat
-
-            expat.ParserCreate().Parse(text.encode(), True)
+            expat.ParserCreate("utf-8").Parse(text.encode(), True)
         else:
-            return True
+            return None
+    except (SyntaxError, json.JSONDecodeError, expat.ExpatError) as e:
+        return None if _LIMITS.search(str(e)) else max(1, e.lineno or 1)
     except Exception:
-        return True
-    return False
+        return None
+    return 0
 
 
 def verdict(lang: str, text: str) -> tuple[int, str | None, int | None]:
-    """(edit cost, cause, line of the first edit); cost 0 for texts that parse.
+    """(edit cost, cause, line of the first edit); cost 0 for texts that parse. Where an exact parser can tell, it decides: what it alone rejects costs one edit at its line.
 
     cause: conflict (edits in a file with conflict marks), mismatch (several edits, more than one for four lines, or many from the first
     lines on), truncation (all edits at the end), else damage.
     """
     tokens = grammars.LANGUAGES[lang][2](text)
     cost, edits = chart.parse(grammars.grammar(lang), tokens)
-    if not cost or not _exact(lang, text):
+    said = _exact(lang, text)
+    if said == 0 or not cost and said is None:
         return 0, None, None
+    if not cost:
+        cost, edits = 1, [("exact", said)]
     lines = text.count("\n") + 1
     first = min((n for _, n in edits), default=1)
     if _CONFLICT.search(text):
         cause = "conflict"
     elif cost * 4 > lines and cost > chart.MOST_EDITS // 2 or cost >= chart.MOST_EDITS and first <= 3:
         cause = "mismatch"
-    elif all(what == "end" or n >= lines - 2 for what, n in edits):
+    elif all(what == "end" or what != "exact" and n >= lines - 2 for what, n in edits):
         cause = "truncation"
     else:
         cause = "damage"

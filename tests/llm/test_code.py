@@ -43,6 +43,20 @@ def test_invalid(lang, text):
     assert syntax.verdict(lang, text)[0] > 0
 
 
+@pytest.mark.parametrize(
+    "lang,text,line",
+    [("py", "x = 2\nf() = 1\n", 2), ("py", "1 = x\n", 1), ("py", "x + 1 = 2\n", 1), ("py", "f(a=1, b)\n", 1), ("py", "x\nelse: pass\n", 2), ("py", "except: pass\n", 1), ("xml", "<a>\n<b c='1' c='2'/></a>", 2), ("xml", "<a>&nbsp;</a>", 1)],
+)
+def test_invalid_to_the_exact_parser_alone(lang, text, line):
+    assert syntax.verdict(lang, text) == (1, "damage", line)
+
+
+def test_limits_of_the_exact_parsers_do_not_count():
+    deep = "[" * 3000 + "]" * 3000
+    for lang, text in [("json", deep), ("json", "9" * 5000), ("py", "x = " + "9" * 5000 + "\n"), ("py", "x = " + "(" * 250 + "1" + ")" * 250 + "\n"), ("xml", "<?xml version='1.0' encoding='UTF-16'?><a/>")]:
+        assert syntax.verdict(lang, text) == (0, None, None), (lang, text[:40])
+
+
 def test_least_cost_by_brute_force():
     """Edit cost of a group equals the least over all edited token lists, on a small grammar."""
     import itertools
