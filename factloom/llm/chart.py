@@ -6,7 +6,9 @@ right-hand side is matched by sets of automaton states; level c of the table hol
 replace a token). Level 0 is an ordinary parse, kept as a lazily built deterministic automaton and remembered for equal groups, and
 only groups that level 0 rejects go on to higher levels.
 
-Recursion that is not bracketed (generic arguments, conditional operators, unbraced branches) is unrolled to a fixed depth.
+Recursion that is not bracketed (generic arguments, conditional operators, unbraced branches) is unrolled to a fixed depth in the automaton. A
+group that it rejects after a place where the unrolling ended is decided by an Earley parse of the rules themselves, so nesting of any
+depth derives at cost 0; only the edit costs of broken groups come from the unrolled rules.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ MEMORY = 300_000
 
 class Grammar:
     """rules: text of lines `Name = expression`; words that are not rules are tokens, 'x' quotes one, X[Rule] is a group of kind X whose
-    content derives Rule, `A % B` is a list of A separated by B. depth: how often a rule may occur inside itself (default 1)."""
+    content derives Rule, `A % B` is a list of A separated by B. depth: how often the automaton unrolls a rule inside itself (default 1, -1: not even
+    once). recursive: what lies deeper is decided by derives()."""
 
-    def __init__(self, rules: str, depth: dict[str, int] | None = None):
+    def __init__(self, rules: str, depth: dict[str, int] | None = None, recursive: bool = False):
         self.rules = dict(re.split(r"\s*=\s*", line.strip(), maxsplit=1) for line in re.sub(r"\n\s+", " ", rules).strip().split("\n") if line.strip())
         self.depth = depth or {}
+        self.recursive, self.ends = recursive, set()
         self.parsed: dict[str, tuple] = {}
         self.eps: list[list[int]] = []
         self.edges: dict[object, dict[int, list[int]]] = {}
@@ -39,8 +43,12 @@ class Grammar:
             self._build(("rule", r), a, b, ())
             self.start[r], self.final[r] = a, b
         self._close()
+        if recursive:
+            self._build_recursive()
+        self.derived: dict[tuple, bool] = {}
         self.dfa: dict[int, int] = {}
         self.sets: list[int] = []
+        self.ended: list[bool] = []
         self.next: list[dict[int, int]] = []
         self.symbols: dict[object, int] = {}
         self.symbol_of: list[object] = []
@@ -96,6 +104,8 @@ class Grammar:
         elif kind == "rule":
             if stack.count(node[1]) <= self.depth.get(node[1], 1):
                 self._build(self._parse(node[1]), a, b, (*stack, node[1]))
+            elif self.recursive:
+                self.ends.add(a)
         elif kind == "seq":
             for item in node[1]:
                 c = self._state()
@@ -119,7 +129,7 @@ class Grammar:
 
     def _close(self) -> None:
         """Numbers only the states that tokens leave or that end a rule; folds empty moves into the targets of the others."""
-        keep = sorted({s for e in self.edges.values() for s in e} | set(self.final.values()))
+        keep = sorted({s for e in self.edges.values() for s in e} | set(self.final.values()) | self.ends)
         bit = {s: 1 << i for i, s in enumerate(keep)}
         closed: dict[int, int] = {}
 
@@ -150,6 +160,73 @@ class Grammar:
             self.moves[tok] = (sum(1 << s for s in to), to)
         self.begin = {r: closure(s) for r, s in self.start.items()}
         self.end = {r: bit[s] for r, s in self.final.items()}
+        self.end_of_unrolling = sum(bit[s] for s in self.ends)
+
+    def _build_recursive(self) -> None:
+        """One automaton a rule, whose edges are tokens or calls of rules; self.net holds for each state, over its empty moves, the token edges, the calls and the rules that end there."""
+        eps: list[list[int]] = []
+        tokens: list[list[tuple[object, int]]] = []
+        calls: list[list[tuple[str, int]]] = []
+
+        def state() -> int:
+            eps.append([])
+            tokens.append([])
+            calls.append([])
+            return len(eps) - 1
+
+        def build(node: tuple, a: int, b: int) -> None:
+            kind = node[0]
+            if kind == "tok":
+                tokens[a].append((node[1], b))
+            elif kind == "rule":
+                calls[a].append((node[1], b))
+            elif kind == "seq":
+                for item in node[1]:
+                    c = state()
+                    build(item, a, c)
+                    a = c
+                eps[a].append(b)
+            elif kind == "alt":
+                for item in node[1]:
+                    build(item, a, b)
+            else:
+                c, d = state(), state()
+                build(node[1], c, d)
+                eps[a].append(c)
+                eps[d].append(b)
+                if kind in ("opt", "star"):
+                    eps[a].append(b)
+                if kind in ("star", "plus"):
+                    eps[d].append(c)
+                if kind == "list":
+                    build(node[2], d, c)
+
+        self.enter, leave = {}, {}
+        for rule in self.rules:
+            self.enter[rule], leave[rule] = state(), state()
+            build(self._parse(rule), self.enter[rule], leave[rule])
+        ends = {s: rule for rule, s in leave.items()}
+
+        def closure(s: int) -> set[int]:
+            seen, todo = {s}, [s]
+            while todo:
+                x = todo.pop()
+                for y in [*eps[x], *(t for rule, t in calls[x] if rule in empty)]:
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return seen
+
+        empty: set[str] = set()
+        while more := {rule for rule in self.rules if rule not in empty and leave[rule] in closure(self.enter[rule])}:
+            empty |= more
+        self.net = []
+        for s in range(len(eps)):
+            at, to = closure(s), {}
+            for x in at:
+                for tok, t in tokens[x]:
+                    to.setdefault(tok, []).append(t)
+            self.net.append((to, [c for x in at for c in calls[x]], [ends[x] for x in at if x in ends]))
 
     # running
     def symbol(self, key: object) -> int:
@@ -176,6 +253,53 @@ class Grammar:
                     hit ^= low
         return out
 
+    def derives(self, rule: str, content: tuple[int, ...]) -> bool:
+        """Whether the rule derives the content, with recursion of any depth (Earley's algorithm)."""
+        if (rule, content) not in self.derived:
+            if len(self.derived) > 10_000:
+                self.derived.clear()
+            self.derived[rule, content] = self._derives(rule, content)
+        return self.derived[rule, content]
+
+    def _derives(self, rule: str, content: tuple[int, ...]) -> bool:
+        net, enter = self.net, self.enter
+        waiting: list[dict[str, list[tuple[int, int]]]] = []
+        column = {(enter[rule], 0)}
+        for i in range(len(content) + 1):
+            wait: dict[str, list[tuple[int, int]]] = {}
+            waiting.append(wait)
+            todo = list(column)
+            while todo:
+                s, origin = todo.pop()
+                _, calls, ends = net[s]
+                for name, t in calls:
+                    if name not in wait:
+                        wait[name] = []
+                        if (new := (enter[name], i)) not in column:
+                            column.add(new)
+                            todo.append(new)
+                    wait[name].append((t, origin))
+                if origin < i:  # rules that derive nothing are empty moves
+                    for name in ends:
+                        for new in waiting[origin].get(name, ()):
+                            if new not in column:
+                                column.add(new)
+                                todo.append(new)
+            if i == len(content):
+                return any(origin == 0 and rule in net[s][2] for s, origin in column)
+            key = self.symbol_of[content[i]]
+            names = [(key[0], r) for k, r in enumerate(self.kinds.get(key[0], ())) if key[1] >> k & 1] if isinstance(key, tuple) else [key]
+            nxt = set(column) if key in ("NL", "EOB") else set()
+            for s, origin in column:
+                to = net[s][0]
+                for name in names:
+                    for t in to.get(name, ()):
+                        nxt.add((t, origin))
+            column = nxt
+            if not column:
+                return False
+        return False
+
     def _any(self, states: int) -> int:
         if states not in self.any_memory:
             if len(self.any_memory) > 20_000:
@@ -192,20 +316,26 @@ class Grammar:
         if states not in self.dfa:
             self.dfa[states] = len(self.sets)
             self.sets.append(states)
+            self.ended.append(bool(states & self.end_of_unrolling))
             self.next.append({})
         return self.dfa[states]
 
     def exact(self, rule: str, content: tuple[int, ...]) -> int:
         """-1 if the rule derives the content, else the number of tokens that could be read."""
-        at, nxt = self._intern(self.begin[rule]), self.next
+        at, nxt, ended = self._intern(self.begin[rule]), self.next, self.ended
+        deeper, read = ended[at], len(content)
         for i, sym in enumerate(content):
             to = nxt[at].get(sym)
             if to is None:
                 to = nxt[at][sym] = self._intern(self._step(self.sets[at], sym))
             at = to
+            deeper = deeper or ended[at]
             if not self.sets[at]:
-                return i
-        return -1 if self.sets[at] & self.end[rule] else len(content)
+                read = i
+                break
+        if self.sets[at] & self.end[rule] or deeper and self.derives(rule, content):
+            return -1
+        return read
 
     def repair(self, rule: str, content: tuple[int, ...], most: int) -> int:
         """Least number of edits that make the content derivable, or most + 1. Table rows are positions, levels are edits."""

@@ -41,10 +41,11 @@ Resources = ( ( ( final | Ann )* Type Id EQ Expr | Expr ) % ; ) ;?
 ForHead = ( ( final | Ann )* Type Id : Expr ) | ( ( final | Ann )* Type ( Declr % , ) | Expr % , )? ; Expr? ; ( Expr % , )?
 RecPat = ( ( Type Id | Type P[RecPat] Id? ) % , )?
 Block = Stmt*
-Pre = while P[Paren] | for P[ForHead] | Id : | if P[Paren] | if P[Paren] Inner else
+Pre = while P[Paren] | for P[ForHead] | Id : | if P[Paren] | if P[Paren] ( Inner | Branch ) else
 Stmt = Pre* Core
+Branch = Stmt
 Inner = ( while P[Paren] | for P[ForHead] | if P[Paren] )* Core
-Core = B[Block] | ; | ( return | throw | yield ) Expr ; | assert ( Expr % : ) ; | Effect ; | return ; | ( break | continue ) Id? ; | do B[Block] while P[Paren] ;
+Core = B[Block] | ; | ( return | throw | yield ) Expr ; | assert ( Expr % : ) ; | Effect ; | return ; | ( break | continue ) Id? ; | do ( B[Block] | Branch ) while P[Paren] ;
   | ( final | Ann )* Type ( Declr % , ) ; | try ( P[Resources] B[Block] ( catch P[Catch] B[Block] )* | B[Block] ( catch P[Catch] B[Block] )+ ) ( finally B[Block] )? | try B[Block] finally B[Block]
   | switch P[Paren] B[SwitchBody] | synchronized P[Paren] B[Block] | ( abstract | final | static | strictfp | Ann )* ( class Id TParams? ( extends Type )? ( implements Types )? B[ClassBody] | enum Id ( implements Types )? B[EnumBody] | interface Id TParams? ( extends Types )? B[ClassBody] | record Id TParams? P[Params] ( implements Types )? B[ClassBody] )
 Effect = Prim Post* ( P[Args] | ( '++' | -- ) | ( EQ | ASSIGN ) Expr ) | New ( . Id | K[Paren] | P[Args] )* | ( '++' | -- ) Prim Post*
@@ -127,7 +128,7 @@ File = Stmt*
 Block = Stmt*
 Id = I | let | async | of | get | set | static | await | yield
 End = ; | NL | EOB
-Pre = while P[Cond] | for await? P[ForHead] | Id : | if P[Cond] | if P[Cond] Stmt else
+Pre = ( while | with ) P[Cond] | for await? P[ForHead] | Id : | if P[Cond] | if P[Cond] Stmt else
 Stmt = Pre* Core
 Core = B[Block] | ; | ( var | let | const ) ( ( Target ( EQ Expr )? ) % , ) End | ( throw | return )? Exprs End | return End | ( break | continue ) Id? End | debugger End | do Stmt while P[Cond] End? | try B[Block] ( catch P[Bind]? B[Block] ( finally B[Block] )? | finally B[Block] )
   | switch P[Cond] B[SwitchBody] | async? function '*'? Id P[Params] B[Block] | class Id ( extends Base )? B[ClassBody]
@@ -428,9 +429,9 @@ def xml_tokens(text: str) -> list[tuple[str, str, int]]:
     return out
 
 
-#: Rules, how often a rule may occur within itself, and the scanner.
+#: Rules, how often the automaton unrolls a rule within itself, and the scanner.
 LANGUAGES = {
-    "java": (JAVA, {"TArgs": 2, "TAtom": 2, "Core": 0, "Pre": 0}, java_tokens),
+    "java": (JAVA, {"TArgs": 2, "TAtom": 2, "Core": 0, "Pre": 0, "Branch": -1}, java_tokens),
     "js": (JS, {"Pre": 0}, js_tokens),
     "py": (PY, {}, py_tokens),
     "json": (JSON, {}, json_tokens),
@@ -442,5 +443,5 @@ _built: dict[str, Grammar] = {}
 def grammar(lang: str) -> Grammar:
     if lang not in _built:
         rules, depth, _ = LANGUAGES[lang]
-        _built[lang] = Grammar(rules, depth)
+        _built[lang] = Grammar(rules, depth, recursive=lang in ("java", "js"))  # an exact parser decides for the others
     return _built[lang]

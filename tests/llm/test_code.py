@@ -38,6 +38,38 @@ def test_valid(lang, text):
     assert cost == 0, edits
 
 
+_MIDDLE = lambda n: "a ? " * n + "b" + " : c" * n
+NESTED = {
+    "java": [
+        "class A { Map<String, Map<String, List<Optional<X>>>> m; }", "class A { " + "L<" * 30 + "X" + ">" * 30 + " m; }", "class A { void f() { do x(); while (c); } }", "class A { void f() { if (a) if (b) x(); else y(); else z(); } }",
+        "class A { void f() { if (a) for (;;) if (b) while (c) do x(); while (d); else y(); else if (e) if (f) u(); else v(); else w(); } }", f"class A {{ int x = {_MIDDLE(12)}; }}",
+    ],
+    "js": ["if (a) for (k in b) c(k); else d();", "if (a) while (b) c(); else d();", "if (a) if (b) c(); else d(); else e()", "if (a)\n  for (;;)\n    if (b)\n      c()\n    else\n      d()\nelse e()", "with (a) b();", f"x = {_MIDDLE(3)};", f"x = {_MIDDLE(12)}\ny = {_MIDDLE(5)}"],
+}
+BROKEN = {
+    "java": ["class A { Map<String, Map<String, List<Optional<X>>> m; }", "class A { void f() { do x(); while (c) } }", "class A { void f() { do x(); y(); while (c); } }", "class A { void f() { if (a) x(); else y(); else z(); } }", f"class A {{ int x = {_MIDDLE(12)} : d; }}"],
+    "js": ["if (a) for (k in b) c(k); else d(); else e();", "with a b();", f"x = {_MIDDLE(3)} : d;", "if (a) if (b) c(); d(); else e()"],
+}
+
+
+@pytest.mark.parametrize("lang,text", [(k, t) for k, v in NESTED.items() for t in v])
+def test_nesting_of_any_depth_is_valid(lang, text):
+    assert syntax.verdict(lang, text) == (0, None, None)
+
+
+@pytest.mark.parametrize("lang,text", [(k, t) for k, v in BROKEN.items() for t in v])
+def test_broken_nesting_is_invalid(lang, text):
+    assert syntax.verdict(lang, text)[0] > 0
+
+
+@pytest.mark.parametrize("lang,text", [(k, t) for k in ("java", "js") for t in GOOD[k] + BAD[k]])
+def test_earley_agrees_with_the_automaton(lang, text):
+    g, h = grammars.grammar(lang), chart.Grammar(*grammars.LANGUAGES[lang][:2], recursive=True)
+    h.exact = lambda rule, content: -1 if h.derives(rule, content) else 0
+    tokens = grammars.LANGUAGES[lang][2](text)
+    assert (chart.parse(g, tokens)[0] == 0) == (chart.parse(h, tokens)[0] == 0)
+
+
 @pytest.mark.parametrize("lang,text", [(k, t) for k, v in BAD.items() for t in v])
 def test_invalid(lang, text):
     assert syntax.verdict(lang, text)[0] > 0
