@@ -1,9 +1,9 @@
 """Generated, compressed, copied and data-only source files, so that hand-written source remains.
 
 Tokens are masked (identifiers, strings, numbers; key words and marks stay) and cut into five-token shingles. Near copies of the
-masked sets form families, near copies of the unmasked sets are copies. A family whose members repeat their own
-shingles over and over with numbered names is tool output; copies in several repositories, or under a package that is not
-the repository's, are third-party code; files of literals only are data; code without white space is compressed.
+masked sets form families, near copies of the unmasked sets are copies. A family of files within one repository that are no copies of each
+other is tool output, or data if it holds hardly any words; so is a file that repeats its own shingles over and over with numbered names. Copies in
+several repositories, or under a package that is not the repository's, are third-party code; files of literals only are data; code without white space is compressed.
 """
 
 from __future__ import annotations
@@ -95,27 +95,28 @@ def counting_rows(files: DataFrame) -> DataFrame:
     return files.join(last, "file_id", "left_semi").dropDuplicates(["path"])
 
 
-def classify(files: DataFrame, repos: DataFrame, family: int = 2, copies: int = 2) -> DataFrame:
+def classify(files: DataFrame, repos: DataFrame, family: int = 2, copies: int = 2, others: int = 2) -> DataFrame:
     """(path, reason) of the .java, .py and .js files that nobody of the repository wrote by hand.
 
-    reason: generated, compressed, copied or data. Files without content, and paths of other kinds, give no row. The repository of a path is its first part. An empty frame gives an empty frame.
+    reason: generated, compressed, copied or data. others: how many files of its repository must share a file's masked form without being copies of it. Files without content, and paths of other kinds, give no row. The repository of a path is its first part. An empty frame gives an empty frame.
     """
     code = counting_rows(files).where(F.col("path").rlike(r"\.(java|py|js)$")).select("path", F.substring_index("path", "/", 1).alias("repo"), "content")
     facts = cut(code.where(F.length("content") > 0).mapInPandas(_facts, FACTS))
     home = repos.groupBy(F.col("repo")).agg(F.max("base_package").alias("base"))  # one row for each repository
     facts = skew_join(facts, home, "repo", "left")
     grp = facts.select(F.col("path").alias("id"), F.col("repo").alias("grp"))
-    fam = near.spread(*near.links(facts.select(F.col("path").alias("id"), F.col("masked").alias("sh"))), grp).select(F.col("id").alias("path"), F.col("files").alias("family"))
-    dup = near.spread(*near.links(facts.select(F.col("path").alias("id"), F.col("exact").alias("sh"))), grp).select(F.col("id").alias("path"), F.col("groups").alias("copy_repos"))
+    fam = near.spread(*near.links(facts.select(F.col("path").alias("id"), F.col("masked").alias("sh"))), grp).select(F.col("id").alias("path"), F.col("files").alias("family"), F.col("within").alias("alike"))
+    dup = near.spread(*near.links(facts.select(F.col("path").alias("id"), F.col("exact").alias("sh"))), grp).select(F.col("id").alias("path"), F.col("groups").alias("copy_repos"), F.col("within").alias("same"))
     f = cut(facts.drop("masked", "exact").join(fam, "path", "left").join(dup, "path", "left"))
     foreign = F.col("package").isNotNull() & F.col("base").isNotNull() & ~F.startswith(F.concat("package", F.lit(".")), F.concat("base", F.lit(".")))
     kin = F.coalesce("family", F.lit(1)) >= family
     numbered, repeat = F.col("numbered"), F.col("repeat")
     generated = (numbered >= 0.35) & (repeat >= 0.6) | (numbered >= 0.2) & (repeat >= F.when(kin, F.lit(0.64)).otherwise(F.lit(0.66)))
-    data = (F.col("literal") >= 0.6) & ((F.col("words") <= 25) | (F.col("words") < 0.2 * F.col("tokens")))
+    tool = (F.coalesce("alike", F.lit(1)) - F.coalesce("same", F.lit(1)) >= others) & (F.col("tokens") >= 60)
+    data = tool & (F.col("words") < 0.2 * F.col("tokens")) | (F.col("literal") >= 0.6) & ((F.col("words") <= 25) | (F.col("words") < 0.2 * F.col("tokens")))
     compressed = (F.col("space") < 0.06) & (F.col("words") >= 40) & (F.col("literal") < 0.5)
     copied = foreign | (F.coalesce("copy_repos", F.lit(1)) >= copies) & (F.col("tokens") >= 60)
-    reason = F.when(data, "data").when(compressed, "compressed").when(generated, "generated").when(copied, "copied")
+    reason = F.when(data, "data").when(compressed, "compressed").when(generated, "generated").when(copied, "copied").when(tool, "generated")
     f = f.withColumn("reason", reason)
     # a banner (first comment) that most of its files share with known copies names the project they come from
     share = f.where("banner is not null").groupBy("banner").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "copied").alias("k"))

@@ -82,13 +82,16 @@ def links(sets: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
 
 
 def spread(members: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, files, groups): the size of the largest star of near copies that holds a row's class, and from how many groups it comes.
+    """(id, files, groups, within): the size of the largest star of near copies that holds a row's class, from how many groups it comes, and how many rows of
+    the row's own group are in the star of its class.
 
     groups: (id, grp). The star of a class holds it and all its near copies; a class counts in each star that holds it.
     """
     star = pairs.unionByName(pairs.select(F.col("leader").alias("cid"), F.col("cid").alias("leader"))).unionByName(members.select("cid", F.col("cid").alias("leader")).distinct())
-    per = members.join(groups, "id").groupBy("cid", "grp").agg(F.count("*").alias("k"))
-    per = skew_join(star, per, "cid").groupBy("leader", "grp").agg(F.sum("k").alias("k"))
+    own = members.join(groups, "id")
+    per = own.groupBy("cid", "grp").agg(F.count("*").alias("k"))
+    per = cut(skew_join(star, per, "cid").groupBy("leader", "grp").agg(F.sum("k").alias("k")))
     size = per.groupBy("leader").agg(F.sum("k").alias("files"), F.count("*").alias("groups"))
     best = skew_join(star, size, "leader").groupBy("cid").agg(F.max("files").alias("files"), F.max("groups").alias("groups"))
-    return skew_join(members, best, "cid").select("id", "files", "groups")
+    here = skew_join(own.select("id", F.struct("cid", "grp").alias("at")), per.select(F.struct(F.col("leader").alias("cid"), "grp").alias("at"), F.col("k").alias("within")), "at")
+    return skew_join(members, best, "cid").join(here, "id").select("id", "files", "groups", "within")

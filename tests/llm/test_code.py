@@ -180,3 +180,15 @@ def test_classes_of_files(spark):
     m = spark.createDataFrame([("1", ".\\me\\src\\A.java"), ("2", "/me/vendor/Own.java"), ("3", None)], "id string, file_path string")
     assert {r.id for r in handwritten.handwritten(m, found).collect()} == {"2", "3"}
     assert handwritten.classify(d.limit(0), repos).count() == 0
+
+
+def test_families_within_a_repository(spark):
+    """Without a digit in any name: record types and tables of one shape, against copies of one file and a mere pair."""
+    fields = ["region", "ledger", "parcel", "route", "vendor", "policy", "client", "worker"]
+    record = lambda c: f"package io.me.z;\npublic class {c} {{\n" + "".join(f"    private String {c.lower()}{f};\n    public String get{c}{f}() {{ return {c.lower()}{f}; }}\n" for f in fields) + "}\n"
+    table = lambda c: "module.exports = [" + ", ".join(f"[{ord(c) + i % 7}, {i % 3}]" for i in range(60)) + "];\n"
+    hand = "def total(rows, seen):\n    out = {}\n    for row in sorted(rows):\n        if row in seen:\n            continue\n        out[row.name] = out.get(row.name, zero) + row.price * row.count\n        seen.add(row)\n    while out and limit(out):\n        out.popitem()\n    return [x for x in out.items() if x]\n"
+    rows = [(f"me/a/{c}.java", record(c)) for c in ("Alpha", "Beta", "Gamma")] + [(f"me/b/{c}.js", table(c)) for c in "pqr"] + [(f"me/{c}/hand.py", hand) for c in "uvw"] + [(f"you/a/{c}.java", record(c).replace("io.me", "io.you").replace("String", "Text")) for c in ("Delta", "Sigma")]
+    d = spark.createDataFrame([(i, p, c, "2024", "", 0) for i, (p, c) in enumerate(rows)], FILE)
+    found = handwritten.classify(d, spark.createDataFrame([("me", "io.me"), ("you", "io.you")], "repo string, base_package string"))
+    assert {r.path: r.reason for r in found.collect()} == {f"me/a/{c}.java": "generated" for c in ("Alpha", "Beta", "Gamma")} | {f"me/b/{c}.js": "data" for c in "pqr"}
