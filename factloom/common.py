@@ -46,6 +46,8 @@ def drop_cut(df: DataFrame) -> None:
     jvm, files = df.sparkSession._jvm, df.inputFiles()
     if files:
         folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        while "=" in folder.getName():  # a table in parts
+            folder = folder.getParent()
         if folder.getName().startswith("factloom-"):
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -69,7 +71,8 @@ def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | str = "find") -> DataFrame:
     """big join small on `key` (how: inner, left or left_semi), where any key may hold a large share of `big` and `small` has few rows a key.
 
-    The rows of hot keys are spread over as many salts as there are partitions and their rows of `small` are repeated for each.
+    The rows of hot keys are spread over as many salts as there are partitions and their rows of `small` are repeated for each. A row's salt is a hash of
+    the row, so a task that runs again gives every row the salt it had before.
     NULL keys of `big` match nothing; how="left" keeps them. hot: what hot_keys() gave for `big`, if known.
     """
     n = max(2, parts(big.sparkSession))
@@ -78,7 +81,7 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", ho
     if hot is None:
         return big.join(small, key, how)
     hot = F.broadcast(hot)
-    spread = F.floor(F.rand(7) * n).cast("int")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(n)).cast("int")
     left = big.join(hot, big[key] == F.col("_hot"), "left")
     left = left.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(spread)).drop("_hot")
     right = small.join(hot, small[key] == F.col("_hot"), "left")
