@@ -1,9 +1,14 @@
 """Generated, compressed, copied and data-only source files, so that hand-written source remains.
 
-Tokens are masked (identifiers, strings, numbers; key words and marks stay) and cut into five-token shingles. Near copies of the
-masked sets form families, near copies of the unmasked sets are copies. A family of files within one repository that are no copies of each
-other is tool output, or data if it holds hardly any words; so is a file that repeats its own shingles over and over with numbered names. Copies in
-several repositories, or under a package that is not the repository's, are third-party code; files of literals only are data; code without white space is compressed.
+Code is cut into tokens; identifiers and literals are masked (key words and marks stay), a long literal counts as one token for each PIECE characters. A file is
+a row of units (a unit ends with a statement, a block or a line after UNIT tokens), and a unit is the set of its masked five-token shingles. Near copies of
+units, by MinHash banding with exact verification, are clusters, and clusters decide:
+
+- family: a cluster with several members in one repository that crowd in few files. A file that consists of families of its repository to a
+  good part is output of a tool, or compressed if it has hardly any white space.
+- literal cluster: a cluster of units of literals and marks only. A file that mostly consists of them is data.
+- copies: near copies of the unmasked shingles of whole files in several repositories are third-party code. So is a file with a mark (first comment, or
+  package root) that most of its files share with such copies.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, skew_join
+from ..common import cut, drop_cut, skew_join
 from . import near
 
 SHINGLE = 5
+#: Least and most tokens of a unit; characters of a literal that count as one token.
+UNIT, UNIT_MOST, PIECE = 16, 64, 16
 #: Words that masking keeps, of the three languages.
 KEY_WORDS = frozenset(
     """abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for if implements import instanceof int
@@ -29,21 +36,57 @@ KEY_WORDS = frozenset(
 )
 _C = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 _Q = r'"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?'
-_PARTS = {
-    "java": (_C, r'"""[\s\S]*?(?:"""|\Z)|' + _Q),
-    "js": (_C, r"`(?:\\.|[^`\\])*`?|" + _Q),
-    "py": (r"\#[^\n]*", r'[rbuRBUfF]{0,2}(?:"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|' + _Q + ")"),
+_WORD = r"\b\d[\w.]*|[^\W\d][\w$]*|\$[\w$]*|[^\s\w]"
+#: The tokens of each language: comments, strings, words and marks; line ends count in Python only.
+TOKENS = {
+    "java": re.compile(rf'{_C}|"""[\s\S]*?(?:"""|\Z)|{_Q}|{_WORD}'),
+    "js": re.compile(rf"{_C}|`(?:\\.|[^`\\])*`?|{_Q}|{_WORD}"),
+    "py": re.compile(rf'\#[^\n]*|[rbuRBUfF]{{0,2}}(?:"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|{_Q})|{_WORD}|\n'),
 }
-TOKENS = {k: re.compile(rf"(?P<c>{c})|(?P<s>{s})|(?P<n>\b\d[\w.]*)|(?P<i>[^\W\d][\w$]*|\$[\w$]*)|(?P<p>[^\s\w])") for k, (c, s) in _PARTS.items()}
-
-FACTS = "path string, repo string, lang string, tokens int, repeat double, literal double, words int, space double, numbered double, package string, banner bigint, masked array<bigint>, exact array<bigint>"
-
-
-def _shingles(tokens: list[str]) -> np.ndarray:
-    if not tokens:
-        return np.zeros(0, np.int64)
-    h = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
-    n = max(1, len(h) - SHINGLE + 1)
+#: Kinds of tokens.
+MARK, NAME, WORD, LITERAL, COMMENT, LINE = range(6)
+
+FACTS = "path string, repo string, kind string, cid binary, k int, tokens int, words int, space double, banner bigint, package string, sh array<bigint>"
+
+
+def _kind(token: str, lang: str) -> int:
+    if token == "\n":
+        return LINE
+    c = token[0]
+    if c == "#" and lang == "py" or lang != "py" and token[:2] in ("//", "/*"):
+        return COMMENT
+    if c.isdigit() or c in "\"'`" and (lang == "js" or c != "`") or len(token) > 1 and token[-1] in "\"'":
+        return LITERAL
+    return WORD if token in KEY_WORDS else NAME if c.isalpha() or c in "_$" else MARK
+
+
+class Tokens:
+    """Numbers of the tokens that a worker has met, with their masked and unmasked hashes (numpy tables that grow)."""
+
+    MOST = 500_000
+
+    def __init__(self, lang: str):
+        self.lang, self.number = lang, {}
+        self.table = np.zeros((1024, 5), np.uint64)  # masked hash, unmasked hash, kind, characters, ends a unit
+
+    def codes(self, tokens: list[str]) -> np.ndarray:
+        """One row of the table for each token."""
+        if len(self.number) > self.MOST:
+            self.number.clear()
+        number, lang = self.number, self.lang
+        for t in set(tokens) - number.keys():
+            i = number[t] = len(number)
+            if i >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            kind = _kind(t, lang)
+            plain = xxhash.xxh64_intdigest(t)
+            self.table[i] = (xxhash.xxh64_intdigest("I" if kind == NAME else "L") if kind in (NAME, LITERAL) else plain), plain, kind, len(t), t in ";}"
+        return self.table[np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))]
+
+
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of each SHINGLE tokens in a row; fewer tokens are one shingle."""
+    n = max(min(1, len(h)), len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(h))):
         out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -51,42 +94,78 @@ def _shingles(tokens: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def file_facts(path: str, repo: str | None, content: str | None) -> tuple:
-    lang, text = path.rpartition(".")[2], content or ""
-    masked, exact, names, literal, code, first = [], [], set(), 0, 0, None
-    for m in TOKENS[lang].finditer(text):
-        kind, s = m.lastgroup, m.group()
-        if kind == "c":
-            first = s if first is None and not exact else first
-            continue
-        code += len(s)
-        exact.append(s)
-        if kind == "i":
-            names.add(s)
-            masked.append(s if s in KEY_WORDS else "I")
-        elif kind == "p":
-            masked.append(s)
-        else:
-            literal += len(s)
-            masked.append(kind)
-    names -= KEY_WORDS
-    sh = _shingles(masked)
-    own = np.unique(sh)
-    package = re.search(r"^\s*package\s+([\w.]+)", text, re.M) if lang == "java" else None
-    words = sum(t == "I" or t in KEY_WORDS for t in masked)
-    spaces = sum(map(text.count, " \t\r\n"))
-    return (
-        path, repo, lang, len(masked), 1 - len(own) / max(1, len(sh)), literal / max(1, code), words, spaces / max(1, len(text)),
-        sum(bool(re.search(r"\d", x)) for x in names) / max(1, len(names)), package and package.group(1),
-        xxhash.xxh64_intdigest(" ".join(first.split())) - 2**63 if first else None, own, np.unique(_shingles(exact)),
-    )
+def _units(stops: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(from, to) of the units of n tokens; stops: positions after which a unit may end. Fewer than UNIT tokens are none."""
+    out, a = [], 0
+    for b in stops.tolist():
+        while b - a > UNIT_MOST:
+            out.append((a, a + UNIT_MOST))
+            a += UNIT_MOST
+        if b - a >= UNIT:
+            out.append((a, b))
+            a = b
+    while n - a >= UNIT:
+        out.append((a, min(n, a + UNIT_MOST)))
+        a += UNIT_MOST
+    return out
+
+
+def file_rows(path: str, repo: str | None, text: str, tokens: Tokens, least: int = 60) -> Iterator[tuple]:
+    """The rows of FACTS of one file: its units, equal ones once with their number, and the file itself. Files under `least` tokens have no set."""
+    words = TOKENS[tokens.lang].findall(text)
+    t = tokens.codes(words)
+    kind = t[:, 2]
+    first = next((w for w, k in zip(words, kind.tolist()) if k != LINE), None) if len(words) and COMMENT in kind[:50] else None
+    first = first if first is not None and _kind(first, tokens.lang) == COMMENT else None
+    # a line end lets the unit before it end; comments fall away
+    ends = t[:, 4].copy()
+    here = np.flatnonzero(kind == LINE)
+    ends[here[here > 0] - 1] = 1
+    keep = (kind != LINE) & (kind != COMMENT)
+    t, ends = t[keep], ends[keep]
+    times = np.where(t[:, 2] == LITERAL, (t[:, 3] + np.uint64(PIECE - 1)) // np.uint64(PIECE), 1).astype(np.int64)
+    masked = np.repeat(t[:, 0], times)
+    worded = np.repeat((t[:, 2] == NAME) | (t[:, 2] == WORD), times)
+    stops = np.cumsum(times)[ends > 0]
+    sh, total = _shingles(masked), np.concatenate([[0], np.cumsum(worded)])
+    units: dict[bytes, list] = {}
+    for a, b in _units(stops, len(masked)):
+        key = sh[a : b - SHINGLE + 1].tobytes()
+        u = units.setdefault(key, [0, 0, 0])
+        u[0], u[1], u[2] = u[0] + 1, u[1] + b - a, u[2] + int(total[b] - total[a])
+    merged: dict[bytes, list] = {}
+    for key, (k, n, w) in units.items():
+        s = np.unique(np.frombuffer(key, np.int64))
+        u = merged.setdefault(xxhash.xxh3_128_digest(s.tobytes()), [0, 0, 0, s])
+        u[0], u[1], u[2] = u[0] + k, u[1] + n, u[2] + w
+    for cid, (k, n, w, s) in merged.items():
+        yield path, repo, "unit", cid, k, n, w, None, None, None, s
+    whole = np.unique(_shingles(t[:, 1])) if len(t) >= least else None
+    package = re.search(r"^\s*package\s+([\w.]+)", text, re.M) if tokens.lang == "java" else None
+    spaces = sum(map(text.count, " \t\r\n")) / len(text)
+    banner = xxhash.xxh64_intdigest(" ".join(first.split())) - 2**63 if first else None
+    cid = None if whole is None else xxhash.xxh3_128_digest(whole.tobytes())
+    yield path, repo, "file", cid, 1, len(t), None, spaces, banner, package and ".".join(package.group(1).split(".")[:2]), whole
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in FACTS.split(", ")]
+    tokens = {k: Tokens(k) for k in TOKENS}
+    sent: set[bytes] = set()  # sets that this task has given already; each is wanted once
     for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame([file_facts(*r) for r in zip(pdf["path"], pdf["repo"], pdf["content"])], columns=names)
+        for k in range(0, len(pdf), 200):  # a bounded number of files in one answer
+            part, rows = pdf.iloc[k : k + 200], []
+            for path, repo, text in zip(part["path"], part["repo"], part["content"]):
+                for row in file_rows(path, repo, text, tokens[path.rpartition(".")[2]]):
+                    if row[3] in sent:
+                        row = (*row[:-1], None)
+                    elif row[3] is not None:
+                        sent.add(row[3])
+                    rows.append(row)
+            if len(sent) > 2_000_000:
+                sent.clear()
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({"words": "Int32"})
 
 
 def counting_rows(files: DataFrame) -> DataFrame:
@@ -95,34 +174,59 @@ def counting_rows(files: DataFrame) -> DataFrame:
     return files.join(last, "file_id", "left_semi").dropDuplicates(["path"])
 
 
-def classify(files: DataFrame, repos: DataFrame, family: int = 2, copies: int = 2, others: int = 2) -> DataFrame:
+def unit_shares(units: DataFrame, classes: DataFrame, members: int = 3, crowd: int = 2) -> DataFrame:
+    """(path, units, family, literal) of units(path, repo, cid, k, tokens, words): the shares of a file's tokens that lie in families of its repository and in literal clusters.
+
+    The cluster of a class holds it and its near copies. It is a family of a repository in which it has at least `members` members and at least `crowd` for each file that
+    holds one; it is a literal cluster if it has at least `members` members anywhere and the unit's words are at most a tenth of its tokens.
+    """
+    star = near.stars(near.pairs(classes), classes)
+    own = units.select("path", "repo", "cid", "k")
+    per = skew_join(own, star, "cid").groupBy("leader", "repo", "path").agg(F.sum("k").alias("k"))
+    per = cut(per.groupBy("leader", "repo").agg(F.sum("k").alias("k"), F.count("*").alias("files")))
+    everywhere = per.groupBy(F.col("leader").alias("cid")).agg((F.sum("k") >= members).alias("many")).where("many")
+    family = per.where((F.col("k") >= members) & (F.col("k") >= crowd * F.col("files"))).select(F.struct(F.col("leader").alias("cid"), "repo").alias("at"), F.lit(True).alias("family"))
+    u = units.select("path", "cid", "tokens", (F.col("words") * 10 <= F.col("tokens")).alias("plain"), F.struct("cid", "repo").alias("at"))
+    u = skew_join(skew_join(u, family, "at", "left"), everywhere, "cid", "left")
+    share = lambda c: F.round(F.sum(F.when(c, F.col("tokens")).otherwise(0)) / F.sum("tokens"), 6)
+    return u.groupBy("path").agg(F.count("*").alias("units"), share(F.col("family")).alias("family"), share(F.col("many") & F.col("plain")).alias("literal"))
+
+
+def copies(files: DataFrame, classes: DataFrame) -> DataFrame:
+    """(path, repos) of files(path, repo, cid) with a set: from how many repositories the near copies of a file come."""
+    star = near.stars(near.pairs(classes), classes)
+    per = skew_join(files.select("repo", "cid").distinct(), star, "cid").select("leader", "repo").distinct()
+    repos = per.groupBy(F.col("leader").alias("cid")).agg(F.count("*").alias("repos"))
+    return skew_join(files.select("path", "cid"), repos, "cid").select("path", "repos")
+
+
+def classify(files: DataFrame, repos: DataFrame, family: float = 0.5, literal: float = 0.5, copied: int = 2) -> DataFrame:
     """(path, reason) of the .java, .py and .js files that nobody of the repository wrote by hand.
 
-    reason: generated, compressed, copied or data. others: how many files of its repository must share a file's masked form without being copies of it. Files without content, and paths of other kinds, give no row. The repository of a path is its first part. An empty frame gives an empty frame.
+    reason: data (at least `literal` of the file in literal clusters), generated or compressed (at least `family` of it in families of its repository), copied
+    (near copies in at least `copied` repositories, or a mark of such copies). Files of a repository's own package are never copied: they are what others took.
+    Files without content, and paths of other kinds, give no row. The repository of a path is its first part. An empty frame gives an empty frame.
     """
     code = counting_rows(files).where(F.col("path").rlike(r"\.(java|py|js)$")).select("path", F.substring_index("path", "/", 1).alias("repo"), "content")
-    facts = cut(code.where(F.length("content") > 0).mapInPandas(_facts, FACTS))
-    home = repos.groupBy(F.col("repo")).agg(F.max("base_package").alias("base"))  # one row for each repository
-    facts = skew_join(facts, home, "repo", "left")
-    grp = facts.select(F.col("path").alias("id"), F.col("repo").alias("grp"))
-    fam = near.spread(*near.links(facts.select(F.col("path").alias("id"), F.col("masked").alias("sh"))), grp).select(F.col("id").alias("path"), F.col("files").alias("family"), F.col("within").alias("alike"))
-    dup = near.spread(*near.links(facts.select(F.col("path").alias("id"), F.col("exact").alias("sh"))), grp).select(F.col("id").alias("path"), F.col("groups").alias("copy_repos"), F.col("within").alias("same"))
-    f = cut(facts.drop("masked", "exact").join(fam, "path", "left").join(dup, "path", "left"))
-    foreign = F.col("package").isNotNull() & F.col("base").isNotNull() & ~F.startswith(F.concat("package", F.lit(".")), F.concat("base", F.lit(".")))
-    kin = F.coalesce("family", F.lit(1)) >= family
-    numbered, repeat = F.col("numbered"), F.col("repeat")
-    generated = (numbered >= 0.35) & (repeat >= 0.6) | (numbered >= 0.2) & (repeat >= F.when(kin, F.lit(0.64)).otherwise(F.lit(0.66)))
-    tool = (F.coalesce("alike", F.lit(1)) - F.coalesce("same", F.lit(1)) >= others) & (F.col("tokens") >= 60)
-    data = tool & (F.col("words") < 0.2 * F.col("tokens")) | (F.col("literal") >= 0.6) & ((F.col("words") <= 25) | (F.col("words") < 0.2 * F.col("tokens")))
-    compressed = (F.col("space") < 0.06) & (F.col("words") >= 40) & (F.col("literal") < 0.5)
-    copied = foreign | (F.coalesce("copy_repos", F.lit(1)) >= copies) & (F.col("tokens") >= 60)
-    reason = F.when(data, "data").when(compressed, "compressed").when(generated, "generated").when(copied, "copied").when(tool, "generated")
-    f = f.withColumn("reason", reason)
-    # a banner (first comment) that most of its files share with known copies names the project they come from
-    share = f.where("banner is not null").groupBy("banner").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "copied").alias("k"))
-    known = share.where("n >= 3 and k >= 0.6 * n").select("banner", F.lit(True).alias("known"))
-    f = skew_join(f, known, "banner", "left")
-    return f.select("path", F.coalesce("reason", F.when(F.col("known"), F.lit("copied"))).alias("reason")).where("reason is not null")
+    facts = cut(code.where(F.length("content") > 0).mapInPandas(_facts, FACTS), ("kind",))
+    classes = cut(facts.where("sh is not null").groupBy("kind", "cid").agg(F.first("sh").alias("sh")), ("kind",))
+    of = lambda kind: classes.where(F.col("kind") == kind).select("cid", "sh")
+    units, whole = facts.where("kind = 'unit'"), facts.where("kind = 'file'").select("path", "repo", "cid", "space", "banner", "package")
+    home = repos.groupBy("repo").agg(F.max("base_package").alias("base"))  # one row for each repository
+    f = whole.join(unit_shares(units, of("unit")), "path", "left").join(copies(whole.where("cid is not null"), of("file")), "path", "left")
+    f = skew_join(f, home, "repo", "left")
+    own = F.col("package").isNotNull() & F.startswith(F.concat("base", F.lit(".")), F.concat("package", F.lit(".")))
+    tool = F.when(F.col("space") < 0.06, "compressed").otherwise("generated")
+    reason = F.when(F.col("literal") >= literal, "data").when(F.col("family") >= family, tool).when((F.col("repos") >= copied) & ~F.coalesce(own, F.lit(False)), "copied")
+    f = cut(f.select("path", F.array("banner", F.xxhash64(F.lit("package"), F.when(~own, F.col("package")))).alias("marks"), F.col("package").isNotNull().alias("java"), reason.alias("reason")))
+    # a mark that most of its files share with copies names the project they come from
+    mark = f.select("path", "reason", F.explode(F.array_compact(F.when(F.col("java"), F.col("marks")).otherwise(F.slice("marks", 1, 1)))).alias("mark"))
+    known = mark.groupBy("mark").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "copied").alias("k")).where("n >= 3 and k >= 0.6 * n").select("mark")
+    marked = skew_join(mark.where("reason is null"), known, "mark", "left_semi").select("path", F.lit("copied").alias("reason")).distinct()
+    out = cut(f.where("reason is not null").select("path", "reason").unionByName(marked))
+    for x in (facts, classes, f):
+        drop_cut(x)
+    return out
 
 
 def handwritten(facts: DataFrame, found: DataFrame, column: str = "file_path") -> DataFrame:

@@ -1,8 +1,8 @@
 """Near copies of token-shingle sets: MinHash banding with exact verification.
 
-Equal sets are one class. Classes are hashed into BANDS x ROWS bands, and in every bucket all classes are compared with each other by exact Jaccard
-similarity: no bucket is capped or divided, and a class that has matched one other still meets the rest. The work of a bucket grows with the square of
-its classes; signature bits and sizes tell most unlike pairs apart before their sets are, and buckets of many pairs are spread over salts.
+Equal sets are one class. Classes are hashed into BANDS x ROWS bands; the classes of a bucket meet in a join of the bucket with itself, so no member is
+removed before it has met all others. A pair is first told apart by sizes and by one bit of each MinHash value (128 bits); what is left is made distinct, and
+only then are the two sets fetched and compared exactly. There is one pass and no round: the work is that of the pairs of unlike classes that share a bucket.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import cut, drop_cut, hot_keys, skew_join
 
-BANDS, ROWS = 32, 8
+BANDS, ROWS = 20, 6
+#: Pairs of a bucket above which it counts as hot and is spread over salts.
+HOT_PAIRS = 2_000_000
 _rng = np.random.RandomState(20240101)
 _A = _rng.randint(1, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _B = _rng.randint(0, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
@@ -43,55 +45,59 @@ def _mix(rows: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    number = np.arange(BANDS, dtype=np.uint32)[:, None]
     for pdf in batches:
-        keys, bits = [], []
-        for s in pdf["sh"]:
-            sig = signature(np.asarray(s, dtype=np.int64))
-            band = np.column_stack([np.arange(BANDS, dtype=np.uint32), sig.reshape(BANDS, ROWS)])
-            keys.append(_mix(band).view(np.int64))
-            bits.append(np.packbits((sig & 1).astype(np.uint8)).view(np.int64))
-        if len(pdf):
-            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), BANDS), "bucket": np.concatenate(keys), "bits": [x for x in bits for _ in range(BANDS)]})
+        if not len(pdf):
+            continue
+        sigs = np.array([signature(np.asarray(s, dtype=np.int64)) for s in pdf["sh"]])
+        bands = np.concatenate([np.broadcast_to(number, (len(sigs), BANDS, 1)), sigs.reshape(-1, BANDS, ROWS)], axis=2)
+        keys = _mix(bands.reshape(-1, ROWS + 1)).view(np.int64)
+        bits = np.zeros((len(sigs), 128), np.uint8)
+        bits[:, : sigs.shape[1]] = sigs & 1
+        packed = np.packbits(bits, axis=1).view(np.int64)
+        sizes = np.array([len(s) for s in pdf["sh"]], np.int32)
+        again = lambda x: np.repeat(x, BANDS)
+        yield pd.DataFrame({"cid": again(pdf["cid"].to_numpy()), "bucket": keys, "m": again(sizes), "b0": again(packed[:, 0]), "b1": again(packed[:, 1])})
+
+
+def _alike(x: Column | str, y: Column | str, m: Column, n: Column, least: float) -> Column:
+    return F.size(F.array_intersect(x, y)) >= F.ceil(least / (1 + least) * (m + n) - 1e-9)
+
+
+def pairs(classes: DataFrame, least: float = 0.8) -> DataFrame:
+    """classes(cid, sh array<bigint>), one row for each distinct non-empty set -> (cid, leader): all pairs of classes that share a bucket and have a Jaccard
+    similarity >= `least`, each once, its smaller class as cid."""
+    kind = classes.schema["cid"].dataType.simpleString()
+    rows = cut(classes.mapInPandas(_bands, f"cid {kind}, bucket bigint, m int, b0 bigint, b1 bigint"))
+    shared = cut(rows.groupBy("bucket").count().where("count > 1"))
+    rows = skew_join(rows, shared.select("bucket"), "bucket", "left_semi", hot=hot_keys(shared, "bucket"))
+    others = rows.select("bucket", F.col("cid").alias("leader"), F.col("m").alias("n"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
+    hot = hot_keys(shared.select("bucket", F.expr(f"count * (count - 1) div 2 * 10000 div {HOT_PAIRS}").alias("count")), "bucket")
+    # one bit of each signature value, and the sizes, tell most unlike pairs apart: five standard deviations above what a pair of similarity `least` shows
+    n = BANDS * ROWS
+    most_unlike = math.ceil(n * (1 - least) / 2 + 5 * math.sqrt(n * (1 - least) / 2 * (1 + least) / 2))
+    unlike = F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("c1")))
+    sizes = F.least("m", "n") >= least * F.greatest("m", "n")
+    met = skew_join(rows, others, "bucket", hot=hot).where((F.col("cid") < F.col("leader")) & sizes & (unlike <= most_unlike))
+    met = met.select("cid", "leader", "m", "n").distinct()
+    met = met.join(classes.select("cid", F.col("sh").alias("x")), "cid").join(classes.select(F.col("cid").alias("leader"), F.col("sh").alias("y")), "leader")
+    out = cut(met.where(_alike("x", "y", F.col("m"), F.col("n"), least)).select("cid", "leader"))
+    drop_cut(rows)
+    return out
 
 
 def links(sets: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """sets(id, sh array<bigint>) -> members(id, cid) and links(cid, leader): all pairs of classes that share a bucket and have a Jaccard similarity >= `least`.
+    """sets(id, sh array<bigint>) -> members(id, cid) and pairs() of the classes.
 
-    A pair is given once, its smaller class as cid. NULL and empty sets belong to no class. Rows with an equal set have one class and need no link.
+    NULL and empty sets belong to no class. Rows with an equal set have one class and need no link.
     """
     own = sets.where(F.size("sh") > 0).select("id", F.array_sort(F.array_distinct("sh")).alias("sh"))
     own = cut(own.withColumn("cid", F.struct(F.xxhash64("sh").alias("a"), F.hash("sh").alias("b"))))
-    members = own.select("id", "cid")
     classes = cut(own.groupBy("cid").agg(F.first("sh").alias("sh")))
-    rows = cut(classes.mapInPandas(_bands, "cid struct<a:bigint,b:int>, bucket bigint, bits array<bigint>"))
-    shared = cut(rows.groupBy("bucket").count().where("count > 1"))
-    rows = skew_join(rows, shared.select("bucket"), "bucket", "left_semi", hot=hot_keys(shared, "bucket"))
-    rows = cut(rows.join(classes, "cid").select("cid", "bucket", "bits", F.col("sh").alias("x"), F.size("sh").alias("m")))
-    others = rows.select("bucket", F.col("cid").alias("leader"), F.col("bits").alias("lead_bits"), F.col("x").alias("y"), F.col("m").alias("n"))
-    hot = hot_keys(shared.select("bucket", F.expr("count * (count - 1) / 2000").alias("count")), "bucket")  # over ten million pairs
-    # one bit of each signature value, and the sizes, tell most unlike pairs apart before their sets are
-    n = len(_A)
-    most_unlike = math.ceil(n * (1 - least) / 2 + 5 * math.sqrt(n * (1 - least) / 2 * (1 + least) / 2))  # five standard deviations above what a pair of similarity `least` shows
-    unlike = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(n // 64)), F.lit(0))
-    sizes = F.least("m", "n") >= least * F.greatest("m", "n")
-    alike = F.size(F.array_intersect("x", "y")) >= F.ceil(least / (1 + least) * (F.col("m") + F.col("n")) - 1e-9)
-    pairs = skew_join(rows, others, "bucket", hot=hot).where((F.col("cid") < F.col("leader")) & sizes & (unlike <= most_unlike) & alike)
-    every = cut(pairs.select("cid", "leader").distinct())
-    drop_cut(rows)
-    return members, every
+    return own.select("id", "cid"), pairs(classes, least)
 
 
-def spread(members: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, files, groups, within): the size of the largest star of near copies that holds a row's class, from how many groups it comes, and how many rows of
-    the row's own group are in the star of its class.
-
-    groups: (id, grp). The star of a class holds it and all its near copies; a class counts in each star that holds it.
-    """
-    star = pairs.unionByName(pairs.select(F.col("leader").alias("cid"), F.col("cid").alias("leader"))).unionByName(members.select("cid", F.col("cid").alias("leader")).distinct())
-    own = members.join(groups, "id")
-    per = own.groupBy("cid", "grp").agg(F.count("*").alias("k"))
-    per = cut(skew_join(star, per, "cid").groupBy("leader", "grp").agg(F.sum("k").alias("k")))
-    size = per.groupBy("leader").agg(F.sum("k").alias("files"), F.count("*").alias("groups"))
-    best = skew_join(star, size, "leader").groupBy("cid").agg(F.max("files").alias("files"), F.max("groups").alias("groups"))
-    here = skew_join(own.select("id", F.struct("cid", "grp").alias("at")), per.select(F.struct(F.col("leader").alias("cid"), "grp").alias("at"), F.col("k").alias("within")), "at")
-    return skew_join(members, best, "cid").join(here, "id").select("id", "files", "groups", "within")
+def stars(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(leader, cid): every class with its near copies and with itself; as many rows as classes and twice the pairs."""
+    both = found.unionByName(found.select(F.col("leader").alias("cid"), F.col("cid").alias("leader")))
+    return both.unionByName(classes.select("cid", F.col("cid").alias("leader"))).select("leader", "cid")
