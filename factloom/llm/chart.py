@@ -52,7 +52,7 @@ class Grammar:
         self.next: list[dict[int, int]] = []
         self.symbols: dict[object, int] = {}
         self.symbol_of: list[object] = []
-        self.memory: dict[tuple, tuple[int, int]] = {}
+        self.memory: dict[tuple, tuple[int, int, tuple]] = {}
         self.any_memory: dict[int, int] = {}
 
     # building
@@ -337,13 +337,15 @@ class Grammar:
             return -1
         return read
 
-    def repair(self, rule: str, content: tuple[int, ...], most: int) -> int:
-        """Least number of edits that make the content derivable, or most + 1. Table rows are positions, levels are edits."""
-        end, n = self.end[rule], len(content)
-        free = [self.symbol_of[s] in ("NL", "EOB") for s in content]
-        below: list[int] | None = None
+    def _free(self, content: tuple[int, ...]) -> list[bool]:
+        return [self.symbol_of[s] in ("NL", "EOB") for s in content]
+
+    def _levels(self, rule: str, content: tuple[int, ...], most: int) -> list[list[int]]:
+        """The table of a repair: for each number of edits the states that can be reached before each position, up to the level that derives the content, or `most`."""
+        end, n, free = self.end[rule], len(content), self._free(content)
+        levels: list[list[int]] = []
         for c in range(most + 1):
-            row, cur = [], 0
+            below, row, cur = levels[-1] if levels else None, [], 0
             for i in range(n + 1):
                 new = self._step(cur, content[i - 1]) if i else (self.begin[rule] if not c else 0)
                 if below is not None:
@@ -352,35 +354,69 @@ class Grammar:
                         new |= below[i - 1] | self._any(below[i - 1])
                 cur = new
                 row.append(cur)
+            levels.append(row)
             if cur & end:
-                return c
-            below = row
-        return most + 1
+                break
+        return levels
+
+    def repair(self, rule: str, content: tuple[int, ...], most: int) -> int:
+        """Least number of edits that make the content derivable, or most + 1."""
+        levels = self._levels(rule, content, most)
+        return len(levels) - 1 if levels[-1][-1] & self.end[rule] else most + 1
+
+    @staticmethod
+    def _leading(states: int, target: int, step) -> int:
+        """Those of the states from which the step leads to a target state."""
+        out = 0
+        while states:
+            low = states & -states
+            if step(low) & target:
+                out |= low
+            states ^= low
+        return out
+
+    def places(self, rule: str, content: tuple[int, ...], cost: int) -> tuple[tuple[str, int], ...]:
+        """The edits of one cheapest repair as (what, position), read back from the table; what: insert (before the position), delete or replace."""
+        levels, free = self._levels(rule, content, cost), self._free(content)
+        out, c, i, target = [], len(levels) - 1, len(content), self.end[rule]
+        if not levels[-1][-1] & target:
+            return ()
+        while c or i:
+            if i and (pre := self._leading(levels[c][i - 1], target, lambda s: self._step(s, content[i - 1]))):
+                target, i = pre, i - 1
+            elif i and not free[i - 1] and levels[c - 1][i - 1] & target:
+                out.append(("delete", i - 1))
+                target, i, c = levels[c - 1][i - 1] & target, i - 1, c - 1
+            elif i and not free[i - 1] and (pre := self._leading(levels[c - 1][i - 1], target, self._any)):
+                out.append(("replace", i - 1))
+                target, i, c = pre, i - 1, c - 1
+            else:
+                out.append(("insert", i))
+                target, c = self._leading(levels[c - 1][i], target, self._any), c - 1
+        return tuple(reversed(out))
 
-    def group(self, kind: str, content: tuple[int, ...]) -> tuple[int, int]:
-        """(least edit cost, bits of the non-terminals that attain it) of a group's content."""
+    def group(self, kind: str, content: tuple[int, ...]) -> tuple[int, int, tuple]:
+        """(least edit cost, bits of the non-terminals that attain it, edits of one cheapest repair) of a group's content."""
         key = (kind, content)
         got = self.memory.get(key)
         if got is None:
             rules, bits = self.kinds.get(kind, []), 0
-            for i, r in enumerate(rules):
-                if self.exact(r, content) < 0:
+            reach = [self.exact(r, content) for r in rules]
+            for i, far in enumerate(reach):
+                if far < 0:
                     bits |= 1 << i
-            got = (0, bits)
+            got = (0, bits, ())
             if not bits and rules:
-                reach = [self.exact(r, content) for r in rules]
-                far = max(reach)
-                # rules that read the most come first and bound the rest
-                best = MOST_EDITS + 1
+                # rules that read the most come first: their cost bounds the table of the rest
+                best, lead = MOST_EDITS + 1, None
                 for i in sorted(range(len(rules)), key=lambda i: -reach[i]):
-                    if reach[i] < far and best <= MOST_EDITS and reach[i] * 2 < far:
-                        continue
                     c = self.repair(rules[i], content, min(best, MOST_EDITS))
                     if c < best:
-                        best, bits = c, 1 << i
+                        best, bits, lead = c, 1 << i, rules[i]
                     elif c == best and c <= MOST_EDITS:
                         bits |= 1 << i
-                got = (best, bits or (1 << len(rules)) - 1)
+                where = self.places(lead, content, best) if lead else (("content", min(max(reach), len(content))),)
+                got = (best, bits or (1 << len(rules)) - 1, where)
             if len(self.memory) > MEMORY:
                 self.memory.clear()
             self.memory[key] = got
@@ -398,24 +434,26 @@ def parse(grammar: Grammar, tokens: list[tuple[str, str, int]]) -> tuple[int, li
     """
     edits: list[tuple[str, int]] = []
     symbol, extra = grammar.symbol, 0
-    stack: list[tuple[str, int, list[int]]] = [("F", 1, [])]
+    stack: list[tuple[str, int, list[int], list[int]]] = [("F", 1, [], [])]
 
     def close(line: int) -> None:
         nonlocal extra
-        kind, opened, content = stack.pop()
-        cost, bits = grammar.group(kind[0], tuple(content))
+        kind, opened, content, at = stack.pop()
+        cost, bits, where = grammar.group(kind[0], tuple(content))
         if cost:
             extra += cost
-            edits.append(("content", line if kind == "F" else opened))
+            edits.extend((what, at[i] if i < len(at) else line) for what, i in where)
         if stack:
             stack[-1][2].append(symbol((kind[0], bits)))
+            stack[-1][3].append(opened)
 
     line = 1
     for role, name, line in tokens:
         if not role:
             stack[-1][2].append(symbol(name))
+            stack[-1][3].append(line)
         elif role == "<":
-            stack.append((name, line, []))
+            stack.append((name, line, [], []))
         elif role == ">":
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == name), 0)
             if not depth:
@@ -434,10 +472,9 @@ def parse(grammar: Grammar, tokens: list[tuple[str, str, int]]) -> tuple[int, li
         extra += 1
         edits.append(("end", line))
         close(line)
-    kind, _, content = stack[0]
-    far = grammar.exact("File", tuple(content))
-    if far >= 0:
-        cost, _ = grammar.group("F", tuple(content))
+    kind, _, content, at = stack[0]
+    if grammar.exact("File", tuple(content)) >= 0:
+        cost, _, where = grammar.group("F", tuple(content))
         extra += max(cost, 1)
-        edits.append(("end" if far == len(content) else "content", line))
+        edits.extend(("end" if i >= len(at) else what, at[i] if i < len(at) else line) for what, i in where)
     return extra, edits

@@ -157,17 +157,18 @@ def features(text: str, a: int, b: int, kind: str, lex: Lexicon) -> list[str]:
 
 #: Top-level domains, generic and reserved.
 TOP = frozenset("com org net edu gov int io dev app info biz name eu uk de fr es it nl se no fi dk pl ch at cz pt ru cn jp in br mx us ca au nz example test invalid localhost".split())
-#: Contexts that label a candidate of the sample: before, after. What they leave open is not used in training.
-_Q = r"[\"'(<|:=\s;,/]*"
+#: Contexts that label a candidate of the sample, in the languages of the corpus: words that stand right before a piece of its kind wherever people write to each other
+#: or fill in forms (salutations, by-lines, the names of form fields), and words right after. What they leave open is not used in training.
+_Q = r"[\"'(<|:=\s;,/.：]*"
 _FOR = {
-    "NAME": (r"(?:\bHi|\bDear|\bcc|[Cc]ontact:?|Contacto:|联系人|[Rr]eported by|started by|[Rr]eviewed-by:|Signed-off-by:|@author|maintainer:|owner\"?[:=]|user=|handed to|letter to|row:|starter|[Tt]hanks|blame says|Bitte|Liebe[r]?|Hola|[Ee]scort|[Aa]uthor:)" + _Q + r"$", r"^" + _Q + r"(?:signed off|fragen|wrote the|for the patch)"),
-    "PHONE": (r"(?:\btel\.?|[Tt]elefono?|Telefon|\bCall|\bcall|dial|[Cc]ell:?|[Pp]hone\"?:?|电话[：:]?|Llamar al|Rufnummer|mobile:?)" + _Q + r"$", r"^ (?:ext\.|if the gate|antes de)"),
-    "ID_NUMBER": (r"(?:SSN|ssn\"?:?|passport no\.|[Pp]ersonal id|insurance number|证件号|[Dd]ocumento|travel document|taxpayer id:|, document|holds)" + _Q + r"$", r"^ (?:is what the form|shows up in|must not be stored|aparece en)"),
-    "ADDRESS": (r"(?:lives at|token device to|addr\"?:|desk at|drops at|[Ww]ohnhaft|寄到|Vive en|moved from)" + _Q + r"$", r"^(?:, second floor|; ring twice| and works nights|, laut Formular| is closed)"),
-    "EMAIL": (r"(?:mail|correo|邮箱|notify=|\"email\":|Rückfragen an|Reach me at|Escalate to)" + _Q + r"$", r"^$"),
+    "NAME": (r"(?i:\b(?:hi|hello|dear|cc|contact(?:o)?|联系人|(?:reported|signed|written|started|reviewed|approved|sent|called|answered|handled|owned|requested|opened|closed|raised) by|(?:reviewed|signed-off|acked|tested)[- ]by|@?author|maintainer|owner|user|name|nombre|handed to|letter to|thanks|regards|gruß|grüße|bitte|liebe[r]?|hallo|hola|saludos|gracias|mr|mrs|ms|dr|herr|frau|señor|señora))" + _Q + r"$", r"^" + _Q + r"(?:signed off|wrote|said|called|asked|replied|reported|approved|fragen)\b"),
+    "PHONE": (r"(?i:\b(?:tel|tel[eé]fono?|telefon|rufnummer|fon|fax|call|dial|cell|phone|mobile|mobil|m[oó]vil|llamar al|ring|reach (?:me|us) on)|电话|手机)\"?" + _Q + r"$", r"^ (?:ext|durchwahl)\b"),
+    "ID_NUMBER": (r"(?i:\b(?:ssn|social security(?: number)?|passport(?: no| number)?|(?:personal|national|tax|taxpayer|identity|insurance|travel document|document|dni|nie|nif|ausweis|steuer)(?: ?-?(?:id|no|number|nummer|identification))?|documento|n[uú]mero)|证件号|身份证号?|护照号?)\"?" + _Q + r"$", r"^$"),
+    "ADDRESS": (r"(?i:\b(?:lives? (?:at|in)|address|addr|adresse|direcci[oó]n|wohnhaft|wohnt|vive en|domicilio|street|moved (?:from|to)|deliver(?:ed)? to|ship to|desk at|office at|home at)|地址|寄到|住在)\"?" + _Q + r"$", r"^$"),
+    "EMAIL": (r"(?i:\b(?:e-?mail|mail|correo|notify|contact|reach me at|write to)|邮箱|邮件)\"?" + _Q + r"$", r"^$"),
 }
-_AGAINST = re.compile(r"(?:\bbuild|\btrace|\bversion|\blicen[cs]e|\brange|\brule|\bport|\bpid|\bhash|\bticket|\bwindow|\brunner|\bremote is|\bnpm|\bhandle|\bsend to|\bTeam|\bthe|\bcommit|\bid:?|\brevision)" + r"[\s:=#]*$")
-_NO_MAIL = re.compile(r"(?:remote is|clone|npm|handle|send to|pull|push)[\s:=]*$")
+_AGAINST = re.compile(r"(?i:\b(?:build|trace|span|version|release|licen[cs]e|range|rule|port|pid|hash|ticket|issue|window|runner|team|the|commit|id|revision|line|row|order|job|port))" + r"[\s:=#]*$")
+_NO_MAIL = re.compile(r"(?i:\b(?:remote(?: is)?|clone|npm|install|handle|pull|push|fetch|package))[\s:=]*$")
 _FOR_RE = {k: (re.compile(a), re.compile(b)) for k, (a, b) in _FOR.items()}
 
 
@@ -306,13 +307,13 @@ def find(text: str, w: dict[str, float], lex: Lexicon) -> list[tuple[int, int, s
     top, top_at = [], []  # best over all candidates up to here
     for i, (a, b, k) in enumerate(cand):
         s = sum(w.get(f, 0.0) for f in features(text, a, b, k, lex))
-        j = bisect.bisect_right(ends, a) - 1
-        before, at = (top[j], top_at[j]) if j >= 0 and top[j] > 0 else (0.0, -1)
-        while j >= 0 and ends[j] >= a - NEAR:
+        # chains that end NEAR or more before it have no transition; those that end closer pay theirs, whatever its sign
+        far, close = bisect.bisect_left(ends, a - NEAR), bisect.bisect_right(ends, a)
+        before, at = (top[far - 1], top_at[far - 1]) if far and top[far - 1] > 0 else (0.0, -1)
+        for j in range(far, close):
             x = best[j] + w.get(f"{cand[j][2]}+{k}", 0.0)
             if x > before:
                 before, at = x, j
-            j -= 1
         ends.append(b)
         best.append(s + before)
         via.append(at)

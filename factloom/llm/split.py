@@ -1,13 +1,15 @@
 """Splitting oversized payloads at natural boundaries by dynamic programming.
 
 Boundary positions carry a penalty by kind; a chain of cuts costs its penalties plus the squared deviation of each piece from the even
-size. The cheapest chain is found exactly over all boundary positions (thinned to the best of each CELL bytes), subject to the byte limit of
-a piece including the overlap that it repeats. Payloads within the limit never leave the JVM.
+size. The cheapest chain is found exactly over all boundary positions, subject to the byte limit of a piece including the overlap that it repeats. The cost of a
+piece is convex in its length, so of two places to cut before, the later one stays better once it is, and each place is best for one range of
+ends: a queue of those ranges makes the search linear. Payloads within the limit never leave the JVM.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,8 @@ KINDS = [(rb"\n[ \t\r]*\n+", 0.0), (rb"\r?\n|\r", 0.5), (rb"[.!?;]['\")\]]?[ \t]
 ANYWHERE = 12.0
 #: Weight of the squared deviation (in shares of the limit) from the even size.
 BALANCE = 4.0
-#: One boundary position, the one of least penalty, is kept in so many bytes.
-CELL = 32
+#: A run without natural boundary has boundary positions (of the penalty ANYWHERE, at every character) only if it is longer than so many bytes: shorter words stay whole.
+WORD = 64
 
 
 def cuts(payload: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -30,54 +32,65 @@ def cuts(payload: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
     n = len(payload)
     if n <= limit:
         return [(0, n)]
-    raw = np.frombuffer(payload, np.uint8)
-    solid = (raw & 0xC0) != 0x80  # a character begins here
+    pos, cost, begin = boundaries(payload, overlap)
+    even = n / -(-n // max(1, limit - overlap))
+    return chain(pos, cost, begin, even, limit)
+
+
+def boundaries(payload: bytes, overlap: int) -> tuple[list[int], list[float], list[int]]:
+    """All boundary positions from 0 to the end, their penalties, and where a piece that follows a cut there begins."""
+    n = len(payload)
+    solid = (np.frombuffer(payload, np.uint8) & 0xC0) != 0x80  # a character begins here
     penalty = np.full(n + 1, np.inf)
-    penalty[:n][solid] = ANYWHERE
     for pattern, value in reversed(KINDS):
         at = np.fromiter((m.end() for m in re.finditer(pattern, payload)), np.int64)
         penalty[at] = value
-    # the best position of each cell (the last of equal ones), then the end
-    cells = -(-n // CELL)
-    grid = np.full(cells * CELL, np.inf)
-    grid[:n] = penalty[:n]
-    grid[0] = np.inf
-    grid = grid.reshape(cells, CELL)[:, ::-1]
-    best = CELL - 1 - grid.argmin(1)
-    pos = np.arange(cells) * CELL + best
-    cost = grid.min(1)
-    pos, cost = pos[np.isfinite(cost)], cost[np.isfinite(cost)]
-    pos, cost = np.append(np.insert(pos, 0, 0), n), np.append(np.insert(cost, 0, 0.0), 0.0)
-    # where the piece after a cut begins: up to `overlap` bytes earlier, at a character
-    begin = np.maximum(pos - overlap, 0)
-    nxt = np.minimum.accumulate(np.where(solid, np.arange(n), n)[::-1])[::-1]
-    begin = np.where(pos < n, np.minimum(nxt[np.minimum(begin, n - 1)], pos), n)
+    penalty[[0, n]] = 0.0
+    fixed = np.flatnonzero(np.isfinite(penalty))
+    for a, b in zip(fixed[:-1], fixed[1:]):
+        if b - a > WORD:
+            penalty[a + 1 : b][solid[a + 1 : b]] = ANYWHERE
+    pos = np.flatnonzero(np.isfinite(penalty))
+    # up to `overlap` bytes earlier, at a character
+    nxt = np.append(np.minimum.accumulate(np.where(solid, np.arange(n), n)[::-1])[::-1], n)
+    begin = np.minimum(nxt[np.maximum(pos - overlap, 0)], pos)
     begin[0] = 0
-    even = n / -(-n // max(1, limit - overlap))
-    total, back = np.full(len(pos), np.inf), np.zeros(len(pos), np.int64)
-    total[0] = 0
-    low = 0
+    return pos.tolist(), penalty[pos].tolist(), begin.tolist()
+
+
+def chain(pos: list[int], cost: list[float], begin: list[int], even: float, limit: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of the cheapest chain from the first position to the last."""
+    scale = limit * limit / BALANCE
+    total, back = [0.0] * len(pos), [0] * len(pos)
+    best: deque[tuple[int, float]] = deque([(0, 0.0)])  # (place to cut before, first end for which it is best)
     for j in range(1, len(pos)):
-        while pos[j] - begin[low] > limit:
-            low += 1
-        size = (pos[j] - pos[low:j] - even) / limit
-        c = total[low:j] + BALANCE * size * size
-        k = int(c.argmin()) if len(c) else 0
-        if len(c):
-            total[j], back[j] = c[k] + cost[j], low + k
+        x = pos[j]
+        while len(best) > 1 and best[1][1] <= x:
+            best.popleft()
+        i = best[0][0]
+        size = (x - pos[i] - even) / limit
+        total[j], back[j] = total[i] + BALANCE * size * size + cost[j], i
+        shift = total[j] * scale + (x + even) ** 2
+        while best:
+            k, since = best[-1]
+            # from here on a cut at j is better than one at k, by cost or because the piece from k would exceed the limit
+            better = min((shift - total[k] * scale - (pos[k] + even) ** 2) / (2 * (x - pos[k])), begin[k] + limit + 1)
+            if better > since and better > x:
+                break
+            best.pop()
+        best.append((j, better if best else x + 1))
     ends, j = [], len(pos) - 1
     while j:
         ends.append(j)
         j = back[j]
     ends.reverse()
-    starts = [0, *ends[:-1]]
-    return [(int(begin[i]), int(pos[j])) for i, j in zip(starts, ends)]
+    return [(begin[i], pos[j]) for i, j in zip([0, *ends[:-1]], ends)]
 
 
 def piece_bounds(payload: Column, limit: int, overlap: int) -> Column:
     """array<struct<from int, to int>>: byte ranges of a payload's pieces."""
-    if overlap + 2 * CELL + 8 > limit:
-        raise ValueError("the limit must exceed the overlap by more than two cells")
+    if overlap + WORD + 8 > limit:
+        raise ValueError("the limit must exceed the overlap by more than a word")
 
     def bounds(payloads: pd.Series) -> pd.Series:
         return pd.Series([[{"from": a, "to": b} for a, b in cuts(p.encode(), limit, overlap)] if isinstance(p, str) else None for p in payloads], dtype=object)

@@ -109,6 +109,26 @@ def test_least_cost_by_brute_force():
         assert g.repair("File", tuple(g.symbol(x) for x in s), 8) == min(distance(s, t) for t in valid)
 
 
+def test_groups_hold_the_least_cost_over_all_rules():
+    """Several rules of a kind, one of which reads far and still costs more: none is left out, and the edits are those of a cheapest repair."""
+    import itertools
+
+    g = chart.Grammar("File = P[A] | P[B] | P[C]\nA = a b c d q q q\nB = z b c d e f g h\nC = ( a b? ) % c")
+    content = tuple(g.symbol(x) for x in "abcdefgh")
+    assert g.group("P", content)[0] == 1 and g.group("P", content)[2] == (("replace", 0),)
+    for s in itertools.product("abcz", repeat=4):
+        t = tuple(g.symbol(x) for x in s)
+        cost, bits, where = g.group("P", t)
+        assert cost == min(g.repair(r, t, 8) for r in "ABC") == len(where)
+        assert all(0 <= i <= len(t) and what in ("insert", "delete", "replace") for what, i in where)
+
+
+def test_edits_are_told_by_their_own_line():
+    text = "class A {\n  void f() {\n    x();\n    y()\n    z();\n    int a = ;\n  }\n}\n"
+    cost, edits = chart.parse(grammars.grammar("java"), grammars.java_tokens(text))
+    assert cost == 2 and sorted(line for _, line in edits) in ([5, 6], [4, 6])
+
+
 def test_causes():
     body = "class A {\n" + "  void f() { x(); }\n" * 40 + "}\n"
     assert syntax.verdict("java", body) == (0, None, None)

@@ -32,6 +32,28 @@ def test_natural_boundaries_and_least_cost():
     assert max(b - a for a, b in split.cuts(data, 500, 50)) <= 500
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aaaa b.\n,é名", min_size=30, max_size=900), st.integers(110, 260), st.integers(0, 30))
+def test_the_chain_is_the_cheapest_over_all_boundaries(text, limit, overlap):
+    p = text.encode()
+    n = len(p)
+    pos, cost, begin = split.boundaries(p, overlap)
+    even = n / -(-n // (limit - overlap))
+    price = lambda i, j: split.BALANCE * ((pos[j] - pos[i] - even) / limit) ** 2 + cost[j] if pos[j] - begin[i] <= limit else float("inf")
+    least = [0.0]
+    for j in range(1, len(pos)):
+        least.append(min(least[i] + price(i, j) for i in range(j)))
+    got = split.chain(pos, cost, begin, even, limit)
+    at = [0, *(pos.index(e) for _, e in got)]
+    assert abs(sum(price(i, j) for i, j in zip(at, at[1:])) - least[-1]) < 1e-6
+    # every natural boundary is a position, and so is every character of a long run
+    assert {i + 1 for i, c in enumerate(p) if c == 10} <= set(pos)
+
+
+def test_positions_in_runs():
+    assert len(split.boundaries(b"x" * 64, 8)[0]) == 2 and len(split.boundaries(b"x" * 65, 8)[0]) == 66
+
+
 def test_frames(spark):
     big = "line of text here\n" * 1000
     items = spark.createDataFrame([(1, "c1", big, "x"), (1, "c1", big, "x"), (2, "c1", "small", "x"), (3, "c9", big, "x"), (4, "c2", None, "x"), (5, "c2", "", "x"), (6, "c2", "é" * 4096, "x"), (7, "c2", "é" * 4096 + "a", "x")], "item_id bigint, chunk_name string, payload string, bounds string")
