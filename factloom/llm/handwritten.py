@@ -17,10 +17,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..common import cut, drop_cut, skew_join
 from . import near
@@ -46,7 +47,10 @@ TOKENS = {
 #: Kinds of tokens.
 MARK, NAME, WORD, LITERAL, COMMENT, LINE = range(6)
 
-FACTS = "path string, repo string, kind string, cid binary, k int, tokens int, words int, space double, banner bigint, package string, sh array<bigint>"
+FACTS = pa.schema([
+    ("file", pa.int64()), ("path", pa.string()), ("repo", pa.string()), ("unit", pa.bool_()), ("cid", pa.binary()), ("k", pa.int32()), ("tokens", pa.int32()), ("words", pa.int32()), ("space", pa.float64()), ("banner", pa.int64()),
+    ("package", pa.string()), ("sh", pa.list_(pa.int64())),
+])
 
 
 def _kind(token: str, lang: str) -> int:
@@ -60,6 +64,9 @@ def _kind(token: str, lang: str) -> int:
     return WORD if token in KEY_WORDS else NAME if c.isalpha() or c in "_$" else MARK
 
 
+NAME_HASH, LITERAL_HASH = xxhash.xxh64_intdigest("I"), xxhash.xxh64_intdigest("L")
+
+
 class Tokens:
     """Numbers of the tokens that a worker has met, with their masked and unmasked hashes (numpy tables that grow)."""
 
@@ -74,16 +81,24 @@ class Tokens:
         if len(self.number) > self.MOST:
             self.number.clear()
         number, lang = self.number, self.lang
-        for t in set(tokens) - number.keys():
-            i = number[t] = len(number)
-            if i >= len(self.table):
+        if new := [t for t in set(tokens) if t not in number]:
+            rows = []
+            for t in new:
+                kind, plain = _kind(t, lang), xxhash.xxh64_intdigest(t)
+                rows.append((NAME_HASH if kind == NAME else LITERAL_HASH if kind == LITERAL else plain, plain, kind, len(t), t in ";}"))
+                number[t] = len(number)
+            while len(number) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            kind = _kind(t, lang)
-            plain = xxhash.xxh64_intdigest(t)
-            self.table[i] = (xxhash.xxh64_intdigest("I" if kind == NAME else "L") if kind in (NAME, LITERAL) else plain), plain, kind, len(t), t in ";}"
+            self.table[len(number) - len(new) : len(number)] = np.array(rows, np.uint64)
         return self.table[np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))]
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and distinct, as np.unique but quicker for short arrays."""
+    s = np.sort(values)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
 def _shingles(h: np.ndarray) -> np.ndarray:
     """Hashes of each SHINGLE tokens in a row; fewer tokens are one shingle."""
     n = max(min(1, len(h)), len(h) - SHINGLE + 1)
@@ -110,7 +125,7 @@ def _units(stops: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def file_rows(path: str, repo: str | None, text: str, tokens: Tokens, least: int = 60) -> Iterator[tuple]:
+def file_rows(file: int, path: str, repo: str | None, text: str, tokens: Tokens, least: int = 60) -> Iterator[tuple]:
     """The rows of FACTS of one file: its units, equal ones once with their number, and the file itself. Files under `least` tokens have no set."""
     words = TOKENS[tokens.lang].findall(text)
     t = tokens.codes(words)
@@ -135,37 +150,35 @@ def file_rows(path: str, repo: str | None, text: str, tokens: Tokens, least: int
         u[0], u[1], u[2] = u[0] + 1, u[1] + b - a, u[2] + int(total[b] - total[a])
     merged: dict[bytes, list] = {}
     for key, (k, n, w) in units.items():
-        s = np.unique(np.frombuffer(key, np.int64))
+        s = _distinct(np.frombuffer(key, np.int64))
         u = merged.setdefault(xxhash.xxh3_128_digest(s.tobytes()), [0, 0, 0, s])
         u[0], u[1], u[2] = u[0] + k, u[1] + n, u[2] + w
     for cid, (k, n, w, s) in merged.items():
-        yield path, repo, "unit", cid, k, n, w, None, None, None, s
-    whole = np.unique(_shingles(t[:, 1])) if len(t) >= least else None
+        yield file, None, repo, True, cid, k, n, w, None, None, None, s
+    whole = _distinct(_shingles(t[:, 1])) if len(t) >= least else None
     package = re.search(r"^\s*package\s+([\w.]+)", text, re.M) if tokens.lang == "java" else None
     spaces = sum(map(text.count, " \t\r\n")) / len(text)
     banner = xxhash.xxh64_intdigest(" ".join(first.split())) - 2**63 if first else None
     cid = None if whole is None else xxhash.xxh3_128_digest(whole.tobytes())
-    yield path, repo, "file", cid, 1, len(t), None, spaces, banner, package and ".".join(package.group(1).split(".")[:2]), whole
+    yield file, path, repo, False, cid, 1, len(t), None, spaces, banner, package and ".".join(package.group(1).split(".")[:2]), whole
 
 
-def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in FACTS.split(", ")]
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens = {k: Tokens(k) for k in TOKENS}
     sent: set[bytes] = set()  # sets that this task has given already; each is wanted once
-    for pdf in batches:
-        for k in range(0, len(pdf), 200):  # a bounded number of files in one answer
-            part, rows = pdf.iloc[k : k + 200], []
-            for path, repo, text in zip(part["path"], part["repo"], part["content"]):
-                for row in file_rows(path, repo, text, tokens[path.rpartition(".")[2]]):
-                    if row[3] in sent:
-                        row = (*row[:-1], None)
-                    elif row[3] is not None:
-                        sent.add(row[3])
-                    rows.append(row)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):  # a bounded number of files in one answer
+            rows = []
+            for file, path, repo, text in zip(*(c.to_pylist() for c in batch.slice(at, 200).select(["file", "path", "repo", "content"]).columns)):
+                rows += file_rows(file, path, repo, text, tokens[path.rpartition(".")[2]])
+            columns = list(zip(*rows))
+            sets = [None if cid is None or cid in sent or sent.add(cid) else s for cid, s in zip(columns[4], columns[-1])]
+            ends = np.cumsum([0] + [0 if s is None else len(s) for s in sets])
+            flat = np.concatenate([s for s in sets if s is not None] or [np.zeros(0, np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([s is None for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FACTS)][:-1] + [lists], schema=FACTS)
             if len(sent) > 2_000_000:
                 sent.clear()
-            if rows:
-                yield pd.DataFrame(rows, columns=names).astype({"words": "Int32"})
 
 
 def counting_rows(files: DataFrame) -> DataFrame:
@@ -175,29 +188,30 @@ def counting_rows(files: DataFrame) -> DataFrame:
 
 
 def unit_shares(units: DataFrame, classes: DataFrame, members: int = 3, crowd: int = 2) -> DataFrame:
-    """(path, units, family, literal) of units(path, repo, cid, k, tokens, words): the shares of a file's tokens that lie in families of its repository and in literal clusters.
+    """(file, family, literal) of units(file, repo, cid, k, tokens, words): the shares of a file's tokens that lie in families of its repository and in literal clusters.
 
     The cluster of a class holds it and its near copies. It is a family of a repository in which it has at least `members` members and at least `crowd` for each file that
     holds one; it is a literal cluster if it has at least `members` members anywhere and the unit's words are at most a tenth of its tokens.
     """
     star = near.stars(near.pairs(classes), classes)
-    own = units.select("path", "repo", "cid", "k")
-    per = skew_join(own, star, "cid").groupBy("leader", "repo", "path").agg(F.sum("k").alias("k"))
+    per = skew_join(units.select("file", "repo", "cid", "k"), star, "cid").groupBy("leader", "repo", "file").agg(F.sum("k").alias("k"))
     per = cut(per.groupBy("leader", "repo").agg(F.sum("k").alias("k"), F.count("*").alias("files")))
-    everywhere = per.groupBy(F.col("leader").alias("cid")).agg((F.sum("k") >= members).alias("many")).where("many")
-    family = per.where((F.col("k") >= members) & (F.col("k") >= crowd * F.col("files"))).select(F.struct(F.col("leader").alias("cid"), "repo").alias("at"), F.lit(True).alias("family"))
-    u = units.select("path", "cid", "tokens", (F.col("words") * 10 <= F.col("tokens")).alias("plain"), F.struct("cid", "repo").alias("at"))
-    u = skew_join(skew_join(u, family, "at", "left"), everywhere, "cid", "left")
+    everywhere = per.groupBy("leader").agg((F.sum("k") >= members).alias("many")).where("many")
+    per = per.join(everywhere, "leader")  # a family is a cluster of many members as well
+    family = (F.col("k") >= members) & (F.col("k") >= crowd * F.col("files"))
+    found = per.select(F.struct(F.col("leader").alias("cid"), "repo").alias("at"), family.alias("family"), F.lit(True).alias("many"))
+    u = units.select("file", "tokens", (F.col("words") * 10 <= F.col("tokens")).alias("plain"), F.struct("cid", "repo").alias("at"))
+    u = skew_join(u, found, "at", "left")
     share = lambda c: F.round(F.sum(F.when(c, F.col("tokens")).otherwise(0)) / F.sum("tokens"), 6)
-    return u.groupBy("path").agg(F.count("*").alias("units"), share(F.col("family")).alias("family"), share(F.col("many") & F.col("plain")).alias("literal"))
+    return u.groupBy("file").agg(share(F.col("family")).alias("family"), share(F.col("many") & F.col("plain")).alias("literal"))
 
 
 def copies(files: DataFrame, classes: DataFrame) -> DataFrame:
-    """(path, repos) of files(path, repo, cid) with a set: from how many repositories the near copies of a file come."""
+    """(file, repos) of files(file, repo, cid) with a set: from how many repositories the near copies of a file come."""
     star = near.stars(near.pairs(classes), classes)
     per = skew_join(files.select("repo", "cid").distinct(), star, "cid").select("leader", "repo").distinct()
-    repos = per.groupBy(F.col("leader").alias("cid")).agg(F.count("*").alias("repos"))
-    return skew_join(files.select("path", "cid"), repos, "cid").select("path", "repos")
+    repos = per.groupBy(F.col("leader").alias("cid")).agg(F.count("*").alias("repos")).where("repos > 1")
+    return skew_join(files.select("file", "cid"), repos, "cid").select("file", "repos")
 
 
 def classify(files: DataFrame, repos: DataFrame, family: float = 0.5, literal: float = 0.5, copied: int = 2) -> DataFrame:
@@ -207,20 +221,22 @@ def classify(files: DataFrame, repos: DataFrame, family: float = 0.5, literal: f
     (near copies in at least `copied` repositories, or a mark of such copies). Files of a repository's own package are never copied: they are what others took.
     Files without content, and paths of other kinds, give no row. The repository of a path is its first part. An empty frame gives an empty frame.
     """
-    code = counting_rows(files).where(F.col("path").rlike(r"\.(java|py|js)$")).select("path", F.substring_index("path", "/", 1).alias("repo"), "content")
-    facts = cut(code.where(F.length("content") > 0).mapInPandas(_facts, FACTS), ("kind",))
-    classes = cut(facts.where("sh is not null").groupBy("kind", "cid").agg(F.first("sh").alias("sh")), ("kind",))
-    of = lambda kind: classes.where(F.col("kind") == kind).select("cid", "sh")
-    units, whole = facts.where("kind = 'unit'"), facts.where("kind = 'file'").select("path", "repo", "cid", "space", "banner", "package")
+    code = counting_rows(files).where(F.col("path").rlike(r"\.(java|py|js)$") & (F.length("content") > 0))
+    code = code.select(F.xxhash64("path").alias("file"), "path", F.substring_index("path", "/", 1).alias("repo"), "content")
+    facts = cut(code.mapInArrow(_facts, from_arrow_schema(FACTS)))
+    classes = cut(facts.where("sh is not null").groupBy("unit", "cid").agg(F.first("sh").alias("sh")))
+    units, whole = facts.where("unit"), facts.where("not unit").select("file", "path", "repo", "cid", "space", "banner", "package")
     home = repos.groupBy("repo").agg(F.max("base_package").alias("base"))  # one row for each repository
-    f = whole.join(unit_shares(units, of("unit")), "path", "left").join(copies(whole.where("cid is not null"), of("file")), "path", "left")
+    shares = unit_shares(units, classes.where("unit").select("cid", "sh"))
+    f = whole.join(shares, "file", "left").join(copies(whole.where("cid is not null"), classes.where("not unit").select("cid", "sh")), "file", "left")
     f = skew_join(f, home, "repo", "left")
     own = F.col("package").isNotNull() & F.startswith(F.concat("base", F.lit(".")), F.concat("package", F.lit(".")))
     tool = F.when(F.col("space") < 0.06, "compressed").otherwise("generated")
     reason = F.when(F.col("literal") >= literal, "data").when(F.col("family") >= family, tool).when((F.col("repos") >= copied) & ~F.coalesce(own, F.lit(False)), "copied")
-    f = cut(f.select("path", F.array("banner", F.xxhash64(F.lit("package"), F.when(~own, F.col("package")))).alias("marks"), F.col("package").isNotNull().alias("java"), reason.alias("reason")))
+    marks = F.array_compact(F.array("banner", F.when(F.col("package").isNotNull() & ~F.coalesce(own, F.lit(False)), F.xxhash64(F.lit("package"), "package"))))
+    f = cut(f.select("path", marks.alias("marks"), reason.alias("reason")))
     # a mark that most of its files share with copies names the project they come from
-    mark = f.select("path", "reason", F.explode(F.array_compact(F.when(F.col("java"), F.col("marks")).otherwise(F.slice("marks", 1, 1)))).alias("mark"))
+    mark = f.select("path", "reason", F.explode("marks").alias("mark"))
     known = mark.groupBy("mark").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "copied").alias("k")).where("n >= 3 and k >= 0.6 * n").select("mark")
     marked = skew_join(mark.where("reason is null"), known, "mark", "left_semi").select("path", F.lit("copied").alias("reason")).distinct()
     out = cut(f.where("reason is not null").select("path", "reason").unionByName(marked))
