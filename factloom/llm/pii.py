@@ -26,7 +26,7 @@ SAMPLE_ROWS, SAMPLE_CHARS, PASSES, FEATURES = 6_000, 4_000, 4, 50_000
 #: Segments this close (characters) have a transition weight.
 NEAR = 3
 
-_U, _L = "A-ZÀ-ÖØ-ÞŁŚŻŠŽČĆĐ", "a-zß-öø-ÿłśżšžčćđęąńő"
+_U, _L = "A-ZÀ-ÖØ-ÞŁŚŻŠŽČĆĐŘĚŇŮΑ-ΩА-ЯЁЄІЇ", "a-zß-öø-ÿłśżšžčćđęąńőřěňůά-ώа-яёєії"
 _CAP = rf"[{_U}][{_L}{_U}'’]+(?:-[{_U}][{_L}{_U}'’]+)*"
 _RUN = re.compile(rf"(?<![\w@./-])(?:{_CAP}|[{_U}]\.)(?:,? (?:{_CAP}|[{_U}]\.|(?:van|von|de|der|del|la|bin|al)(?= [{_U}])))+")
 _PART = re.compile(r"[^ ]+")
@@ -163,8 +163,8 @@ _Q = r"[\"'(<|:=\s;,/.：]*"
 _FOR = {
     "NAME": (r"(?i:\b(?:hi|hello|dear|cc|contact(?:o)?|联系人|(?:reported|signed|written|started|reviewed|approved|sent|called|answered|handled|owned|requested|opened|closed|raised) by|(?:reviewed|signed-off|acked|tested)[- ]by|@?author|maintainer|owner|user|name|nombre|handed to|letter to|thanks|regards|gruß|grüße|bitte|liebe[r]?|hallo|hola|saludos|gracias|mr|mrs|ms|dr|herr|frau|señor|señora))" + _Q + r"$", r"^" + _Q + r"(?:signed off|wrote|said|called|asked|replied|reported|approved|fragen)\b"),
     "PHONE": (r"(?i:\b(?:tel|tel[eé]fono?|telefon|rufnummer|fon|fax|call|dial|cell|phone|mobile|mobil|m[oó]vil|llamar al|ring|reach (?:me|us) on)|电话|手机)\"?" + _Q + r"$", r"^ (?:ext|durchwahl)\b"),
-    "ID_NUMBER": (r"(?i:\b(?:ssn|social security(?: number)?|passport(?: no| number)?|(?:personal|national|tax|taxpayer|identity|insurance|travel document|document|dni|nie|nif|ausweis|steuer)(?: ?-?(?:id|no|number|nummer|identification))?|documento|n[uú]mero)|证件号|身份证号?|护照号?)\"?" + _Q + r"$", r"^$"),
-    "ADDRESS": (r"(?i:\b(?:lives? (?:at|in)|address|addr|adresse|direcci[oó]n|wohnhaft|wohnt|vive en|domicilio|street|moved (?:from|to)|deliver(?:ed)? to|ship to|desk at|office at|home at)|地址|寄到|住在)\"?" + _Q + r"$", r"^$"),
+    "ID_NUMBER": (r"(?i:\b(?:ssn|social security(?: number)?|passport(?: no| number)?|(?:personal|national|tax|taxpayer|identity|insurance|travel document|document|nin|dni|nie|nif|ausweis|steuer)(?: ?-?(?:id|no|number|nummer|identification))?|documento|n[uú]mero)(?: (?:is|was|holds|contains|reads))?|证件号|身份证号?|护照号?)\"?" + _Q + r"$", r"^$"),
+    "ADDRESS": (r"(?i:\b(?:lives? (?:at|in)|address|addr|adresse|direcci[oó]n|wohnhaft|wohnt|vive en|domicilio|street|moved (?:from|to)|drop(?:s|ped)? at|deliver(?:ed|s)? (?:to|at)|ship to|desk at|office at|home at)|地址|寄到|住在)\"?" + _Q + r"$", r"^$"),
     "EMAIL": (r"(?i:\b(?:e-?mail|mail|correo|notify|contact|reach me at|write to)|邮箱|邮件)\"?" + _Q + r"$", r"^$"),
 }
 _AGAINST = re.compile(r"(?i:\b(?:build|trace|span|version|release|licen[cs]e|range|rule|port|pid|hash|ticket|issue|window|runner|team|the|commit|id|revision|line|row|order|job|port))" + r"[\s:=#]*$")
@@ -172,6 +172,9 @@ _NO_MAIL = re.compile(r"(?i:\b(?:remote(?: is)?|clone|npm|install|handle|pull|pu
 _FOR_RE = {k: (re.compile(a), re.compile(b)) for k, (a, b) in _FOR.items()}
 
 
+#: Words of greeting and title, which are part of no name.
+_POLITE = frozenset("hi hello dear regards wishes thanks sincerely gruß grüße grüßen bitte liebe lieber hallo hola saludos gracias atentamente mr mrs ms dr prof herr frau señor señora kind best many".split())
+
 #: Orders of given (G) and family (F) names and initials (i) that are a name whatever stands around them.
 _NAMES = frozenset(["GF", "GiF", "iF", "iiF", "F,G", "F,Gi", "F,i"])
 
@@ -202,7 +205,7 @@ def label(text: str, cand: list[tuple[int, int, str]], common: set[str], lex: Le
         if kind == "NAME":
             low = [w.strip(".,").lower() for w in s.split()]
             hit = hit or lex is not None and _known(s, lex) in _NAMES
-            if any(re.search(r"[a-z][A-Z]", w) for w in s.split()) or sum(w in common for w in low) == len(low):
+            if any(re.search(r"[a-z][A-Z]", w) for w in s.split()) or sum(w in common for w in low) == len(low) or any(w in _POLITE for w in low):
                 got.append(0)
                 continue
             full = [w.isupper() for w in re.split(r",? ", s) if len(w.strip(".")) > 1]
