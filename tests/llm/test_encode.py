@@ -70,3 +70,16 @@ def test_packing(spark):
     assert len(by) <= 1.15 * max(sum(r.tokens for r in got) / 256, len(got) / 12)
     assert {r.doc_id for r in pack.oversized(d, capacity=256).collect()} == {x.doc_id for x in n if x.tokens > 256}
     assert pack.pack(d.limit(0)).count() == 0
+
+
+def test_every_limit_of_a_container_binds(spark):
+    """Texts of one line bear loss as a whole, many are short, and some alone exceed the limit of loss: each of the three limits is reached by some container, and no text within the capacity is split."""
+    rows = [(i, "one line " * (20 + i % 60)) for i in range(200)] + [(1000 + i, "x\ny") for i in range(200)] + [(2000 + i, "question " * 150 + "\nyes\n") for i in range(40)] + [(3000, "loss " * 240)]
+    got = pack.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=256, max_segments=12, max_loss=200).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.container, []).append(r)
+    assert len(got) == len(rows)
+    total = [(sum(x.tokens for x in v), len(v), sum(min(x.loss, 200) for x in v)) for v in by.values()]
+    assert all(t <= 256 and n <= 12 and m <= 200 for t, n, m in total)
+    assert any(t >= 254 for t, _, _ in total) and any(n == 12 for _, n, _ in total) and any(m == 200 for _, _, m in total)
