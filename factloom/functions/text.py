@@ -26,6 +26,11 @@ def unix_path(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(c), r"\\", "/"), r"^(\./|/)+", "")
 
 
+def project_of(path: Column | str) -> Column:
+    """The project of a file: the first part of its path."""
+    return F.substring_index(unix_path(path), "/", 1)
+
+
 def join_paths(a: Column | str, b: Column | str) -> Column:
     """/a/b with repeated separators collapsed and none at the end (but / alone)."""
     joined = F.regexp_replace(F.concat(F.lit("/"), F.coalesce(_c(a), F.lit("")), F.lit("/"), F.coalesce(_c(b), F.lit(""))), r"/+", "/")
@@ -69,5 +74,19 @@ def byte_size(c: Column | str) -> Column:
 
 def preview(c: Column | str, limit: int) -> Column:
     """One line of at most `limit` characters and an ellipsis; line breaks show as ` | `."""
-    flat = F.regexp_replace(F.trim(_c(c)), r"\r?\n", " | ")
+    flat = F.regexp_replace(_c(c), r"\r?\n", " | ")
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)
+
+
+def instant(c: Column | str) -> Column:
+    """The timestamp of an ISO instant such as 2024-01-02T03:04:05.678Z; NULL for anything else."""
+    t = _c(c)
+    return F.when(t.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,9})?Z$"), F.try_to_timestamp(t))
+
+
+def instant_text(c: Column | str) -> Column:
+    """A timestamp as ISO instant in UTC: no fraction if it is whole, else 3 or 6 digits of it. The session's time zone must be UTC."""
+    t = _c(c)
+    micros = F.pmod(F.unix_micros(t), F.lit(1_000_000))
+    tail = F.when(micros == 0, "").when(micros % 1000 == 0, F.format_string(".%03d", (micros / 1000).cast("long"))).otherwise(F.format_string(".%06d", micros))
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), tail, F.lit("Z"))

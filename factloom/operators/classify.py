@@ -6,6 +6,10 @@ m (method), x (select expression without arguments) and t (receiver type).
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +72,6 @@ SUSPICIOUS = "exec execute run eval invoke parse load send query process call di
 
 def sink_case(method: str, expression: str, receiver_type: str) -> str:
     """SQL CASE of the sink rules over three SQL expressions; NULL if none matches."""
-    import re
-
     names = {"m": f"coalesce({method}, '')", "x": f"coalesce({expression}, '')", "t": f"coalesce({receiver_type}, '')"}
     put = lambda c: re.sub(r"'[^']*'|\b[mxt]\b", lambda k: names.get(k.group(), k.group()), c)
     return "CASE " + " ".join(f"WHEN {put(c)} THEN '{k}'" for k, c in SINK_RULES) + " END"
@@ -155,11 +157,67 @@ def schedule_hunters(available: DataFrame, signals: DataFrame) -> DataFrame:
     return r.select("hunter", "boosted", F.row_number().over(Window.orderBy(F.desc("boosted"), "hunter_ord")).alias("run_order"))
 
 
-def suspicious_calls(calls: DataFrame, sinks: DataFrame, classes: DataFrame, most: int = 200) -> DataFrame:
-    """P10: (receiver_type, method_name, method_id, line, expression) of calls to foreign types whose name suggests danger and that are no
-    sink yet; the first of each type and name, `most` of them (the feature's bound) in order of file, line and ordinal."""
-    c = calls.where(F.lower("method_name").isin(SUSPICIOUS) & (F.coalesce("receiver_type", F.lit("")) != ""))
+def suspicious_calls(calls: DataFrame, sinks: DataFrame, classes: DataFrame, most: int | None = 200, project=None) -> DataFrame:
+    """P10: (receiver_type, method_name, file_path, line, method_id, expression) of calls to foreign types whose name suggests danger and that are no
+    sink yet; the first of each type and name in a project. most: of each project only so many, in order of file, line and ordinal (the reference's bound);
+    None keeps all. project: from the path of a file to its project; None is one project."""
+    pj = (project("file_path") if project else F.lit("")).alias("pj")
+    c = calls.where(F.lower("method_name").isin(SUSPICIOUS) & (F.coalesce("receiver_type", F.lit("")) != "")).withColumn("pj", pj)
     c = c.join(sinks.select("method_id", "line").distinct(), ["method_id", "line"], "left_anti")
-    c = c.join(classes.select(F.col("class_name").alias("receiver_type")).distinct(), "receiver_type", "left_anti")
-    first = c.groupBy("receiver_type", "method_name").agg(F.min(F.struct("file_path", "line", "call_ord", "method_id", "expression")).alias("f"))
-    return first.select("receiver_type", "method_name", "f.*").orderBy("file_path", "line", "call_ord").limit(most).drop("call_ord")
+    c = c.join(classes.select(pj, F.col("class_name").alias("receiver_type")).distinct(), ["pj", "receiver_type"], "left_anti")
+    first = c.groupBy("pj", "receiver_type", "method_name").agg(F.min(F.struct("file_path", "line", "call_ord", "method_id", "expression")).alias("f")).select("pj", "receiver_type", "method_name", "f.*")
+    if most is not None:
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy("pj").orderBy("file_path", "line", "call_ord"))).where(F.col("_n") <= most).drop("_n")
+    return first.drop("pj", "call_ord")
+
+
+#: Categories that an answer may name.
+KNOWN_CATEGORIES = [
+    "COMMAND_EXECUTION", "SCRIPT_OR_EXPRESSION_EXECUTION", "NATIVE_DESERIALIZATION", "DYNAMIC_LOADING", "SQL_EXECUTION", "XML_PARSE", "HTTP_RESPONSE_WRITE", "HTTP_HEADER_WRITE", "HTTP_REDIRECT", "JNDI_LOOKUP", "FILE_WRITE",
+    "OUTBOUND_HTTP", "NATIVE_LIBRARY",
+]
+
+
+def rule_items(text: str | None) -> list[tuple[str, str, str]]:
+    """(methodName, receiverType, category) of the JSON array in an answer; absent fields are blank. An object's text field `result` is read in its place; then the first
+    fenced block that begins an array counts, else what lies between the first [ and the last ]. An item that is no flat object voids the answer."""
+    text = text or ""
+    try:
+        whole = json.loads(text)
+        text = str(whole["result"]) if isinstance(whole, dict) and "result" in whole else text
+    except ValueError:
+        pass
+    fenced = [b.strip() for b in re.findall(r"```(?:json)?\s*([\s\S]*?)\s*```", text, re.I) if b.strip().startswith("[")]
+    body = fenced[0] if fenced else text[text.find("[") : text.rfind("]") + 1] if "[" in text else ""
+    try:
+        items = json.loads(body)
+    except (ValueError, RecursionError):
+        return []
+    if not isinstance(items, list) or any(not isinstance(x, dict) or any(isinstance(v, (dict, list)) for v in x.values()) for x in items):
+        return []
+    return [tuple("" if x.get(k) is None else str(x[k]).strip() for k in ("methodName", "receiverType", "category")) for x in items]
+
+
+def answer_rules(answers: DataFrame, order: str, text: str = "text", fold_case: bool = True) -> DataFrame:
+    """J10, rule parse: (rule_ord, method_pattern, receiver_pattern, category) of answer texts, distinct, in order of `order` and place.
+
+    Blank methods or receivers and unknown categories are left out; receivers are in lower case, categories in upper case if fold_case (as for rules; for reviewed calls they must be exact).
+    classify_calls() uses the first 200. NULL texts and texts without an array give nothing.
+    """
+
+    @F.pandas_udf("array<struct<method:string,receiver:string,category:string>>")
+    def items(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"method": m, "receiver": r, "category": c} for m, r, c in rule_items(t)] for t in texts], dtype=object)
+
+    rows = answers.select(F.col(order).alias("_o"), F.posexplode(items(text)).alias("_p", "i"))
+    category = F.upper("i.category") if fold_case else F.col("i.category")
+    r = rows.select("_o", "_p", F.col("i.method").alias("method_pattern"), F.lower("i.receiver").alias("receiver_pattern"), category.alias("category"))
+    r = r.where((F.col("method_pattern") != "") & (F.col("receiver_pattern") != "") & F.col("category").isin(KNOWN_CATEGORIES))
+    return r.groupBy("method_pattern", "receiver_pattern", "category").agg(F.min(F.struct("_o", "_p")).alias("rule_ord")).select("rule_ord", "method_pattern", "receiver_pattern", "category")
+
+
+def reviewed_sinks(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_ord, category, api, method_id, file_path, line, code) of the reviewed calls that an answer names: equal method, and a receiver type (in lower case) that contains the answer's."""
+    lower = F.lower("receiver_type")
+    j = calls.join(rules, calls["method_name"] == rules["method_pattern"]).where(F.contains(lower, F.col("receiver_pattern")))
+    return j.select("rule_ord", "category", F.concat(lower, F.lit("."), "method_name").alias("api"), "method_id", "file_path", "line", F.col("expression").alias("code"))

@@ -99,20 +99,49 @@ def candidate_paths(entries: DataFrame, edges: DataFrame, sinks: DataFrame, dept
     return p.select("entry_id", F.explode("goals.goal").alias("sink_id"), "path", F.col("depth").alias("call_depth"), static_confidence("resolutions").alias("static_confidence"))
 
 
-def write_paths(entries: DataFrame, edges: DataFrame, accesses: DataFrame, depth: int = 12, most: int = 1000) -> DataFrame:
+def shortest_paths(entries: DataFrame, edges: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
+    """(entry_id, id, depth, ords, path, resolutions): from each entry(entry_id, method_id) the least path, by (depth, edge ordinals, nodes), to each node of goals(id) within `depth`.
+
+    A round keeps one state for each (entry, node) that no round before has reached: a least path begins with the least path to each of its nodes, so nothing is
+    lost and the states number at most entries x nodes, however many paths there are. Only nodes that reach a goal in the hops left are visited.
+    """
+    near = cut(reverse_reach(edges, goals.select("id"), depth))
+    wanted = cut(goals.select("id").distinct())
+    e = cut(edges.join(near.select(F.col("id").alias("to_id"), "hops"), "to_id").select(F.col("from_id").alias("at"), "to_id", "edge_ord", "resolution", "hops"))
+    hot = hot_keys(e.groupBy("at").count(), "at")
+    empty = lambda t: F.expr(f"cast(array() as array<{t}>)")
+    front = entries.join(near, entries.method_id == near.id).select("entry_id", F.col("method_id").alias("at"), empty("int").alias("ords"), F.array("method_id").alias("path"), empty("string").alias("resolutions"))
+    front = cut(front)
+    rounds, seen = [front.withColumn("depth", F.lit(0))], front.select("entry_id", "at")
+    for k in range(1, depth + 1):
+        j = skew_join(e.where(F.col("hops") <= depth - k), front, "at", hot=hot)
+        new = F.struct(F.concat("ords", F.array(F.col("edge_ord").cast("int"))).alias("ords"), F.concat("path", F.array("to_id")).alias("path"), F.concat("resolutions", F.array("resolution")).alias("resolutions"))
+        step = j.groupBy("entry_id", "to_id").agg(F.min(new).alias("s")).select("entry_id", F.col("to_id").alias("at"), "s.*")
+        front = cut(step.join(seen, ["entry_id", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        rounds.append(front.withColumn("depth", F.lit(k)))
+        seen = seen.unionByName(front.select("entry_id", "at"))
+    return _union(rounds).join(wanted.withColumnRenamed("id", "at"), "at", "left_semi").select("entry_id", F.col("at").alias("id"), "depth", "ords", "path", "resolutions")
+
+
+def write_paths(entries: DataFrame, edges: DataFrame, accesses: DataFrame, depth: int = 12, most: int | None = 1000) -> DataFrame:
     """(entry_id, access_id, path, call_depth, correlation) of the shortest path from each entry(entry_id, entry_ord, method_id) to each
-    WRITE access(access_id, access_ord, method_id); states count until `most` paths were found before them, in order of entries, depth and
-    ordinals (the feature's global bound)."""
-    goals = accesses.select(F.col("method_id").alias("id"), F.col("access_ord").alias("goal_ord"), F.col("access_id").alias("goal"))
-    p = simple_paths(entries, links(edges), goals, depth).join(entries.select("entry_id", "entry_ord"), "entry_id")
-    p = p.select("entry_id", "entry_ord", "depth", "ords", "path", "resolutions", F.explode("goals").alias("g"))
-    best = p.groupBy("entry_id", "g").agg(F.min(F.struct("entry_ord", "depth", "ords", "path", "resolutions")).alias("s"))
-    state = best.groupBy("s").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.first("entry_id").alias("entry_id"))
-    state = state.orderBy("s").limit(most)
-    before = F.coalesce(F.sum(F.size("gs")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `most` rows
-    state = state.withColumn("_before", before).where(F.col("_before") < most)
-    conf = F.when(F.exists("s.resolutions", lambda x: x.startswith("unique-method-name")), "MEDIUM").otherwise("HIGH")
-    return state.select("entry_id", F.explode("gs.goal").alias("access_id"), F.col("s.path").alias("path"), F.col("s.depth").alias("call_depth"), conf.alias("correlation"))
+    WRITE access(access_id, access_ord, method_id). most: states of a project (the column `project` of entries, else all are one) count until so many paths were found before them, in
+    order of entries, depth and ordinals (the reference's bound); None keeps all."""
+    p = shortest_paths(entries, links(edges), accesses.select(F.col("method_id").alias("id")), depth)
+    conf = F.when(F.exists("resolutions", lambda x: x.startswith("unique-method-name")), "MEDIUM").otherwise("HIGH")
+    p = p.withColumn("correlation", conf)
+    if most is not None:
+        known = entries.select("entry_id", "entry_ord", F.col("project") if "project" in entries.columns else F.lit("").alias("project"))
+        sizes = accesses.groupBy(F.col("method_id").alias("id")).agg(F.count("*").alias("size"))
+        p = p.join(known, "entry_id").join(sizes, "id")
+        order = Window.partitionBy("project").orderBy("entry_ord", "depth", "ords", "path")
+        p = p.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)  # each state has an access, so these suffice
+        before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        p = p.withColumn("_before", before).where(F.col("_before") < most)
+    a = accesses.select(F.col("method_id").alias("id"), "access_id")
+    return skew_join(p, a, "id").select("entry_id", "access_id", "path", F.col("depth").alias("call_depth"), "correlation")
 
 
 def derived_sinks(methods: DataFrame, forwards: DataFrame, sinks: DataFrame) -> DataFrame:

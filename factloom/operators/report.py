@@ -57,6 +57,50 @@ def answer_array(text: str | None) -> list[dict]:
     return [x for x in got or [] if isinstance(x, dict)]
 
 
+def closed_json(text: str) -> object | None:
+    """The value of a JSON text that was cut off: what stands before the last complete member or item, with the brackets open there closed. None if nothing can be saved."""
+    open_, safe, quoted, at = [], None, False, 0
+    while at < len(text):
+        c = text[at]
+        if quoted:
+            at += c == "\\"
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if not open_ or open_.pop() != c:
+                return None
+            safe = (at + 1, list(open_))
+        elif c == "," and open_:
+            safe = (at, list(open_))
+        at += 1
+    if safe is None:
+        return None
+    try:
+        return json.loads(text[: safe[0]] + "".join(reversed(safe[1])))
+    except (ValueError, RecursionError):
+        return None
+
+
+def answer_envelope(text: str | None) -> dict | None:
+    """The object with arrays `findings` and `selected_hunters` of an answer: the whole text, else a fenced block, else a suffix from a {; a text cut off is closed after its last complete part."""
+    t = (text or "").strip()
+    blocks = [m.group(1).strip() for m in re.finditer(r"```(?:json)?\s*([\s\S]*?)```", t)]
+    starts = [t[m.start() :] for m in re.finditer(r"\{", t) if '"findings"' in t[m.start() :] and '"selected_hunters"' in t[m.start() :]]
+    whole = lambda s: json.loads(s)
+    for read, texts in ((whole, [t, *blocks, *reversed(starts)]), (closed_json, [*blocks, *reversed(starts)])):
+        for s in texts:
+            try:
+                x = read(s)
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(x, dict) and isinstance(x.get("findings"), list) and isinstance(x.get("selected_hunters"), list):
+                return x
+    return None
+
+
 def parse_answers(answers: DataFrame, text: str = "text", hunter: str = "hunter") -> DataFrame:
     """Findings of answer texts: canonical columns, and every other field as text in `extras`. Texts without an array give nothing."""
 
@@ -104,18 +148,24 @@ def finding_stats(findings: DataFrame) -> DataFrame:
     return g.select(name.alias("dimension"), F.coalesce(*dims, F.lit("")).alias("key"), "n")
 
 
-#: Chain rules (id, amplifier types, target types, severity, confidence) and aliases of types.
+#: Chain rules (id, amplifier types, target types, severity, confidence), their titles, and aliases of types.
 CHAIN_RULES = [
     ("chain-ssrf-cmdinj", ["SSRF"], ["COMMAND_INJECTION"], "CRITICAL", 0.80), ("chain-ssrf-deser", ["SSRF"], ["DESERIALIZATION"], "CRITICAL", 0.80), ("chain-ssrf-xxe", ["SSRF"], ["XXE"], "HIGH", 0.70),
     ("chain-noauth-cmdinj", ["MISSING_AUTH"], ["COMMAND_INJECTION"], "CRITICAL", 0.85), ("chain-noauth-deser", ["MISSING_AUTH"], ["DESERIALIZATION"], "CRITICAL", 0.85), ("chain-noauth-ssrf", ["MISSING_AUTH"], ["SSRF"], "HIGH", 0.80),
     ("chain-weak-whitelist-ssrf", ["WEAK_WHITELIST"], ["SSRF"], "HIGH", 0.80), ("chain-ssti-cmdinj", ["SSTI"], ["COMMAND_INJECTION"], "CRITICAL", 0.75), ("chain-ssrf-whitelist-cmdinj", ["WEAK_WHITELIST"], ["COMMAND_INJECTION"], "CRITICAL", 0.85),
     ("chain-ssrf-credential-injection", ["SSRF"], ["AUTHORIZATION_BYPASS", "UNAUTHORIZED_ACTION"], "CRITICAL", 0.80), ("chain-unauth-ssrf-rce", ["MISSING_AUTH", "UNAUTHORIZED_ACTION"], ["SSRF", "COMMAND_INJECTION"], "CRITICAL", 0.90),
 ]
+CHAIN_TITLES = {
+    "chain-ssrf-cmdinj": "SSRF -> Command Injection -> RCE", "chain-ssrf-deser": "SSRF -> Deserialization -> RCE", "chain-ssrf-xxe": "SSRF -> XXE", "chain-noauth-cmdinj": "Missing Auth + Command Injection",
+    "chain-noauth-deser": "Missing Auth + Deserialization", "chain-noauth-ssrf": "Missing Auth + SSRF", "chain-weak-whitelist-ssrf": "Weak Whitelist -> SSRF Bypass", "chain-ssti-cmdinj": "Template Injection -> Command Execution",
+    "chain-ssrf-whitelist-cmdinj": "SSRF Whitelist Bypass -> Command Injection -> RCE", "chain-ssrf-credential-injection": "SSRF + Credential Auto-Injection -> Authenticated SSRF", "chain-unauth-ssrf-rce": "Missing Auth -> SSRF -> Internal RCE",
+}
 ALIASES = {"MISSING_AUTH": ["MISSING_AUTH", "UNAUTHORIZED_ACTION", "AUTHORIZATION_BYPASS", "VERTICAL_PRIVILEGE_ESCALATION"], "WEAK_WHITELIST": ["WEAK_WHITELIST", "SSRF"]}
 
 
 def attack_chains(findings: DataFrame, app_package: str = "", group: list[str] | None = None) -> DataFrame:
-    """Chains for each rule with an amplifier and a target: best of each (highest confidence, then first), their counts, severity, confidence.
+    """Chains for each rule with an amplifier and a target: best of each (highest confidence, then first), their counts, severity, confidence, title,
+    a message, and the two steps as data_flow_path; as findings they are of the type ATTACK_CHAIN.
 
     group: columns that keep chains apart, such as the repository. A type listed twice through aliases counts twice, as in the reference.
     If app_package is given and neither side lies in it, both need confidence 0.85, the chain's falls to 0.7 of the rule's, and under 0.60 it goes.
@@ -136,7 +186,11 @@ def attack_chains(findings: DataFrame, app_package: str = "", group: list[str] |
     c = sides.where("amplifier_count > 0 and target_count > 0").withColumn("review", review)
     c = c.where(~F.col("review") | (F.col("amplifier.confidence") >= 0.85) & (F.col("target.confidence") >= 0.85))
     c = c.withColumn("confidence", F.when(F.col("review"), half_up(F.col("base") * 0.7, 2)).otherwise(F.col("base"))).where("confidence >= 0.6")
-    return c.select(*group, "rule_ord", F.col("chain_id"), F.col("chain_severity").alias("severity"), "confidence", F.col("amplifier.file_path").alias("file_path"), F.col("amplifier.start_line").alias("start_line"), F.col("target.file_path").alias("target_file"), F.col("target.start_line").alias("target_line"), "amplifier_count", "target_count", F.col("review").alias("needs_review")).orderBy(*group, F.desc(_rank(F.col("chain_severity"), SEVERITIES)), F.desc("confidence"), "rule_ord").drop("rule_ord")
+    title = F.try_element_at(F.create_map(*[F.lit(x) for kv in CHAIN_TITLES.items() for x in kv]), F.col("chain_id"))
+    message = F.concat(F.initcap(F.replace("amplifier.type", F.lit("_"), F.lit(" "))), F.lit(" may be combined with "), F.lower(F.replace("target.type", F.lit("_"), F.lit(" "))), F.lit("."), F.when(F.col("review"), " Reachability from application code requires review.").otherwise(""))
+    step = lambda s: F.struct(F.lit(s).alias("step"), F.col(f"{s}.file_path").alias("file"), F.col(f"{s}.start_line").alias("line"), F.col(f"{s}.type").alias("type"), inside(s).alias("in_app_package"))
+    c = c.withColumns({"title": title, "message": message, "data_flow_path": F.array(step("amplifier"), step("target"))})
+    return c.select(*group, "rule_ord", F.col("chain_id"), "title", "message", F.lit("ATTACK_CHAIN").alias("vuln_type"), F.lit("chain-correlator").alias("discovered_by"), "data_flow_path", F.col("chain_severity").alias("severity"), "confidence", F.col("amplifier.file_path").alias("file_path"), F.col("amplifier.start_line").alias("start_line"), F.col("target.file_path").alias("target_file"), F.col("target.start_line").alias("target_line"), "amplifier_count", "target_count", F.col("review").alias("needs_review")).orderBy(*group, F.desc(_rank(F.col("chain_severity"), SEVERITIES)), F.desc("confidence"), "rule_ord").drop("rule_ord")
 
 
 def summary(raw: DataFrame, deduped: DataFrame, chains: DataFrame) -> DataFrame:
@@ -177,23 +231,25 @@ def authorization_surface(entries: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def stored_flows(writes: DataFrame, reads: DataFrame, most: int = 500) -> DataFrame:
-    """Reads met by writes of the same storage key (without regard to case): the first `most` distinct (write entry, read, sink), in order of reads, then writes.
+    """Reads met by writes of the same storage key (without regard to case): of each project the first `most` distinct (write entry, read, sink), in order of reads, then writes.
 
-    writes(write_ord, write_entry, storage_key, value_type); reads(read_ord, read_id, sink_id, storage_key, value_type). No pair beyond the bound can
-    count, so of each key at most `most` writes and of all reads that have a writer the first `most` (read, sink) are joined.
+    writes(write_ord, write_entry, storage_key, value_type); reads(read_ord, read_id, sink_id, storage_key, value_type); both may have `project`, else they are one. The bound is the
+    feature: no pair beyond it can count, so of each key at most `most` writes and of all reads of a project that have a writer the first `most` (read, sink) are joined.
     """
-    key = F.lower("storage_key").alias("key")
-    w = writes.select(key, "write_ord", "write_entry", F.col("value_type").alias("write_type")).where("key is not null")
+    of = lambda df: df if "project" in df.columns else df.withColumn("project", F.lit(""))
+    key = F.struct("project", F.lower("storage_key").alias("key")).alias("key")
+    first = lambda df, part, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(part).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    w = of(writes).where("storage_key is not null").select(key, "write_ord", "write_entry", F.col("value_type").alias("write_type"))
     w = w.groupBy("key", "write_entry").agg(F.min(F.struct("write_ord", "write_type")).alias("w"))
-    w = w.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("w.write_ord", "write_entry"))).where(F.col("_n") <= most).select("key", "write_entry", "w.*")
-    r = reads.select(key, "storage_key", "read_ord", "read_id", "sink_id", F.col("value_type").alias("read_type")).where("key is not null")
+    w = first(w, "key", "w.write_ord", "write_entry").select("key", "write_entry", "w.*")
+    r = of(reads).where("storage_key is not null").select(key, "storage_key", "read_ord", "read_id", "sink_id", F.col("value_type").alias("read_type"))
     r = r.groupBy("key", "read_id", "sink_id").agg(F.min(F.struct("read_ord", "storage_key", "read_type")).alias("r")).select("key", "read_id", "sink_id", "r.*")
-    r = skew_join(r, w.select("key").distinct(), "key", "left_semi").orderBy("read_ord", "read_id", "sink_id").limit(most)
-    p = r.join(w, "key")
-    first = p.groupBy("write_entry", "read_id", "sink_id").agg(F.min(F.struct("read_ord", "write_ord", "storage_key", "write_type", "read_type")).alias("p"))
+    r = first(skew_join(r, w.select("key").distinct(), "key", "left_semi"), F.col("key.project"), "read_ord", "read_id", "sink_id")
+    p = r.join(w, "key").groupBy(F.col("key.project").alias("project"), "write_entry", "read_id", "sink_id").agg(F.min(F.struct("read_ord", "write_ord", "storage_key", "write_type", "read_type")).alias("p"))
     same = (F.col("p.write_type") != "") & (F.lower("p.write_type") == F.lower("p.read_type"))
-    out = first.orderBy("p.read_ord", "read_id", "sink_id", "p.write_ord", "write_entry").limit(most)
-    return out.select("write_entry", "read_id", "sink_id", F.col("p.storage_key").alias("storage_key"), F.when(same, "HIGH").otherwise("MEDIUM").alias("correlation"), F.lit("STORAGE_CONTROLLED").alias("source_classification"))
+    out = first(p, "project", "p.read_ord", "read_id", "sink_id", "p.write_ord", "write_entry")
+    keep = ["project"] if "project" in reads.columns else []
+    return out.select(*keep, "write_entry", "read_id", "sink_id", F.col("p.storage_key").alias("storage_key"), F.when(same, "HIGH").otherwise("MEDIUM").alias("correlation"), F.lit("STORAGE_CONTROLLED").alias("source_classification"))
 
 
 # ---------------------------------------------------------------- batches and chunks
@@ -212,29 +268,36 @@ def batch_plan(batches: DataFrame, size: int = 80) -> DataFrame:
 SPAN = 100_000
 
 
-def chunk_plan(items: DataFrame, group: str, order: str, size: str, most_items: int = 50, most_bytes: int = 65_536) -> DataFrame:
+def chunk_plan(items: DataFrame, group: str, order: str, size: str, most_items: int = 50, most_bytes: int = 65_536, groups: DataFrame | None = None, envelope: bool = False) -> DataFrame:
     """(group, chunk, start_index, end_index, bytes) by greedy filling in order: at most `most_items` and `most_bytes` a chunk; a larger item is alone.
 
-    Only ordinals and sizes are shuffled, never payloads. A group is cut into spans of SPAN ordinals that start chunks of their own (groups of
+    envelope: bytes are those of the JSON object that holds a chunk ({"start_index", "end_index", "items"}, pretty-printed), not of its items alone. Groups of groups(group) that have no item get one
+    empty chunk with end_index -1. Only ordinals and sizes are shuffled, never payloads. A group is cut into spans of SPAN ordinals that start chunks of their own (groups of
     up to SPAN items come out exactly as one sequential pass gives them). NULL sizes count 0; an empty frame gives an empty frame.
     """
+    frame = len('{\n  "start_index" : ,\n  "end_index" : ,\n  "items" : [  ]\n}') if envelope else 0
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, start, n, total = [], None, 0, 0
+        whole = lambda a, b, t, k: t + (frame + len(f"{a}{b}") + 2 * (k - 1) if frame else 0)
         for o, s in sorted(zip(pdf["o"], pdf["s"])):
-            if n and (n >= most_items or total + s > most_bytes):
-                out.append((start, last, total))
+            if n and (n >= most_items or whole(start, o, total + s, n + 1) > most_bytes):
+                out.append((start, last, whole(start, last, total, n)))
                 n, total = 0, 0
             if not n:
                 start = o
             n, total, last = n + 1, total + int(s), o
         if n:
-            out.append((start, last, total))
+            out.append((start, last, whole(start, last, total, n)))
         return pd.DataFrame({"g": key[0], "span": key[1], "chunk": range(len(out)), "start_index": [x[0] for x in out], "end_index": [x[1] for x in out], "bytes": [x[2] for x in out]})
 
     kind = items.schema[group].dataType.simpleString()
     slim = items.select(F.col(group).alias("g"), F.expr(f"cast({order} div {SPAN} as bigint)").alias("span"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
     c = slim.groupBy("g", "span").applyInPandas(fold, f"g {kind}, span bigint, chunk bigint, start_index bigint, end_index bigint, bytes bigint")
+    if groups is not None:
+        none = groups.select(F.col(group).alias("g")).distinct().join(slim.select("g").distinct(), "g", "left_anti")
+        at = lambda n: F.lit(n).cast("long")
+        c = c.unionByName(none.select("g", at(0).alias("span"), at(0).alias("chunk"), at(0).alias("start_index"), at(-1).alias("end_index"), at(frame and frame + 2).alias("bytes")))
     return c.select(F.col("g").alias(group), (F.col("span") * SPAN + F.col("chunk")).alias("chunk"), "start_index", "end_index", "bytes")
 
 
@@ -243,14 +306,23 @@ def retained(rows: DataFrame, key: str, order: str, most: int = 2000) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= most).drop("_n")
 
 
+def retained_jobs(jobs: DataFrame, most: int = 200) -> DataFrame:
+    """jobs(job_id, created_at, status) newest first; if there are more than `most`, the oldest finished ones (DONE, FAILED) beyond that number are left out. Unfinished jobs always stay."""
+    over = jobs.count() - most
+    if over > 0:
+        old = jobs.where(F.col("status").isin("DONE", "FAILED")).orderBy("created_at", "job_id").limit(over)
+        jobs = jobs.join(old.select("job_id"), "job_id", "left_anti")
+    return jobs.orderBy(F.desc("created_at"), "job_id")
+
+
 # ---------------------------------------------------------------- sinks and restore
 def write_facts(tables: dict[str, DataFrame], folder: str, capped: dict[str, int] | None = None) -> DataFrame:
-    """Each table as JSON under folder/name; capped tables write at most that many rows. Returns (name, total, written, truncated), also written."""
+    """Each table as JSON under folder/name; capped tables write at most that many rows, the first in order of their columns. Returns (name, total, written, truncated), also written."""
     capped = {"unresolved_calls": 5000} | (capped or {})
     rows = []
     for name, df in tables.items():
         total = df.count()
-        (df.limit(capped[name]) if name in capped else df).write.mode("overwrite").json(f"{folder}/{name}")
+        (df.orderBy(*[c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]).limit(capped[name]) if name in capped else df).write.mode("overwrite").json(f"{folder}/{name}")
         rows.append((name, total, min(total, capped.get(name, total)), total > capped.get(name, total)))
     spark = next(iter(tables.values())).sparkSession
     info = spark.createDataFrame(rows, "name string, total bigint, written bigint, truncated boolean")
@@ -258,10 +330,28 @@ def write_facts(tables: dict[str, DataFrame], folder: str, capped: dict[str, int
     return info
 
 
-def restore(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+META = "job_id string, language string, status string, created_at string, message string"
+
+
+def write_job(findings: DataFrame, meta: DataFrame, folder: str) -> None:
+    """The findings and the meta data (META) of finished jobs, by job."""
+    findings.write.mode("overwrite").partitionBy("job_id").json(f"{folder}/findings")
+    meta.coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+
+
+def restore_jobs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The jobs written before with their meta data, `created` as a timestamp, and the number of their findings; a folder without any comes back as no rows."""
+    from ..functions.text import instant
+
+    n = restore(spark, folder, schema).groupBy("job_id").agg(F.count("*").alias("findings"))
+    jobs = restore(spark, folder, META, "meta").withColumn("created", instant("created_at"))
+    return jobs.join(n, "job_id", "left").fillna(0, ["findings"])
+
+
+def restore(spark: SparkSession, folder: str, schema: str, name: str = "findings") -> DataFrame:
     """Findings written before; a job folder without any comes back as no rows."""
     try:
-        return spark.read.schema(schema).json(f"{folder}/findings")
+        return spark.read.schema(schema).json(f"{folder}/{name}")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import cut, skew_join
@@ -13,6 +15,9 @@ DEFERRED = "execute invokeAndWait invokeLater runAsync schedule scheduleAtFixedR
 FUNCTIONAL = "accept apply call run test".split()
 FUNCTIONAL_TYPES = "BiConsumer BiFunction Callable Consumer Function Predicate Runnable Supplier".split()
 TARGETS_PER_CALL = 12
+#: Texts in a signature or class name, and in a call, that show that configuration is read.
+CONFIG_READS = ["getProperty", "getString", "@Value", "@ConfigurationProperties", "environment.getProperty", "config.get", "props.get", "settings.get"]
+CONFIG_CALLS = ["@Value", "@ConfigurationProperties", "environment.getProperty"]
 
 
 def closure(pairs: DataFrame) -> DataFrame:
@@ -28,41 +33,50 @@ def closure(pairs: DataFrame) -> DataFrame:
         n = m
 
 
-def resolve_calls(calls: DataFrame, methods: DataFrame, impls: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+Project = Callable[[str], Column]
+
+
+def _project(project: Project | None, path: str = "file_path") -> Column:
+    return project(path) if project else F.lit("")
+
+
+def resolve_calls(calls: DataFrame, methods: DataFrame, impls: DataFrame, refs: DataFrame, project: Project | None = None) -> tuple[DataFrame, DataFrame]:
     """edges(from_id, call_ord, edge_ord, to_id, line, expression, resolution) and unresolved(method_id, file_path, line, expression).
 
     Each rule is a join tagged with its priority; a rule counts for a call only if no rule before it gave a target, except that
     receiver-type, its implementations and same-class add up. The first resolution of a target wins; the first 12 targets of a call (by
     priority, then target order: class name and file) stay, as in the reference. Calls to one hot (class, method) spread by skew_join.
+    project: from the path of a file to its project (calls, methods, impls and refs have file_path); names meet within a project only. None is one project.
     """
-    closed = closure(impls)
-    c = calls.select("method_id", "class_name", "file_path", "call_ord", "method_name", F.coalesce("receiver", F.lit("")).alias("receiver"), simple_name(F.coalesce("receiver_type", F.lit(""))).alias("type"), "argument_count", "argument_types", "line", "expression")
+    named = lambda cls: F.struct(F.col("pj"), cls.alias("cls"))
+    pj = _project(project).alias("pj")
+    pairs = impls.where("parent is not null and child is not null").select(pj if project else F.lit("").alias("pj"), "parent", "child")
+    closed = closure(pairs.select(named(F.col("parent")).alias("parent"), named(F.col("child")).alias("child")))
+    c = calls.select("method_id", "class_name", "file_path", pj, "call_ord", "method_name", F.coalesce("receiver", F.lit("")).alias("receiver"), simple_name(F.coalesce("receiver_type", F.lit(""))).alias("type"), F.col("argument_count").cast("int").alias("argument_count"), "argument_types", "line", "expression")
     c = cut(c.withColumn("call_id", F.struct("method_id", "call_ord")))
     lower = F.col("receiver").rlike(r"^[^\p{Lu}\W\d]") & ~F.col("receiver").contains("(") & ~F.col("receiver").isin("this", "super")
     upper = F.col("receiver").rlike(r"^\p{Lu}")
     capital = F.concat(F.upper(F.substring("receiver", 1, 1)), F.expr("substring(receiver, 2)"))
+    rule = lambda cond, priority, cls, name: F.when(cond, F.struct(F.lit(priority).alias("priority"), named(cls).alias("cls"), F.lit(name).alias("resolution")))
     want = F.array_compact(F.array(
-        F.when(F.col("type") != "", F.struct(F.lit(0).alias("priority"), F.col("type").alias("cls"), F.lit("receiver-type").alias("resolution"))),
-        F.when(F.col("receiver").isin("", "this", "super"), F.struct(F.lit(2).alias("priority"), F.col("class_name").alias("cls"), F.lit("same-class").alias("resolution"))),
-        F.when(upper, F.struct(F.lit(3).alias("priority"), simple_name("receiver").alias("cls"), F.lit("static-class-name").alias("resolution"))),
-        F.when(lower, F.struct(F.lit(4).alias("priority"), simple_name(capital).alias("cls"), F.lit("field-name-type").alias("resolution"))),
+        rule(F.col("type") != "", 0, F.col("type"), "receiver-type"), rule(F.col("receiver").isin("", "this", "super"), 2, F.col("class_name"), "same-class"), rule(upper, 3, simple_name("receiver"), "static-class-name"), rule(lower, 4, simple_name(capital), "field-name-type"),
     ))
     w = c.select("call_id", "method_name", "argument_count", F.inline(want))
     via = skew_join(w.where("priority in (0, 4)"), closed.select(F.col("parent").alias("cls"), F.col("child")), "cls")
     w = w.unionByName(via.select("call_id", "method_name", "argument_count", (F.col("priority") + 1).alias("priority"), F.col("child").alias("cls"), F.when(F.col("priority") == 0, "interface-implementation").otherwise("field-name-type").alias("resolution")))
-    target = methods.select(F.struct("class_name", "method_name", F.col("parameter_count").cast("int").alias("n")).alias("key"), F.col("id").alias("to_id"), F.struct("class_name", "file_path", "start_line", "id").alias("rank"))
-    hit = skew_join(w.withColumn("key", F.struct(F.col("cls").alias("class_name"), "method_name", F.col("argument_count").cast("int").alias("n"))), target, "key")
+    m = methods.select("*", pj).withColumns({"rank": F.struct("class_name", "file_path", "start_line", "id"), "n": F.col("parameter_count").cast("int")})
+    target = m.select(F.struct(named(F.col("class_name")).alias("cls"), "method_name", "n").alias("key"), F.col("id").alias("to_id"), "rank")
+    hit = skew_join(w.withColumn("key", F.struct("cls", "method_name", F.col("argument_count").alias("n"))), target, "key")
     # of the rules of a call only the leading block counts: 0-2 together, else 3, else 4-5
     block = F.when(F.col("priority") <= 2, 0).otherwise(F.when(F.col("priority") == 3, 1).otherwise(2))
     hit = cut(hit.select("call_id", block.alias("block"), "priority", "to_id", "rank", "resolution"))
     lead = hit.groupBy("call_id").agg(F.min("block").alias("block"))
     typed = hit.join(lead, ["call_id", "block"]).drop("block")
     untried = c.where((F.col("type") == "") & ~upper).join(lead.select("call_id"), "call_id", "left_anti")
-    single = methods.groupBy("method_name", F.col("parameter_count").cast("int").alias("argument_count")).agg(F.count("*").alias("n"), F.min("id").alias("to_id"), F.min(F.struct("class_name", "file_path", "start_line", "id")).alias("rank")).where("n = 1")
-    named = untried.withColumn("argument_count", F.col("argument_count").cast("int")).join(single, ["method_name", "argument_count"])
-    typed = typed.unionByName(named.select("call_id", F.lit(6).alias("priority"), "to_id", "rank", F.lit("unique-method-name-untyped").alias("resolution")))
-    back = _callbacks(c, methods, refs)
-    every = cut(typed.unionByName(back))
+    single = m.groupBy(F.struct("pj", "method_name", "n").alias("key")).agg(F.count("*").alias("many"), F.min("id").alias("to_id"), F.min("rank").alias("rank")).where("many = 1")
+    alone = skew_join(untried.select("call_id", F.struct("pj", "method_name", F.col("argument_count").alias("n")).alias("key")), single, "key")
+    typed = typed.unionByName(alone.select("call_id", F.lit(6).alias("priority"), "to_id", "rank", F.lit("unique-method-name-untyped").alias("resolution")))
+    every = cut(typed.unionByName(_callbacks(c, m, refs.select("class_name", "name", pj))))
     first = every.groupBy("call_id", "to_id").agg(F.min(F.struct("priority", "rank", "resolution")).alias("r"))
     place = F.row_number().over(Window.partitionBy("call_id").orderBy("r.priority", "r.rank"))
     kept = first.withColumn("place", place).where(F.col("place") <= TARGETS_PER_CALL)
@@ -73,16 +87,17 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, impls: DataFrame, refs:
 
 
 def _callbacks(c: DataFrame, methods: DataFrame, refs: DataFrame) -> DataFrame:
-    """Tasks handed over as arguments, and method references run through a functional object. No arity check."""
-    by_name = methods.select(F.struct("class_name", "method_name").alias("key"), F.col("id").alias("to_id"), F.struct("class_name", "file_path", "start_line", "id").alias("rank"))
+    """Tasks handed over as arguments, and method references run through a functional object. No arity check. Names meet within a project (pj)."""
+    cls = lambda column: F.struct("pj", F.col(column).alias("class_name"))
+    by_name = methods.select(F.struct(cls("class_name").alias("cls"), "method_name").alias("key"), F.col("id").alias("to_id"), "rank")
     runnable = by_name.where(F.col("key.method_name").isin("run", "call"))
-    args = c.select("call_id", F.col("method_name").isin(DEFERRED).alias("deferred"), F.explode("argument_types").alias("arg")).where("arg <> ''")
-    keys = args.select("call_id", "deferred", F.explode(F.array(*[F.struct(simple_name("arg").alias("class_name"), F.lit(m).alias("method_name")) for m in ("run", "call")])).alias("key"))
+    args = c.select("call_id", "pj", F.col("method_name").isin(DEFERRED).alias("deferred"), F.explode("argument_types").alias("arg")).where("arg <> ''").withColumn("arg", simple_name("arg"))
+    keys = args.select("call_id", "deferred", F.explode(F.array(*[F.struct(cls("arg").alias("cls"), F.lit(m).alias("method_name")) for m in ("run", "call")])).alias("key"))
     ran = skew_join(keys, runnable, "key").select("call_id", F.lit(7).alias("priority"), "to_id", "rank", F.when(F.col("deferred"), "deferred-callback").otherwise("runnable-arg-callback").alias("resolution"))
     functional = c.where(F.col("method_name").isin(FUNCTIONAL) & (F.col("type").isin(FUNCTIONAL_TYPES) | F.col("receiver").contains("(")))
-    pairs = refs.select("class_name", F.col("name")).distinct()
-    named = skew_join(functional.select("call_id", "class_name"), pairs, "class_name")
-    keys = named.select("call_id", F.struct("class_name", F.col("name").alias("method_name")).alias("key"))
+    pairs = refs.select(cls("class_name").alias("cls"), "name").distinct()
+    named = skew_join(functional.select("call_id", cls("class_name").alias("cls")), pairs, "cls")
+    keys = named.select("call_id", F.struct("cls", F.col("name").alias("method_name")).alias("key"))
     ref = skew_join(keys, by_name, "key").select("call_id", F.lit(8).alias("priority"), "to_id", "rank", F.lit("functional-method-reference").alias("resolution"))
     return ran.unionByName(ref)
 
@@ -99,18 +114,23 @@ def bind_nearest(entries: DataFrame, methods: DataFrame, line: str = "start_line
     return j.withColumn("method_id", F.coalesce("_id", F.lit(""))).withColumn("binding_status", F.when(F.col("_id").isNull(), "UNRESOLVED").otherwise("BOUND")).drop("_e", "_id")
 
 
-def mapper_sinks(calls: DataFrame, statements: DataFrame) -> DataFrame:
-    """Calls on a mapper interface whose statement splices text in: (category, method_id, file_path, line, code). The last statement of an id wins."""
-    s = statements.groupBy("mapper", "statement_id").agg(F.max_by("snippet", F.struct("file_path", "ord")).alias("code"))
-    c = calls.select("method_id", "file_path", "line", simple_name("receiver_type").alias("mapper"), F.col("method_name").alias("statement_id"))
-    return c.join(s, ["mapper", "statement_id"]).select(F.lit("SQL_EXECUTION").alias("category"), "method_id", "file_path", "line", "code")
-
-
-def template_sinks(methods: DataFrame, calls: DataFrame, templates: DataFrame) -> DataFrame:
-    """Methods that read configuration and fill in a template: one COMMAND_EXECUTION sink each, with the expression of their last
-    replace, replaceAll or format call, and the first template (by file, then key)."""
-    fill = calls.where(F.col("method_name").isin("replace", "replaceAll", "format")).groupBy("method_id").agg(F.max_by("expression", "call_ord").alias("code"), F.max("line").alias("line"))
-    reads = calls.where(F.col("method_name").isin("getProperty", "getString", "getValue")).select("method_id").distinct()
-    annotated = methods.where(F.col("signature").rlike("@Value|getProperty|Environment|@ConfigurationProperties")).select(F.col("id").alias("method_id"))
-    first = F.broadcast(templates.orderBy("config_file", "key").limit(1).select(F.col("key").alias("template_key")))
-    return fill.join(reads.unionByName(annotated).distinct(), "method_id", "left_semi").join(methods.select(F.col("id").alias("method_id"), "file_path"), "method_id").crossJoin(first).select(F.lit("COMMAND_EXECUTION").alias("category"), "method_id", "file_path", "line", "code", "template_key")
+def mapper_sinks(calls: DataFrame, statements: DataFrame, project: Project | None = None) -> DataFrame:
+    """Calls on a mapper interface whose statement splices text in: (category, api, method_id, file_path, line, code). The last statement of an id (in its project) wins."""
+    s = statements.groupBy(_project(project).alias("pj"), "mapper", "statement_id").agg(F.max_by("snippet", F.struct("file_path", "ord")).alias("code"))
+    c = calls.select("method_id", "file_path", _project(project).alias("pj"), "line", simple_name("receiver_type").alias("mapper"), F.col("method_name").alias("statement_id"), "expression")
+    return c.join(s, ["pj", "mapper", "statement_id"]).select(F.lit("SQL_EXECUTION").alias("category"), F.concat(F.lit("MyBatis ${}:"), "expression").alias("api"), "method_id", "file_path", "line", "code")
+
+
+def template_sinks(methods: DataFrame, calls: DataFrame, templates: DataFrame, project: Project | None = None) -> DataFrame:
+    """Methods that read configuration (by their signature, their class name or a call) and fill in a template: one COMMAND_EXECUTION sink each, at their first line, with the expression of
+    their last replace, replaceAll or format call and the first template of the project (by file, then key)."""
+    fill = calls.where(F.col("method_name").isin("replace", "replaceAll", "format")).groupBy("method_id").agg(F.max_by("expression", "call_ord").alias("code"))
+    any_of = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    reads = calls.where(F.col("method_name").isin("getProperty", "getString") | any_of(F.coalesce("expression", F.lit("")), CONFIG_CALLS)).select("method_id").distinct()
+    shown = F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.coalesce("class_name", F.lit("")))
+    annotated = methods.where(any_of(shown, CONFIG_READS)).select(F.col("id").alias("method_id"))
+    first = templates.groupBy(_project(project, "config_file").alias("pj")).agg(F.min_by("key", F.struct("config_file", "key")).alias("template_key"))  # one row for each project
+    at = methods.select(F.col("id").alias("method_id"), "file_path", _project(project).alias("pj"), F.col("start_line").alias("line"))
+    hit = fill.join(reads.unionByName(annotated).distinct(), "method_id", "left_semi").join(at, "method_id").join(first, "pj")
+    api = F.concat(F.lit("ConfigTemplate:"), "template_key", F.lit("→replace→exec"))
+    return hit.select(F.lit("COMMAND_EXECUTION").alias("category"), api.alias("api"), "method_id", "file_path", "line", "code", "template_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import skew_join
 from ..common import table as t
 from ..common import trimmed
 from ..functions import text as tx
@@ -18,6 +19,8 @@ from . import pipeline
 
 # ---------------------------------------------------------------- relations that several queries read
 _CALL = r"^(?:([\w$.]+)\.)?([\w$]+)\((.*)\)$"
+#: The file in a method id.
+_AT = r"@(.*):\d+:\d+$"
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
@@ -44,13 +47,16 @@ def edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def calls(s: SparkSession, d: str) -> DataFrame:
-    """Call sites as call_edges tells them: receiver, method and number of arguments of the expression."""
+    """Call sites as call_edges tells them: receiver, method and arguments of the expression; receivers and arguments that the caller declares as variables have their types."""
     e = edges(s, d).where(F.col("expression").rlike(_CALL))
     part = lambda i: F.regexp_extract("expression", _CALL, i)
     arguments = F.when(F.trim(part(3)) == "", F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.split(part(3), ","), F.trim))
+    known = t(s, d, "methods").where("id is not null").groupBy("id").agg(F.max_by("variable_types", F.struct("indexed_at", (-F.col("method_seq")).alias("n"))).alias("types"))
+    e = skew_join(e, known.select(F.col("id").alias("from_id"), "types"), "from_id", "left")
+    type_of = lambda v: F.coalesce(F.try_element_at("types", v), F.lit(""))
     return e.select(
-        F.col("from_id").alias("method_id"), F.regexp_extract("to_id", "^([^#]*)#", 1).alias("callee_class"), F.regexp_extract("from_id", "^([^#]*)#", 1).alias("class_name"), F.regexp_extract("from_id", r"@(.*):\d+:\d+$", 1).alias("file_path"), F.col("edge_ord").cast("int").alias("call_ord"), part(2).alias("method_name"),
-        part(1).alias("receiver"), F.lit("").alias("receiver_type"), F.size(arguments).alias("argument_count"), F.transform(arguments, lambda a: F.lit("")).alias("argument_types"), arguments.alias("argument_expressions"), "line", "expression",
+        F.col("from_id").alias("method_id"), F.regexp_extract("to_id", "^([^#]*)#", 1).alias("callee_class"), F.regexp_extract("from_id", "^([^#]*)#", 1).alias("class_name"), F.regexp_extract("from_id", _AT, 1).alias("file_path"), F.col("edge_ord").cast("int").alias("call_ord"), part(2).alias("method_name"),
+        part(1).alias("receiver"), type_of(part(1)).alias("receiver_type"), F.size(arguments).alias("argument_count"), F.transform(arguments, type_of).alias("argument_types"), arguments.alias("argument_expressions"), "line", "expression",
     )
 
 
@@ -109,7 +115,7 @@ def q_paths(s, d):
 
 def q_write_paths(s, d):
     a = storage(s, d).where("kind = 'WRITE'").select(F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord")).alias("access_id"), F.struct("method_id", "call_ord").alias("access_ord"), "method_id").distinct()
-    return graph.write_paths(starts(s, d).withColumn("entry_ord", F.col("entry_id")), edges(s, d), a).select("entry_id", "access_id", "call_depth", "correlation", "path")
+    return graph.write_paths(starts(s, d).withColumn("entry_ord", F.col("entry_id")), edges(s, d), a, most=None).select("entry_id", "access_id", "call_depth", "correlation", "path")
 
 
 def q_derived(s, d):
@@ -117,16 +123,25 @@ def q_derived(s, d):
     return graph.derived_sinks(methods(s, d), f, _goal_sinks(s, d))
 
 
+def _resolved(s, d):
+    """Call resolution with all rules: types of variables, parents that files declare, method references in signatures; names meet within a repository."""
+    m = methods(s, d).withColumn("file_path", F.regexp_extract("id", _AT, 1))
+    refs = m.select("class_name", "file_path", F.explode(F.regexp_extract_all("signature", F.lit(r"::\s*([A-Za-z_]\w*)"), 1)).alias("name"))
+    return resolve.resolve_calls(calls(s, d), m, scanners.declared_parents(files(s, d)), refs, tx.project_of)
+
+
 def q_resolve(s, d):
-    none = s.createDataFrame([], "parent string, child string")
-    refs = s.createDataFrame([], "class_name string, name string")
-    return resolve.resolve_calls(calls(s, d), methods(s, d), none, refs)[0].select("from_id", "call_ord", "to_id", "resolution")
+    return _resolved(s, d)[0].select("from_id", "call_ord", "to_id", "resolution")
 
 
 def q_unresolved(s, d):
-    none = s.createDataFrame([], "parent string, child string")
-    refs = s.createDataFrame([], "class_name string, name string")
-    return resolve.resolve_calls(calls(s, d), methods(s, d), none, refs)[1]
+    return _resolved(s, d)[1]
+
+
+def q_mapper_sinks(s, d):
+    """J5 over the call edges, the class of the callee as the receiver's type."""
+    c = calls(s, d).withColumn("receiver_type", F.col("callee_class"))
+    return resolve.mapper_sinks(c, scanners.mapper_statements(files(s, d).where(F.col("path").endswith(".xml"))), tx.project_of).select("method_id", "file_path", "line", "api", "code").distinct()
 
 
 def q_bind(s, d):
@@ -135,11 +150,13 @@ def q_bind(s, d):
 
 
 def q_stored(s, d):
-    a = storage(s, d)
-    w = a.where("kind = 'WRITE'").select(F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord")).alias("write_ord"), F.col("method_id").alias("write_entry"), "storage_key", F.lit("").alias("value_type"))
-    r = a.where("kind = 'READ'").join(_goal_sinks(s, d).select("method_id", F.col("id").alias("sink_id")), "method_id")
-    r = r.select(F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord"), "sink_id").alias("read_ord"), F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord")).alias("read_id"), "sink_id", "storage_key", F.lit("").alias("value_type"))
-    return report.stored_flows(w, r).select("write_entry", "read_id", "sink_id", "correlation")
+    """J7, with the bound of 500 in each repository."""
+    a = storage(s, d).withColumn("project", tx.project_of("file_path"))
+    at = F.concat_ws("|", "method_id", F.format_string("%05d", "call_ord"))
+    w = a.where("kind = 'WRITE'").select("project", at.alias("write_ord"), F.col("method_id").alias("write_entry"), "storage_key", F.lit("").alias("value_type"))
+    r = skew_join(a.where("kind = 'READ'"), _goal_sinks(s, d).select("method_id", F.col("id").alias("sink_id")), "method_id")
+    r = r.select("project", F.concat_ws("|", at, "sink_id").alias("read_ord"), at.alias("read_id"), "sink_id", "storage_key", F.lit("").alias("value_type"))
+    return report.stored_flows(w, r).select("project", "write_entry", "read_id", "sink_id", "correlation")
 
 
 def q_surface(s, d):
@@ -187,7 +204,12 @@ def q_taint_sinks(s, d):
 
 
 def q_analysis(s, d):
-    return pipeline.analyze(files(s, d)).candidates.select("entry_id", "sink_id", "path", "call_depth", "static_confidence", "taint_confidence", "source_classification")
+    return pipeline.analyze(files(s, d), project=tx.project_of).candidates.select("entry_id", "sink_id", "path", "call_depth", "static_confidence", "taint_confidence", "source_classification")
+
+
+def _chain_columns(chains):
+    step = lambda i: F.concat_ws(":", *[F.col("data_flow_path")[i][x].cast("string") for x in ("step", "file", "line", "type", "in_app_package")])
+    return chains.withColumns({"first_step": step(0), "last_step": step(1)}).drop("message", "data_flow_path")
 
 
 QUERIES = {
@@ -198,13 +220,18 @@ QUERIES = {
     "java_methods": lambda s, d: jf.methods(parsed(s, d)).select("id", "class_name", "method_name", "parameter_count", "file_path", "start_line", "end_line", "signature"),
     "java_calls": lambda s, d: jf.calls(parsed(s, d)).select("method_id", "call_ord", "method_name", "receiver", "receiver_type", "argument_count", "line"),
     "java_implementations": lambda s, d: resolve.closure(jf.implementations(parsed(s, d))),
-    "java_diagnostics": lambda s, d: jf.diagnostics(parsed(s, d)),
+    "java_diagnostics": lambda s, d: jf.diagnostics(parsed(s, d), most=None),
     "entry_points": lambda s, d: disc.discover(parsed(s, d)),
     "interface_inventory": lambda s, d: disc.inventory(disc.discover(parsed(s, d))),
     "yaml_templates": lambda s, d: scanners.yaml_templates(files(s, d)),
     "properties_templates": lambda s, d: scanners.properties_templates(files(s, d)),
     "xml_templates": lambda s, d: scanners.xml_templates(files(s, d).where(F.col("path").endswith(".xml"))),
-    "mapper_statements": lambda s, d: scanners.mapper_statements(files(s, d).where(F.col("path").endswith(".xml"))),
+    "mapper_statements": lambda s, d: scanners.mapper_statements(files(s, d).where(F.col("path").endswith(".xml"))).drop("ord"),
+    "mapper_sinks": q_mapper_sinks,
+    "declared_parents": lambda s, d: scanners.declared_parents(files(s, d)),
+    "source_lines": lambda s, d: scanners.lines(files(s, d)).groupBy("path").agg(F.count("*").alias("lines"), F.count_if(scanners.strip("line") == "").alias("blank")),
+    "structural_sinks": lambda s, d: classify.structural_sinks(jf.methods(p := parsed(s, d)), jf.classes(p)),
+    "entries_by_discoverer": lambda s, d: disc.discover(parsed(s, d)).groupBy("discovery_source", "protocol", classify.protocol_side("protocol").alias("side")).agg(F.count("*").alias("n")),
     "source_hints": lambda s, d: scanners.source_hints(files(s, d)),
     "tech_profile": lambda s, d: scanners.tech_profile(files(s, d)),
     # classification
@@ -212,7 +239,7 @@ QUERIES = {
     "storage_accesses": lambda s, d: storage(s, d).select("method_id", "call_ord", "kind", "storage_key").distinct(),
     "hunter_sinks": lambda s, d: classify.for_hunters(sinks(s, d)).groupBy("hunter", "category").agg(F.count("*").alias("n")),
     "local_taint_sinks": q_taint_sinks,
-    "suspicious_calls": lambda s, d: classify.suspicious_calls(jf.calls(p := parsed(s, d)), pipeline.number_sinks(classify.classify_calls(jf.calls(p)).withColumn("code", F.col("expression"))), jf.classes(p)),
+    "suspicious_calls": lambda s, d: classify.suspicious_calls(jf.calls(p := parsed(s, d)), pipeline.number_sinks(classify.classify_calls(jf.calls(p)).withColumn("code", F.col("expression"))), jf.classes(p), most=None, project=tx.project_of),
     # joins and graph
     "resolved_calls": q_resolve,
     "unresolved_calls": q_unresolved,
@@ -231,9 +258,13 @@ QUERIES = {
     "coverage": q_coverage,
     "coverage_tables": lambda s, d: report.coverage({n: t(s, d, n) for n in ("source_files", "methods", "sinks", "call_edges", "candidate_paths", "parse_errors")}),
     "sinks_by_category": lambda s, d: sinks(s, d).groupBy("category").agg(F.count("*").alias("n")),
+    "paths_by_category": lambda s, d: paths(s, d).groupBy("category").agg(F.count("*").alias("n")),
+    "worst_findings": lambda s, d: report.by_severity(findings(s, d)).limit(100).select("ord", "severity", "confidence"),
+    "first_candidates": lambda s, d: report.by_priority(paths(s, d).where("call_depth >= 0")).limit(100).select("path_id", "static_confidence", "call_depth"),
     "best_findings": lambda s, d: report.dedup_findings(findings(s, d)).select("ord", "rule_id", "file_path", "start_line", "verdict", "confidence"),
     "finding_stats": lambda s, d: report.finding_stats(findings(s, d)),
-    "attack_chains": lambda s, d: report.attack_chains(findings(s, d).withColumn("repo", F.substring_index("file_path", "/", 1)), group=["repo"]),
+    "attack_chains": lambda s, d: _chain_columns(report.attack_chains(findings(s, d).withColumn("repo", F.substring_index("file_path", "/", 1)), group=["repo"])),
+    "attack_chains_app": lambda s, d: _chain_columns(report.attack_chains(findings(s, d).withColumn("repo", F.substring_index("file_path", "/", 1)), "io.brightmoor", group=["repo"])),
     "findings_summary": lambda s, d: report.summary(f := findings(s, d), report.dedup_findings(f), report.attack_chains(f)),
     "candidate_priority": lambda s, d: report.by_priority(paths(s, d)).select("path_id", "static_confidence", F.coalesce("call_depth", F.lit(-1)).alias("call_depth")),
     "batch_plan": q_batches,
@@ -241,8 +272,10 @@ QUERIES = {
     "entry_ids": q_ids,
     # streams, over finished logs
     "last_results": lambda s, d: ev.last_results(sessions(s, d)),
+    "log_levels": lambda s, d: t(s, d, "documents").groupBy(ev.log_level(ev.log_line("text")).alias("level")).agg(F.count("*").alias("n")),
+    "text_sizes": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", tx.byte_size(F.octet_length("text")).alias("size"), tx.preview("text", 80).alias("shown"), tx.instant_text("created_at").alias("created"), (tx.instant(tx.instant_text("created_at")) == F.col("created_at")).alias("same")),
     "agent_progress": lambda s, d: ev.progress_batch(sessions(s, d)),
-    "retained_events": lambda s, d: report.retained(t(s, d, "events"), "user_id", "event_id", 50).select("user_id", "event_id"),
+    "retained_events": lambda s, d: report.retained(t(s, d, "events"), "user_id", "event_id").select("user_id", "event_id"),
 }
 
 # ---------------------------------------------------------------- SQL
@@ -261,11 +294,13 @@ _METHODS = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id OR
 _SINKS = f"k AS (SELECT id, min(sink_ord) AS sink_ord, upper({_TRIM.format('max(category)')}) AS category, max(api) AS api, max(method_id) AS method_id, max(file_path) AS file_path, max(line) AS line, max(code) AS code FROM sinks GROUP BY id)"
 _EDGES = f"""e AS (SELECT f AS from_id, edge_ord, t AS to_id, r.line AS line, r.expression AS expression, r.resolution AS resolution FROM (SELECT {_F} AS f, edge_ord, {_T} AS t,
     min(struct_pack(line := line, expression := expression, resolution := resolution)) AS r FROM call_edges WHERE {_F} <> '' AND {_T} <> '' AND edge_ord IS NOT NULL GROUP BY 1, 2, 3))"""
+_VARS = "vt AS (SELECT id, arg_max(coalesce(variable_types, MAP {}), struct_pack(a := indexed_at, b := -method_seq)) AS types FROM methods WHERE id IS NOT NULL GROUP BY 1)"
 _PART = "regexp_extract(expression, '" + _CALL + "', {})"
 _CALLS = (
     _EDGES
-    + f""", c AS (SELECT from_id AS method_id, regexp_extract(from_id, '^([^#]*)#', 1) AS class_name, edge_ord AS call_ord, {_PART.format(2)} AS method_name, {_PART.format(1)} AS receiver, regexp_extract(to_id, '^([^#]*)#', 1) AS callee_class, line, expression,
-    CASE WHEN trim({_PART.format(3)}) = '' THEN 0 ELSE len(string_split({_PART.format(3)}, ',')) END AS n FROM e WHERE regexp_matches(expression, '{_CALL}'))"""
+    + f""", {_VARS}, c AS (SELECT *, split_part(regexp_replace(replace(file_path, '\\', '/'), '^(\\./|/)+', ''), '/', 1) AS pj, coalesce(types[receiver], '') AS receiver_type, list_transform(args, lambda x: coalesce(types[x], '')) AS argument_types FROM (
+    SELECT from_id AS method_id, regexp_extract(from_id, '^([^#]*)#', 1) AS class_name, regexp_extract(from_id, '{_AT}', 1) AS file_path, edge_ord AS call_ord, {_PART.format(2)} AS method_name, {_PART.format(1)} AS receiver, regexp_extract(to_id, '^([^#]*)#', 1) AS callee_class, line, expression,
+    CASE WHEN trim({_PART.format(3)}) = '' THEN [] ELSE list_transform(string_split({_PART.format(3)}, ','), lambda x: trim(x)) END AS args, len(args) AS n, vt.types FROM e LEFT JOIN vt ON vt.id = from_id WHERE regexp_matches(expression, '{_CALL}')))"""
 )
 _DUCK = lambda sql: sql.replace("regexp_like(", "regexp_matches(")
 _SKIND, _SKEY = map(_DUCK, classify.storage_sql("method_name", "receiver", "callee_class"))
@@ -284,13 +319,20 @@ _BEST = f"b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id
 _RULES = ", ".join(f"({i}, '{rid}', '{side}', '{alias}', {'true' if ty == 'WEAK_WHITELIST' and alias == 'SSRF' else 'false'}, '{sev}', {conf})" for i, (rid, am, ta, sev, conf) in enumerate(report.CHAIN_RULES) for side, types in (("amplifier", am), ("target", ta)) for ty in types for alias in report.ALIASES.get(ty, [ty]))
 
 
-def _chains(group: str) -> str:
+def _chains(group: str, pack: str = "") -> str:
     pick = lambda side, col: f"arg_max({col}, struct_pack(a := confidence, b := -ord)) FILTER (WHERE side = '{side}')"
-    return f"""ru(rule_ord, chain_id, side, type, weak, chain_severity, base) AS (VALUES {_RULES}),
-ch AS (SELECT {group} AS repo, chain_id, chain_severity AS severity, CAST(base AS DOUBLE) AS confidence, {pick('amplifier', 'file_path')} AS file_path, {pick('amplifier', 'start_line')} AS start_line, {pick('target', 'file_path')} AS target_file, {pick('target', 'start_line')} AS target_line,
-    count(*) FILTER (WHERE side = 'amplifier') AS amplifier_count, count(*) FILTER (WHERE side = 'target') AS target_count, false AS needs_review
+    inside = lambda f: f"contains(replace({f}, '\\', '/'), '{pack}')" if pack else "true"
+    step = lambda s, f, n, ty: f"concat_ws(':', '{s}', {f}, {n}, {ty}, {inside(f)})"
+    titles = ", ".join(f"('{k}', '{v}')" for k, v in report.CHAIN_TITLES.items())
+    return f"""ru(rule_ord, chain_id, side, type, weak, chain_severity, base) AS (VALUES {_RULES}), ti(cid, title) AS (VALUES {titles}),
+ch AS (SELECT {group} AS repo, chain_id, chain_severity AS severity, CAST(base AS DOUBLE) AS base, {pick('amplifier', 'file_path')} AS file_path, {pick('amplifier', 'start_line')} AS start_line, {pick('target', 'file_path')} AS target_file, {pick('target', 'start_line')} AS target_line,
+    {pick('amplifier', 'confidence')} AS ac, {pick('target', 'confidence')} AS tc, {pick('amplifier', 'ru.type')} AS aty, {pick('target', 'ru.type')} AS tty,
+    count(*) FILTER (WHERE side = 'amplifier') AS amplifier_count, count(*) FILTER (WHERE side = 'target') AS target_count
     FROM fi JOIN ru ON upper(fi.vuln_type) = ru.type WHERE NOT weak OR regexp_matches(lower(rule_id), 'weak|whitelist|contains') GROUP BY {group}, rule_ord, chain_id, chain_severity, base),
-cc AS (SELECT * FROM ch WHERE amplifier_count > 0 AND target_count > 0 AND confidence >= 0.6)"""
+cr AS (SELECT *, NOT {inside('file_path')} AND NOT {inside('target_file')} AS needs_review FROM ch WHERE amplifier_count > 0 AND target_count > 0),
+cs AS (SELECT *, CASE WHEN needs_review THEN floor(base * 0.7 * 100 + 0.5) / 100 ELSE base END AS confidence FROM cr WHERE NOT needs_review OR ac >= 0.85 AND tc >= 0.85),
+cc AS (SELECT repo, chain_id, severity, confidence, file_path, start_line, target_file, target_line, amplifier_count, target_count, needs_review, title, 'ATTACK_CHAIN' AS vuln_type, 'chain-correlator' AS discovered_by,
+    {step('amplifier', 'file_path', 'start_line', 'aty')} AS first_step, {step('target', 'target_file', 'target_line', 'tty')} AS last_step FROM cs JOIN ti ON ti.cid = chain_id WHERE confidence >= 0.6)"""
 
 
 _START = "s AS (SELECT DISTINCT from_id AS id FROM e WHERE from_id NOT IN (SELECT to_id FROM e))"
@@ -298,12 +340,44 @@ _L = "l AS (SELECT from_id, to_id, o.edge_ord AS edge_ord, o.resolution AS resol
 _WALK = """w AS (SELECT id AS entry_id, id AS at, [id] AS path, CAST([] AS INT[]) AS ords, CAST([] AS VARCHAR[]) AS res, 0 AS depth FROM s
       UNION ALL SELECT w.entry_id, l.to_id, list_append(path, l.to_id), list_append(ords, l.edge_ord), list_append(res, l.resolution), depth + 1 FROM w JOIN l ON l.from_id = w.at WHERE depth < {} AND NOT list_contains(path, l.to_id))"""
 _CERTAIN = "[" + ", ".join(f"'{c}'" for c in graph.CERTAIN) + "]"
-_PATHREGEX = r"^\s*([^#!=:\s][^=:\s]*)\s*[=:]\s*(.*\S)\s*$"
+_PATHREGEX = scanners.PROPERTY_LINE
 _LINES = r"ln AS (SELECT path, i AS line_no, string_split_regex(content, '\r\n|\n|\r')[i] AS line FROM (SELECT path, content, unnest(range(1, len(string_split_regex(content, '\r\n|\n|\r')) + 1)) AS i FROM f))"
 _ISCMD = "(" + " OR ".join(f"contains(lower(v), '{w}')" for w in scanners.COMMANDS) + ")"
-_MAP = scanners.MAPPER.replace("[\\s\\S]", "(?s:.)")
 _ENTRY = r"sha256(coalesce(upper(category), '') || chr(10) || '[' || api || ']' || chr(10) || code || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 1) || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 2) || chr(10) || " + _UNIX.format("file_path") + ")"
 
+_MAPPERS = "sm AS (" + " UNION ALL ".join(
+    f"""SELECT path, regexp_extract(regexp_extract(content, '(?i)<mapper\\s+namespace\\s*=\\s*"([^"]+)"', 1), '([^.]*)$', 1) AS mapper, regexp_extract_all(content, '(?i)<{w}\\s+[^>]*id\\s*=\\s*"([^"]+)"[^>]*>((?s:.)*?)</{w}>', 1) AS ids,
+    regexp_extract_all(content, '(?i)<{w}\\s+[^>]*id\\s*=\\s*"([^"]+)"[^>]*>((?s:.)*?)</{w}>', 2) AS bodies, regexp_extract_all(content, '(?i)(<{w}\\s+[^>]*id\\s*=\\s*"([^"]+)"[^>]*>((?s:.)*?)</{w}>)', 1) AS wholes, content FROM f WHERE path LIKE '%.xml' AND regexp_matches(content, '(?i)<mapper\\s+namespace\\s*=\\s*"([^"]+)"')"""
+    for w in ("select", "insert", "update", "delete")
+) + """), mr AS (SELECT path, mapper, unnest(ids) AS statement_id, unnest(bodies) AS raw, instr(content, unnest(wholes)) AS place FROM sm),
+ms AS (SELECT path, mapper, statement_id, place, CASE WHEN length(b) > 200 THEN substr(b, 1, 200) || '...' ELSE b END AS snippet FROM (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS b FROM mr WHERE regexp_matches(raw, '\\$\\{[^}]+\\}')))"""
+_HEAD = scanners.TYPE_HEAD
+_PARENTS = f"""hd AS (SELECT path AS file_path, unnest(regexp_extract_all(content, '{_HEAD}', 1)) AS child, unnest(regexp_extract_all(content, '{_HEAD}', 2)) AS clause FROM f WHERE path LIKE '%.java'),
+im AS (SELECT DISTINCT * FROM (SELECT file_path, regexp_replace(regexp_replace(unnest(string_split(regexp_replace(regexp_replace(regexp_replace(clause, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '\\b(?:extends|implements)\\b', ',', 'g'), ',')), '\\s+', '', 'g'), '^.*\\.', '') AS parent, child FROM hd)
+    WHERE regexp_matches(parent, '^[A-Za-z_]\\w*$'))"""
+_SIMPLE = "trim(regexp_replace(regexp_replace({}, '<.*>|\\[\\]', '', 'g'), '^.*[.$]', ''))"
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+_RESOLVE = f"""WITH RECURSIVE {_FILES}, {_PARENTS}, {_METHODS}, {_CALLS},
+        mm AS (SELECT *, split_part(regexp_replace(replace(fp, '\\', '/'), '^(\\./|/)+', ''), '/', 1) AS pj, struct_pack(a := class_name, b := fp, c := start_line, d := id) AS rk FROM (SELECT *, regexp_extract(id, '{_AT}', 1) AS fp FROM m)),
+        ip AS (SELECT DISTINCT split_part(file_path, '/', 1) AS pj, parent, child FROM im), cl AS (SELECT * FROM ip UNION SELECT cl.pj, cl.parent, ip.child FROM cl JOIN ip ON ip.pj = cl.pj AND ip.parent = cl.child),
+        ct AS (SELECT *, {_SIMPLE.format("receiver_type")} AS ty FROM c),
+        w0 AS (SELECT method_id, call_ord, pj, 0 AS pr, ty AS cls, 'receiver-type' AS resolution, method_name, n FROM ct WHERE ty <> ''
+          UNION ALL SELECT method_id, call_ord, pj, 2, class_name, 'same-class', method_name, n FROM ct WHERE receiver IN ('', 'this', 'super')
+          UNION ALL SELECT method_id, call_ord, pj, 3, {_SIMPLE.format("receiver")}, 'static-class-name', method_name, n FROM ct WHERE regexp_matches(receiver, '^\\p{{Lu}}')
+          UNION ALL SELECT method_id, call_ord, pj, 4, {_SIMPLE.format("upper(receiver[1]) || receiver[2:]")}, 'field-name-type', method_name, n FROM ct WHERE regexp_matches(receiver, '^[^\\p{{Lu}}\\W\\d]') AND NOT contains(receiver, '(') AND receiver NOT IN ('this', 'super')),
+        w AS (SELECT * FROM w0 UNION ALL SELECT w0.method_id, w0.call_ord, w0.pj, pr + 1, cl.child, CASE pr WHEN 0 THEN 'interface-implementation' ELSE 'field-name-type' END, method_name, n FROM w0 JOIN cl ON cl.pj = w0.pj AND cl.parent = w0.cls WHERE pr IN (0, 4)),
+        hit AS (SELECT w.*, CASE WHEN pr <= 2 THEN 0 WHEN pr = 3 THEN 1 ELSE 2 END AS block, mm.id AS to_id, mm.rk FROM w JOIN mm ON mm.pj = w.pj AND mm.class_name = w.cls AND mm.method_name = w.method_name AND mm.parameter_count = w.n),
+        lead AS (SELECT method_id, call_ord, min(block) AS block FROM hit GROUP BY 1, 2), one AS (SELECT pj, method_name, parameter_count AS n, min(id) AS id, min(rk) AS rk FROM mm GROUP BY 1, 2, 3 HAVING count(*) = 1),
+        ag AS (SELECT DISTINCT method_id, call_ord, pj, method_name IN ({_LIST(resolve.DEFERRED)}) AS late, {_SIMPLE.format("arg")} AS cls FROM (SELECT *, unnest(argument_types) AS arg FROM ct) WHERE arg <> ''),
+        rf AS (SELECT DISTINCT pj, class_name, unnest(regexp_extract_all(signature, '::\\s*([A-Za-z_]\\w*)', 1)) AS name FROM mm),
+        al AS (SELECT hit.method_id, hit.call_ord, pr, to_id, rk, resolution FROM hit JOIN lead USING (method_id, call_ord, block)
+          UNION ALL SELECT ct.method_id, ct.call_ord, 6, one.id, one.rk, 'unique-method-name-untyped' FROM ct JOIN one ON one.pj = ct.pj AND one.method_name = ct.method_name AND one.n = ct.n
+            LEFT JOIN lead ON lead.method_id = ct.method_id AND lead.call_ord = ct.call_ord WHERE lead.method_id IS NULL AND ty = '' AND NOT regexp_matches(ct.receiver, '^\\p{{Lu}}')
+          UNION ALL SELECT ag.method_id, ag.call_ord, 7, mm.id, mm.rk, CASE WHEN late THEN 'deferred-callback' ELSE 'runnable-arg-callback' END FROM ag JOIN mm ON mm.pj = ag.pj AND mm.class_name = ag.cls AND mm.method_name IN ('run', 'call')
+          UNION ALL SELECT ct.method_id, ct.call_ord, 8, mm.id, mm.rk, 'functional-method-reference' FROM ct JOIN rf ON rf.pj = ct.pj AND rf.class_name = ct.class_name JOIN mm ON mm.pj = ct.pj AND mm.class_name = ct.class_name AND mm.method_name = rf.name
+            WHERE ct.method_name IN ({_LIST(resolve.FUNCTIONAL)}) AND (ty IN ({_LIST(resolve.FUNCTIONAL_TYPES)}) OR contains(receiver, '('))),
+        fs AS (SELECT method_id, call_ord, to_id, min(struct_pack(pr := pr, rk := rk, resolution := resolution)) AS r FROM al GROUP BY 1, 2, 3), pl AS (SELECT *, row_number() OVER (PARTITION BY method_id, call_ord ORDER BY r.pr, r.rk) AS place FROM fs)"""
+
 ORACLES = {
     "p4_found": _LINKS
     + """a AS (SELECT child AS id, parent AS up FROM l UNION SELECT a.id, l.parent FROM a JOIN l ON l.child = a.up),
@@ -311,35 +385,45 @@ c AS (SELECT id FROM a WHERE id = up)
 SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP BY a.id""",
     "p4_tree": _TREE + "SELECT n.id, w.root, coalesce(w.depth, -1) AS depth, w.path, w.id IS NULL AS cyclic FROM n LEFT JOIN w ON w.id = n.id",
     "p4_descendants": _TREE + "SELECT x AS id, id AS descendant, CAST(depth - i + 1 AS INT) AS distance FROM (SELECT id, depth, unnest(path) AS x, generate_subscripts(path, 1) AS i FROM w) WHERE i <= depth",
-    "properties_templates": f"""WITH {_FILES}, {_LINES}, kv AS (SELECT path, regexp_extract(line, '{_PATHREGEX}', 1) AS key, regexp_extract(line, '{_PATHREGEX}', 2) AS v FROM ln)
+    "properties_templates": f"""WITH {_FILES}, {_LINES}, kv AS (SELECT path, regexp_extract(line, '{_PATHREGEX}', 1) AS key, regexp_replace(regexp_extract(line, '{_PATHREGEX}', 2), '^\\s+|\\s+$', '', 'g') AS v FROM ln)
         SELECT path AS config_file, key, v AS template_value, regexp_extract_all(v, '\\$\\{{([^}}]+)\\}}', 1) AS placeholders FROM kv WHERE key <> '' AND contains(v, '${{') AND {_ISCMD}""",
-    "mapper_statements": f"""WITH {_FILES}, x AS (SELECT path, regexp_extract(content, 'namespace\\s*=\\s*"([^"]+)"', 1) AS ns, regexp_extract_all(content, '{_MAP}', 1) AS ids, regexp_extract_all(content, '{_MAP}', 2) AS bodies FROM f WHERE path LIKE '%.xml'),
-        y AS (SELECT path, ns, i, ids[i] AS id, bodies[i] AS raw, trim(regexp_replace(bodies[i], '\\s+', ' ', 'g')) AS body FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM x WHERE ns <> ''))
-        SELECT path AS file_path, regexp_extract(ns, '([^.]*)$', 1) AS mapper, CAST(i - 1 AS INT) AS ord, id AS statement_id, CASE WHEN length(body) > 200 THEN substr(body, 1, 200) || '...' ELSE body END AS snippet FROM y WHERE contains(raw, '${{')""",
-    "source_hints": f"WITH {_FILES}, {_LINES}, r(rule, p) AS (VALUES {', '.join(f'''('{n}', '{p}')''' for n, p in scanners.HINT_RULES)})"
-    + " SELECT path, CAST(line_no AS INT) AS line_no, rule, substr(trim(line, ' '), 1, 500) AS code FROM ln JOIN r ON regexp_matches(line, p) WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '//')",
-    "tech_profile": f"WITH {_FILES}, r(kind, name, tx) AS (VALUES {', '.join(f'''('{k}', '{n}', '{x}')''' for k, n, x in scanners.TECH)}) SELECT split_part(path, '/', 1) AS repo, kind, name, count(DISTINCT path) AS files FROM f JOIN r ON contains(content, tx) GROUP BY 1, 2, 3",
+    "mapper_statements": f"""WITH {_FILES}, {_MAPPERS} SELECT path AS file_path, mapper, statement_id, snippet FROM ms""",
+    "mapper_sinks": f"""WITH {_FILES}, {_MAPPERS}, {_CALLS}, one AS (SELECT split_part(path, '/', 1) AS pj, mapper, statement_id, arg_max(snippet, struct_pack(p := path, at := place)) AS code FROM ms GROUP BY 1, 2, 3)
+        SELECT DISTINCT method_id, c.file_path, line, 'MyBatis ${{}}:' || expression AS api, one.code FROM c JOIN one ON one.mapper = c.callee_class AND one.statement_id = c.method_name AND one.pj = c.pj""",
+    "source_lines": f"WITH {_FILES}, {_LINES} SELECT path, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '^\\s*$')) AS blank FROM ln GROUP BY 1",
+    "declared_parents": f"WITH {_FILES}, {_PARENTS} SELECT file_path, parent, child FROM im",
+    # the rules are stated here once more, in words of their own
+    "source_hints": f"""WITH {_FILES}, {_LINES}, h AS (SELECT path, CAST(line_no AS INT) AS line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS code FROM ln), k AS (SELECT * FROM h WHERE code <> '' AND code NOT LIKE '//%'),
+        r AS (SELECT *, 'COMMAND_EXECUTION' AS category FROM k WHERE regexp_matches(code, '\\bProcessBuilder\\b') OR regexp_matches(code, 'Runtime\\s*[.]\\s*getRuntime\\s*[(][)]\\s*[.]\\s*exec\\s*[(]')
+        UNION ALL SELECT *, 'SCRIPT_EXECUTION' FROM k WHERE regexp_matches(code, '\\bScriptEngine\\b') OR regexp_matches(code, '[.]eval\\s*[(]') OR contains(code, 'SpelExpressionParser') OR regexp_matches(code, 'parseExpression\\s*[(]')
+        UNION ALL SELECT *, 'NATIVE_DESERIALIZATION' FROM k WHERE regexp_matches(code, '\\bObjectInputStream\\b') OR regexp_matches(code, '[.]readObject\\s*[(]') OR regexp_matches(code, '\\bXMLDecoder\\b') OR regexp_matches(code, '[.]fromXML\\s*[(]')
+        UNION ALL SELECT *, 'DYNAMIC_LOADING' FROM k WHERE regexp_matches(code, '\\bURLClassLoader\\b') OR regexp_matches(code, 'Class\\s*[.]\\s*forName\\s*[(]') OR regexp_matches(code, '[.]loadClass\\s*[(]') OR regexp_matches(code, '[.]invoke\\s*[(]')
+        UNION ALL SELECT *, 'JNDI_LOOKUP' FROM k WHERE regexp_matches(code, '\\bInitialContext\\b') OR regexp_matches(code, '[.]lookup\\s*[(]')
+        UNION ALL SELECT *, 'NATIVE_LIBRARY' FROM k WHERE regexp_matches(code, 'System\\s*[.]\\s*load(Library)?\\s*[(]'))
+        SELECT path, line_no, category, substr(code, 1, 500) AS code FROM r""",
+    "tech_profile": f"""WITH {_FILES}, a AS (SELECT path, split_part(path, '/', 1) AS repo, regexp_extract(path, '([^/]*)$', 1) AS nm FROM (SELECT DISTINCT path FROM f) WHERE len(string_split(path, '/')) <= 9),
+        x AS (SELECT repo, min(path) FILTER (WHERE nm = 'pom.xml') AS pom, min(path) FILTER (WHERE nm IN ('build.gradle', 'build.gradle.kts')) AS gradle, min(path) FILTER (WHERE nm LIKE '%.java') AS java FROM a GROUP BY 1),
+        y AS (SELECT x.*, regexp_extract_all(p.content, '<dependency>((?s:.)*?)</dependency>', 1)[:100] AS bl, regexp_extract(j.content, '(?m)^\\s*package\\s+([A-Za-z_][\\w.]*)\\s*;', 1) AS pk FROM x LEFT JOIN f p ON p.path = x.pom LEFT JOIN f j ON j.path = x.java),
+        z AS (SELECT *, list_transform(coalesce(bl, []), lambda b: struct_pack(group_id := trim(regexp_extract(b, '<groupId>((?s:.)*?)</groupId>', 1)), artifact_id := trim(regexp_extract(b, '<artifactId>((?s:.)*?)</artifactId>', 1)), version := trim(regexp_extract(b, '<version>((?s:.)*?)</version>', 1)))) AS dp FROM y),
+        w AS (SELECT *, lower(array_to_string(list_transform(dp, lambda q: q.group_id || chr(10) || q.artifact_id || chr(10) || q.version), chr(10))) AS tx FROM z)
+        SELECT repo, CASE WHEN coalesce(java, pom, gradle) IS NULL THEN 'unknown' ELSE 'java' END AS primary_language, CASE WHEN pom IS NOT NULL THEN 'maven' WHEN gradle IS NOT NULL THEN 'gradle' ELSE 'unknown' END AS build_tool,
+        CASE WHEN contains(tx, 'spring-boot') THEN 'Spring Boot' WHEN contains(tx, 'spring-web') THEN 'Spring' WHEN contains(tx, 'jersey') THEN 'JAX-RS' ELSE 'unknown' END AS web_framework,
+        CASE WHEN contains(tx, 'mybatis') THEN 'MyBatis' WHEN contains(tx, 'hibernate') THEN 'Hibernate' WHEN contains(tx, 'spring-data-jpa') THEN 'JPA' ELSE 'unknown' END AS orm,
+        list_filter([CASE WHEN contains(tx, 'spring-security') THEN 'Spring Security' END, CASE WHEN contains(tx, 'shiro') THEN 'Apache Shiro' END], lambda q: q IS NOT NULL) AS security_libs, dp AS dependencies, coalesce(pk, '') AS app_package FROM w""",
     "sink_rules": f"WITH {_SINKS} SELECT id, {_DUCK(classify.sink_case('''regexp_replace(api, '^.*[.]', '')''', 'api', chr(39) * 2))} AS found FROM k",
     "storage_accesses": f"WITH {_STORE} SELECT DISTINCT method_id, call_ord, kind, storage_key FROM st",
     "hunter_sinks": f"WITH {_SINKS}, h(hunter, c) AS (VALUES {', '.join(f'''('{h}', '{c}')''' for h, cs in classify.HUNTERS.items() for c in cs)}) SELECT hunter, category, count(*) AS n FROM k JOIN h ON h.c = k.category GROUP BY 1, 2",
-    "resolved_calls": f"""WITH {_CALLS}, {_METHODS}, w AS (
-          SELECT method_id, call_ord, 2 AS pr, class_name AS cls, 'same-class' AS resolution, 0 AS block, method_name, n FROM c WHERE receiver IN ('', 'this', 'super')
-          UNION ALL SELECT method_id, call_ord, 3, regexp_replace(receiver, '^.*[.$]', ''), 'static-class-name', 1, method_name, n FROM c WHERE regexp_matches(receiver, '^[A-Z]')
-          UNION ALL SELECT method_id, call_ord, 4, regexp_replace(upper(receiver[1]) || receiver[2:], '^.*[.$]', ''), 'field-name-type', 2, method_name, n FROM c WHERE regexp_matches(receiver, '^[a-z]') AND receiver NOT IN ('this', 'super')),
-        hit AS (SELECT w.*, m.id AS to_id, struct_pack(a := m.class_name, b := m.file_path, c := m.start_line, d := m.id) AS rk FROM w JOIN m ON m.class_name = w.cls AND m.method_name = w.method_name AND m.parameter_count = w.n),
-        lead AS (SELECT method_id, call_ord, min(block) AS block FROM hit GROUP BY 1, 2), one AS (SELECT method_name, parameter_count AS n, min(id) AS id, count(*) AS k FROM m GROUP BY 1, 2),
-        al AS (SELECT hit.method_id, hit.call_ord, pr, to_id, rk, resolution FROM hit JOIN lead USING (method_id, call_ord, block)
-          UNION ALL SELECT c.method_id, c.call_ord, 6, one.id, struct_pack(a := '', b := '', c := 0, d := one.id), 'unique-method-name-untyped' FROM c JOIN one ON one.method_name = c.method_name AND one.n = c.n AND one.k = 1
-            LEFT JOIN lead ON lead.method_id = c.method_id AND lead.call_ord = c.call_ord WHERE lead.method_id IS NULL AND NOT regexp_matches(c.receiver, '^[A-Z]')),
-        fs AS (SELECT method_id, call_ord, to_id, min(struct_pack(pr := pr, rk := rk, resolution := resolution)) AS r FROM al GROUP BY 1, 2, 3), pl AS (SELECT *, row_number() OVER (PARTITION BY method_id, call_ord ORDER BY r) AS place FROM fs)
+    "resolved_calls": f"""{_RESOLVE}
         SELECT method_id AS from_id, call_ord, to_id, r.resolution AS resolution FROM pl WHERE place <= 12""",
+    "unresolved_calls": f"""{_RESOLVE}
+        SELECT method_id, file_path, line, expression FROM c WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.method_id = c.method_id AND al.call_ord = c.call_ord)""",
     "nearest_binding": f"""WITH {_METHODS}, en AS (SELECT DISTINCT id, file_path, regexp_extract(method_id, '#([^/]*)/', 1) AS nm, line AS start_line FROM sinks WHERE regexp_extract(method_id, '#([^/]*)/', 1) <> ''),
         j AS (SELECT en.*, m.id AS mid, row_number() OVER (PARTITION BY en.id, en.file_path, en.start_line, nm ORDER BY abs(m.start_line - en.start_line), m.method_seq) AS rn FROM en LEFT JOIN m ON {_UNIX.format('m.file_path')} = {_UNIX.format('en.file_path')} AND m.method_name = nm)
         SELECT id, file_path, start_line, coalesce(mid, '') AS method_id, CASE WHEN mid IS NULL THEN 'UNRESOLVED' ELSE 'BOUND' END AS binding_status FROM j WHERE rn = 1""",
-    "stored_flows": f"""WITH {_STORE}, {_GOALS}, wr AS (SELECT access_id AS wo, method_id AS write_entry, lower(storage_key) AS key FROM st WHERE kind = 'WRITE'),
-        rd AS (SELECT access_id || '|' || g.id AS ro, access_id AS read_id, g.id AS sink_id, lower(storage_key) AS key FROM st JOIN g ON g.method_id = st.method_id WHERE kind = 'READ'),
-        pr AS (SELECT write_entry, read_id, sink_id, min(ro) AS ro, min(wo) AS wo FROM wr JOIN rd USING (key) GROUP BY 1, 2, 3)
-        SELECT write_entry, read_id, sink_id, 'MEDIUM' AS correlation FROM pr ORDER BY ro, read_id, sink_id, wo, write_entry LIMIT 500""",
+    "stored_flows": f"""WITH {_STORE}, {_GOALS}, wr AS (SELECT pj, access_id AS wo, method_id AS write_entry, lower(storage_key) AS key FROM st WHERE kind = 'WRITE'),
+        rd AS (SELECT pj, access_id || '|' || g.id AS ro, access_id AS read_id, g.id AS sink_id, lower(storage_key) AS key FROM st JOIN g ON g.method_id = st.method_id WHERE kind = 'READ'),
+        pr AS (SELECT pj, write_entry, read_id, sink_id, min(ro) AS ro, min(wo) AS wo FROM wr JOIN rd USING (pj, key) GROUP BY 1, 2, 3, 4)
+        SELECT pj AS project, write_entry, read_id, sink_id, 'MEDIUM' AS correlation FROM (SELECT *, row_number() OVER (PARTITION BY pj ORDER BY ro, read_id, sink_id, wo, write_entry) AS rn FROM pr) WHERE rn <= 500""",
     "authorization_surface": f"""WITH {_PATHS}, en AS (SELECT DISTINCT entry_id FROM p WHERE {_TRIM.format('entry_id')} <> ''), q AS (SELECT entry_id, list_sort(list(DISTINCT category)) AS cs, count(*) AS n, min(call_depth) AS dp FROM p WHERE category <> '' AND call_depth >= 0 GROUP BY 1)
         SELECT entry_id, coalesce(cs, []) AS categories, coalesce(n, 0) AS paths, coalesce(dp, -1) AS min_depth FROM en LEFT JOIN q USING (entry_id)""",
     "missing_sinks": "SELECT DISTINCT sink_id AS id FROM candidate_paths WHERE sink_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sinks WHERE sinks.id = candidate_paths.sink_id)",
@@ -349,9 +433,8 @@ SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP
         SELECT entry_id, g.id AS sink_id, path, depth AS call_depth, CASE WHEN len(list_filter(res, lambda x: NOT list_contains({_CERTAIN}, x))) = 0 THEN 'HIGH' WHEN len(list_filter(res, lambda x: starts_with(x, 'unique-method-name'))) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS static_confidence
         FROM cu JOIN g ON g.method_id = cu.at WHERE before < 200""",
     "write_paths": f"""WITH RECURSIVE {_STORE}, {_L}, {_START}, {_WALK.format(12)}, ac AS (SELECT DISTINCT access_id, method_id FROM st WHERE kind = 'WRITE'),
-        h AS (SELECT w.*, ac.access_id, row_number() OVER (PARTITION BY entry_id, access_id ORDER BY depth, ords, path) AS rn FROM w JOIN ac ON ac.method_id = w.at), sn AS (SELECT entry_id, depth, ords, path, res, count(*) AS n FROM h WHERE rn = 1 GROUP BY ALL),
-        cu AS (SELECT *, coalesce(sum(n) OVER (ORDER BY entry_id, depth, ords, path, res ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sn)
-        SELECT h.entry_id, access_id, h.depth AS call_depth, CASE WHEN len(list_filter(h.res, lambda x: starts_with(x, 'unique-method-name'))) > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS correlation, h.path FROM h JOIN cu USING (entry_id, depth, ords, path, res) WHERE rn = 1 AND before < 1000""",
+        h AS (SELECT w.*, ac.access_id, row_number() OVER (PARTITION BY entry_id, access_id ORDER BY depth, ords, path) AS rn FROM w JOIN ac ON ac.method_id = w.at)
+        SELECT entry_id, access_id, depth AS call_depth, CASE WHEN len(list_filter(res, lambda x: starts_with(x, 'unique-method-name'))) > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS correlation, path FROM h WHERE rn = 1""",
     "derived_sinks": f"""WITH RECURSIVE {_EDGES}, {_GOALS}, {_METHODS}, b AS (SELECT method_id AS id, arg_max(category, sink_ord) AS category FROM g GROUP BY 1), fw AS (SELECT from_id, to_id, min(edge_ord) AS edge_ord FROM e WHERE regexp_matches(expression, '\\(.*[^\\s()].*\\)') AND from_id NOT IN (SELECT id FROM b) GROUP BY 1, 2),
         fs AS (SELECT fw.*, x.method_seq AS fseq, y.method_seq AS tseq, fw.to_id IN (SELECT id FROM b) AS base FROM fw JOIN m x ON x.id = fw.from_id LEFT JOIN m y ON y.id = fw.to_id),
         dd AS (SELECT from_id AS id FROM fs WHERE base UNION SELECT fs.from_id FROM fs JOIN dd ON dd.id = fs.to_id WHERE NOT base AND tseq < fseq),
@@ -366,8 +449,29 @@ SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP
     "finding_stats": f"WITH {_FINDINGS} SELECT 'total' AS dimension, '' AS key, count(*) AS n FROM fi UNION ALL SELECT 'by_severity', upper(severity), count(*) FROM fi GROUP BY 2 UNION ALL SELECT 'by_verdict', upper(verdict), count(*) FROM fi GROUP BY 2"
     " UNION ALL SELECT 'by_agent', CASE WHEN trim(discovered_by) = '' THEN 'unknown' ELSE discovered_by END, count(*) FROM fi GROUP BY 2 UNION ALL SELECT 'by_vuln_type', vuln_type, count(*) FROM fi GROUP BY 2",
     "attack_chains": f"WITH {_FINDINGS}, " + _chains("split_part(file_path, '/', 1)") + " SELECT * FROM cc",
+    "attack_chains_app": f"WITH {_FINDINGS}, " + _chains("split_part(file_path, '/', 1)", "io/brightmoor") + " SELECT * FROM cc",
     "findings_summary": f"WITH {_FINDINGS}, {_BEST}, " + _chains("''") + " SELECT *, after_dedup + chain_findings AS final FROM (SELECT (SELECT count(*) FROM fi) AS total_raw, (SELECT count(*) FROM b) AS after_dedup, (SELECT count(*) FROM cc) AS chain_findings)",
     "candidate_priority": f"WITH {_PATHS} SELECT path_id, static_confidence, coalesce(call_depth, -1) AS call_depth FROM p",
+    "paths_by_category": f"WITH {_PATHS} SELECT category, count(*) AS n FROM p GROUP BY 1",
+    "worst_findings": f"WITH {_FINDINGS} SELECT ord, severity, confidence FROM fi ORDER BY {_RANK('upper(severity)', report.SEVERITIES)} DESC, confidence DESC, ord LIMIT 100",
+    "first_candidates": f"WITH {_PATHS} SELECT path_id, static_confidence, call_depth FROM p WHERE call_depth >= 0 ORDER BY {_RANK('upper(trim(static_confidence))', report.CONFIDENCES)} DESC, call_depth, path_id LIMIT 100",
+    "chunk_plan": """WITH RECURSIVE i AS (SELECT DISTINCT item_id, chunk_name, item_ord, coalesce(strlen(payload), 0) AS s FROM chunk_items),
+        q AS (SELECT chunk_name, item_ord, s, row_number() OVER (PARTITION BY chunk_name ORDER BY item_ord, s) AS rn FROM i),
+        w AS (SELECT chunk_name, rn, item_ord, CAST(0 AS BIGINT) AS chunk, 1 AS n, CAST(s AS BIGINT) AS total FROM q WHERE rn = 1
+          UNION ALL SELECT q.chunk_name, q.rn, q.item_ord, CASE WHEN w.n >= 50 OR w.total + q.s > 65536 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.n >= 50 OR w.total + q.s > 65536 THEN 1 ELSE w.n + 1 END,
+            CASE WHEN w.n >= 50 OR w.total + q.s > 65536 THEN q.s ELSE w.total + q.s END FROM w JOIN q ON q.chunk_name IS NOT DISTINCT FROM w.chunk_name AND q.rn = w.rn + 1)
+        SELECT chunk_name, chunk, CAST(min(item_ord) AS BIGINT) AS start_index, CAST(max(item_ord) AS BIGINT) AS end_index, max(total) AS bytes FROM w GROUP BY 1, 2""",
+    "log_levels": """SELECT CASE WHEN contains(text, '[FATAL]') OR contains(text, '[ERROR]') OR starts_with(replace(text, chr(13), ''), 'ERROR') THEN 'ERROR' WHEN contains(text, '[WARN]') OR starts_with(replace(text, chr(13), ''), 'WARN') THEN 'WARN' ELSE 'INFO' END AS level, count(*) AS n FROM documents GROUP BY 1""",
+    "text_sizes": """WITH d AS (SELECT doc_id, strlen(text) AS n, regexp_replace(text, '\\r?\\n', ' | ', 'g') AS flat, created_at, date_part('microseconds', created_at) % 1000000 AS us FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f', n / 1024.0) || ' KB' END AS size, CASE WHEN length(flat) > 80 THEN substr(flat, 1, 80) || '…' ELSE flat END AS shown,
+        strftime(created_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us = 0 THEN '' WHEN us % 1000 = 0 THEN printf('.%03d', us // 1000) ELSE printf('.%06d', us) END || 'Z' AS created, CASE WHEN created_at IS NOT NULL THEN true END AS same FROM d""",
+    "agent_progress": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'started' ELSE 'completed' END AS type, props->>'$.k' AS task_id, value, props FROM events WHERE event_type IN ('signup', 'purchase')),
+        b AS (SELECT *, lag(type) OVER (PARTITION BY session_id, task_id ORDER BY seq) AS before FROM e),
+        o AS (SELECT *, CASE WHEN type = 'started' AND coalesce(before, '') <> 'started' THEN 1 WHEN type = 'completed' AND before = 'started' THEN -1 ELSE 0 END AS opens FROM b),
+        x AS (SELECT *, CAST(count(*) FILTER (WHERE type = 'completed') OVER w AS INT) AS completed, sum(opens) OVER w AS running FROM o WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+        SELECT session_id, seq, type, CASE WHEN type = 'started' OR before = 'started' THEN 'agent-' || task_id ELSE task_id END AS agent, CASE WHEN type = 'completed' THEN CASE WHEN value > 20 THEN 'done' ELSE 'stopped' END END AS status, completed,
+        CAST(CASE WHEN type = 'completed' THEN completed + running END AS INT) AS total, CASE WHEN strlen(props) < 1024 THEN strlen(props) || ' B' ELSE printf('%.1f', strlen(props) / 1024.0) || ' KB' END AS result_size,
+        CASE WHEN length(regexp_replace(props, '\\r?\\n', ' | ', 'g')) > 200 THEN substr(regexp_replace(props, '\\r?\\n', ' | ', 'g'), 1, 200) || '…' ELSE regexp_replace(props, '\\r?\\n', ' | ', 'g') END AS preview FROM x""",
     "batch_plan": """WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ingested_at) AS rn FROM chunk_batches) WHERE rn = 1), i AS (SELECT chunk_name, count(DISTINCT item_id) AS k FROM chunk_items GROUP BY 1),
         nm AS (SELECT batch_id, unnest(list_concat(coalesce(candidate_chunks, []), coalesce(stored_chunks, []))) AS chunk_name FROM b), it AS (SELECT batch_id, sum(k) AS items FROM nm JOIN i USING (chunk_name) GROUP BY 1),
         z AS (SELECT b.batch_id, CAST(coalesce(items, 0) AS BIGINT) AS items, coalesce(len(candidate_chunks), 0) + coalesce(len(stored_chunks), 0) AS n FROM b LEFT JOIN it USING (batch_id)), q AS (SELECT *, unnest(range(0, (n + 19) // 20)) AS p FROM z WHERE n > 0)
@@ -376,5 +480,5 @@ SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP
         FROM k WHERE method_id <> ''""",
     "last_results": """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS session_id, arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS r, bool_or(event_type = 'error') AS failed FROM events GROUP BY 1)
         SELECT session_id, CASE WHEN NOT failed AND r IS NOT NULL THEN 'OK' ELSE 'ERROR' END AS state, printf('%.2f', r) AS result FROM x""",
-    "retained_events": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 50",
+    "retained_events": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 2000",
 }

@@ -6,10 +6,10 @@ parse_files() gives one row a file with nested arrays, written once; classes(),
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import cut
@@ -265,7 +265,7 @@ def _class(f: _File, a: int, b: int, out: dict, annotations: list[dict], outer:
 def parse_text(path: str, text: str | None) -> dict:
     """Facts of one file; a NULL or empty text has none."""
     f = _File(text or "")
-    out: dict = {"path": path, "package": "", "imports": [], "classes": [], "methods": [], "errors": [{"line": n, "message": m} for n, m in f.errors[:1000]]}
+    out: dict = {"path": path, "package": "", "imports": [], "classes": [], "methods": [], "errors": [{"line": n, "message": m} for n, m in sorted(f.errors)]}
     i, n, tok = 0, len(f.tok), f.tok
     while i < n:
         if tok[i] in ("package", "import"):
@@ -337,15 +337,18 @@ def calls(parsed: DataFrame) -> DataFrame:
 
 def method_refs(parsed: DataFrame) -> DataFrame:
     m = parsed.select(F.col("path").alias("file_path"), F.explode("methods").alias("m"))
-    return m.select(_method_id(lambda c: F.col("m")[c]).alias("method_id"), F.col("m.class_name").alias("class_name"), F.posexplode("m.method_refs").alias("ref_ord", "name"))
+    return m.select(_method_id(lambda c: F.col("m")[c]).alias("method_id"), F.col("m.class_name").alias("class_name"), "file_path", F.posexplode("m.method_refs").alias("ref_ord", "name"))
 
 
 def implementations(parsed: DataFrame) -> DataFrame:
-    """(parent, child) simple names, distinct."""
-    return parsed.select(F.explode("classes").alias("c")).select(F.explode("c.super_types").alias("parent"), F.col("c.class_name").alias("child")).distinct()
+    """(file_path, parent, child) simple names, distinct."""
+    return parsed.select(F.col("path").alias("file_path"), F.explode("classes").alias("c")).select("file_path", F.explode("c.super_types").alias("parent"), F.col("c.class_name").alias("child")).distinct()
 
 
-def diagnostics(parsed: DataFrame, most: int = 1000) -> DataFrame:
-    """What did not parse, the first `most` by path and line (a feature of the reference's report)."""
+def diagnostics(parsed: DataFrame, most: int | None = 1000, project: Callable[[str], Column] | None = None) -> DataFrame:
+    """What did not parse; the first `most` of each project by path, line and message (a feature of the reference's report), all of them if None. project: from the path to the project; None is one project."""
     e = parsed.select(F.col("path").alias("file_path"), F.inline("errors"))
-    return e.orderBy("file_path", "line", "message").limit(most)
+    if most is None:
+        return e
+    place = F.row_number().over(Window.partitionBy(project("file_path") if project else F.lit("")).orderBy("file_path", "line", "message"))
+    return e.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")

@@ -22,9 +22,14 @@ def read_events(spark: SparkSession, folder: str, streaming: bool = True) -> Dat
 
 
 def log_level(text: Column | str) -> Column:
-    """T5: ERROR, WARN or INFO by the marks in a line."""
-    t = F.upper(F.col(text) if isinstance(text, str) else text)
-    return F.when(t.rlike(r"\bERROR\b|EXCEPTION|FAILED"), "ERROR").when(t.rlike(r"\bWARN(ING)?\b"), "WARN").otherwise("INFO")
+    """T5: ERROR for lines with [FATAL] or [ERROR] or that begin with ERROR, WARN for [WARN] or a beginning WARN, else INFO. Upper case only; NULL is INFO."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(t.contains("[FATAL]") | t.contains("[ERROR]") | F.startswith(t, F.lit("ERROR")), "ERROR").when(t.contains("[WARN]") | F.startswith(t, F.lit("WARN")), "WARN").otherwise("INFO")
+
+
+def log_line(text: Column | str) -> Column:
+    """T5: a line as it is logged: without carriage returns, line breaks as ` | `."""
+    return F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" | "))
 
 
 def last_results(events: DataFrame) -> DataFrame:
@@ -94,17 +99,37 @@ def progress_batch(events: DataFrame) -> DataFrame:
     return e.select("session_id", "seq", "type", agent.alias("agent"), status.alias("status"), done.alias("completed"), total.alias("total"), byte_size(F.octet_length("summary")).alias("result_size"), preview("summary", 200).alias("preview"))
 
 
-def broadcast_logs(lines: DataFrame, folder: str, checkpoint: str, most: int = 2000):
-    """Appends (job_id, seq, line) micro-batches to a table with their level; readers replay tail_logs() and then follow the stream. Returns the running query."""
+LOG = "job_id string, seq bigint, line string, level string, batch bigint"
+#: Fixed value: the line that ends a job's log.
+DONE = "[DONE]"
+
+
+def broadcast_logs(lines: DataFrame, folder: str, checkpoint: str, follow: bool = False):
+    """Appends (job_id, seq, line) micro-batches with their level to the table in `folder`, from which any number of readers replay and follow. Returns the running
+    query; it ends with what is available unless `follow`."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("level", log_level("line")).withColumn("batch", F.lit(number)).write.mode("append").parquet(folder)
+        level = log_level(log_line("line"))
+        batch.select("job_id", "seq", F.replace("line", F.lit("\n"), F.lit("\\n")).alias("line"), level.alias("level"), F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(folder)
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out if follow else out.trigger(availableNow=True)).start()
 
 
-def tail_logs(spark: SparkSession, folder: str, most: int = 2000) -> DataFrame:
-    """The last `most` lines of each job, in order, without rows that a restarted batch wrote twice."""
+def tail_logs(spark: SparkSession, folder: str, most: int = 2000, finished: DataFrame | None = None) -> DataFrame:
+    """The last `most` lines of each job, in order, without rows that a restarted batch wrote twice; the jobs of finished(job_id) end with [DONE], also those without a line."""
     from ..operators.report import retained
 
-    return retained(spark.read.parquet(folder).dropDuplicates(["job_id", "seq"]), "job_id", "seq", most).orderBy("job_id", "seq")
+    rows = retained(spark.read.schema(LOG).parquet(folder).dropDuplicates(["job_id", "seq"]), "job_id", "seq", most).select("job_id", "seq", "line", "level")
+    if finished is not None:
+        last = rows.groupBy("job_id").agg(F.max("seq").alias("last"))
+        ends = finished.select("job_id").distinct().join(last, "job_id", "left")
+        rows = rows.unionByName(ends.select("job_id", (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("seq"), F.lit(DONE).alias("line"), F.lit("INFO").alias("level")))
+    return rows.orderBy("job_id", "seq")
+
+
+def follow_logs(spark: SparkSession, folder: str, history: DataFrame) -> DataFrame:
+    """The live part of a subscription: a stream of the lines that come after those of `history` (from tail_logs())."""
+    last = history.where(F.col("line") != DONE).groupBy("job_id").agg(F.max("seq").alias("last"))
+    live = spark.readStream.schema(LOG).parquet(folder)
+    return live.join(last, "job_id", "left").where("last is null or seq > last").select("job_id", "seq", "line", "level")

@@ -68,7 +68,7 @@ def test_stored_flow_meets_the_scheduled_read(result):
 
 def test_entry_points(result):
     rows = {(r.protocol, r.route, tuple(r.operations)) for r in result.entries.collect()}
-    assert ("HTTP", "/api/run", ("POST",)) in rows and ("HTTP", "/api/go", ("POST",)) in rows and ("scheduled", "", ("Scheduled",)) in rows
+    assert ("HTTP", "/api/run", ("POST",)) in rows and ("HTTP", "/api/go", ("POST",)) in rows and ("scheduled", "fixedDelay = 10", ("Scheduled",)) in rows
     assert result.entries.where("binding_status <> 'BOUND'").count() == 0
 
 
@@ -205,19 +205,116 @@ def test_servlet_async_and_webflux_discovery(spark):
         "B.java": "class L { @KafkaListener(topics = \"t\") void on(String m) {} @Async void go() {} @PostConstruct void init() {} } class W extends HttpServlet { @Override void doPost(A a) {} void doGet(A a) {} }",
     }))
     got = {(r.protocol, r.method_name, r.confidence) for r in disc.discover(p).collect()}
-    assert got == {("HTTP", "routes", "MEDIUM"), ("message", "on", "HIGH"), ("async", "go", "HIGH"), ("LIFECYCLE", "init", "HIGH"), ("HTTP", "doPost", "HIGH")}
+    assert got == {("HTTP", "routes", "MEDIUM"), ("message", "on", "HIGH"), ("async", "go", "HIGH"), ("LIFECYCLE", "init", "LOW"), ("HTTP", "doPost", "HIGH")}
+
+
+def test_servlet_kinds(spark):
+    p = jf.parse_files(files(spark, {
+        "A.java": "import com.alibaba.dubbo.config.X;\n@WebServlet(urlPatterns = {\"/a\", \"/b\"}) class W { @Deprecated void any() {} }\nclass H implements HttpServlet { @Override void doPatch() {} }\n@Service class D { @PermitAll @Secured(\"x\") void call() {} void bare() {} }\n",
+        "B.java": "class G extends PingImplBase { @Override void ping() {} @Override static void no() {} }\nclass I implements HandlerInterceptor { @Override boolean preHandle() { return true; } @Override void postHandle() {} }\nclass S implements WebSocketHandler { @Override void handleMessage() {} @ServerEndpoint(\"/s\") void on() {} }\nclass R implements CommandLineRunner { @Override void run() {} }\n@Service class N { @Async void x() {} }\n",
+        "C.java": "import org.springframework.web.bind.annotation.GetMapping;\n@RequestMapping({\"/x\", \"y\"}) class C { @GetMapping(\"/g\") @PostMapping void g() {} @RequestMapping(method = {RequestMethod.PUT, RequestMethod.GET}, value = \"/h/\") void h() {} @MessageMapping(\"/m\") void m() {} }\n",
+    }))
+    got = {(r.class_name, r.method_name, r.protocol, tuple(r.operations), r.route, r.framework, r.confidence, tuple(r.security_annotations)) for r in disc.discover(p).collect()}
+    assert got == {
+        ("W", "any", "HTTP", ("ANY",), "/a,/b", "servlet", "HIGH", ()), ("H", "doPatch", "HTTP", ("PATCH",), "", "servlet", "HIGH", ()), ("D", "call", "RPC", ("DUBBO",), "", "dubbo", "MEDIUM", ("PermitAll", "Secured")),
+        ("G", "ping", "GRPC", ("UNARY",), "", "grpc", "MEDIUM", ()), ("I", "preHandle", "HTTP_FILTER", ("INTERCEPTOR",), "", "spring-mvc", "MEDIUM", ()), ("S", "handleMessage", "WEBSOCKET", ("MESSAGE",), "", "websocket", "HIGH", ()), ("S", "on", "WEBSOCKET", ("MESSAGE",), "", "websocket", "HIGH", ()),
+        ("R", "run", "LIFECYCLE", ("STARTUP",), "", "spring-lifecycle", "LOW", ()), ("N", "x", "async", ("Async",), "", "spring-async", "HIGH", ()),
+        ("C", "g", "HTTP", ("GET", "POST"), "/x/g", "spring-mvc", "HIGH", ()), ("C", "h", "HTTP", ("PUT", "GET"), "/x/h", "spring-mvc", "HIGH", ()),
+    }
 
 
 def test_config_scanners(spark):
     f = files(spark, {
-        "a.yml": "job:\n  run:\n    line: \"bash -c ${cmd} ${arg}\"\n  other: plain ${x}\nnext: python ${y}\n", "b.properties": "# c=bash ${n}\nrun.it = sh /bin/x ${a}\nno=thing\n", "c.xml": "<m><cmd>exec ${q}</cmd><p v=\"cmd ${r}\"/></m>", "n.xml": None,
+        "a.yml": "job:\n  run:\n    line: \"bash -c ${cmd} ${arg}\"\n  other: plain ${x}\nnext: python ${y}\n", "b.properties": "# c=bash ${n}\nrun.it = sh /bin/x ${a}\nno=thing\n", "c.xml": "<m><cmd>exec ${q}</cmd><p value=\"cmd ${r}\"/><p other=\"cmd ${z}\"/></m>", "n.xml": None,
     })
     y = {(r.key, tuple(r.placeholders)) for r in scanners.yaml_templates(f.where("path = 'a.yml'")).collect()}
     assert y == {("job.run.line", ("cmd", "arg")), ("next", ("y",))}
     assert [(r.key, r.template_value) for r in scanners.properties_templates(f.where("path = 'b.properties'")).collect()] == [("run.it", "sh /bin/x ${a}")]
     assert {(r.key, r.template_value) for r in scanners.xml_templates(f).collect()} == {("cmd", "exec ${q}"), ("attribute", "cmd ${r}")}
     pom = files(spark, {"pom.xml": "<dependency><groupId> g </groupId><artifactId>a</artifactId><version>1</version></dependency>" * 2 + "<dependency><groupId>x</groupId></dependency>"})
-    assert [(r.group_id, r.artifact_id) for r in scanners.maven_dependencies(pom).collect()] == [("g", "a")]
+    assert [(r.group_id, r.artifact_id, r.version) for r in scanners.maven_dependencies(pom).orderBy("ord").collect()] == [("g", "a", "1")] * 2 + [("x", "", "")]
+
+
+def folded_yaml(text):
+    """The open keys of a YAML text, line by line."""
+    import re
+
+    out, open_, last = [], [], -1
+    for line in re.split(r"\r\n|\n|\r", text):
+        m = re.match(r"^\s*([\w.-]+)\s*:\s*(.*)$", line)
+        if not line.strip() or line.strip().startswith("#") or not m:
+            continue
+        indent, value = len(re.match(r"[ \t]*", line).group().replace("\t", "  ")), m.group(2).strip()
+        value = value[1:-1] if len(value) > 1 and value[0] == value[-1] == '"' else value
+        if indent <= last:
+            open_ = open_[: max(0, len(open_) - (last - indent) // 2 - 1)]
+        if not value:
+            open_, last = [*open_, m.group(1)], indent
+        elif re.search(r"\$\{[^}]+}", value) and any(w in value.lower() for w in scanners.COMMANDS):
+            out.append((".".join([*open_, m.group(1)]), value))
+    return out
+
+
+def test_yaml_levels_equal_the_line_by_line_fold(spark):
+    import random
+
+    r = random.Random(4)
+    texts = {}
+    for i in range(30):
+        texts[f"p/{i}.yml"] = r.choice(["\n", "\r\n"]).join(r.choice(["", "  ", "    ", "\t", "\t\t", " "]) + r.choice(["a:", "b.c:", "d: bash ${x}", 'e: "sh ${y} ${z}"', "f: plain", "# g: cmd ${q}", "", "- h", "i : exec ${w}", 'j: "']) for _ in range(40))
+    got = sorted((r.config_file, r.key, r.template_value) for r in scanners.yaml_templates(files(spark, texts)).collect())
+    assert got == sorted((p, k, v) for p, t in texts.items() for k, v in folded_yaml(t)) and len(got) > 100
+
+
+def test_tech_profile(spark):
+    dep = lambda g, a: f"<dependency><groupId>{g}</groupId><artifactId>{a}</artifactId></dependency>"
+    f = files(spark, {
+        "r/pom.xml": dep("org.springframework.boot", "spring-boot-starter") + dep("org.mybatis", "mybatis") + dep("org.apache.shiro", "shiro-core"), "r/x/pom.xml": dep("a", "hibernate"), "r/b/B.java": "class B {}", "r/a/A.java": "// c\npackage q.w;\nclass A {}",
+        "g/build.gradle.kts": "x", "n/readme.txt": "spring-boot", "n/1/2/3/4/5/6/7/8/Deep.java": "package no;", "e/E.java": None,
+    })
+    got = {r.repo: (r.primary_language, r.build_tool, r.web_framework, r.orm, r.security_libs, len(r.dependencies), r.app_package) for r in scanners.tech_profile(f).collect()}
+    assert got == {"r": ("java", "maven", "Spring Boot", "MyBatis", ["Apache Shiro"], 3, "q.w"), "g": ("java", "gradle", "unknown", "unknown", [], 0, ""), "n": ("unknown", "unknown", "unknown", "unknown", [], 0, ""), "e": ("java", "unknown", "unknown", "unknown", [], 0, "")}
+    assert scanners.tech_profile(f.limit(0)).count() == 0
+
+
+def test_source_hints(spark):
+    code = "  Runtime.getRuntime().exec(x);\n// new ProcessBuilder(y)\n\nClass.forName(n).invoke(o); m.invoke(ctx.lookup(k)); // eval\nSystem.loadLibrary(\"l\");\nx.eval (s); in.readObject();\n" + "y" * 600 + " InitialContext"
+    got = {(r.line_no, r.category) for r in scanners.source_hints(files(spark, {"a.java": code})).collect()}
+    assert got == {(1, "COMMAND_EXECUTION"), (4, "DYNAMIC_LOADING"), (4, "JNDI_LOOKUP"), (5, "NATIVE_LIBRARY"), (6, "SCRIPT_EXECUTION"), (6, "NATIVE_DESERIALIZATION"), (7, "JNDI_LOOKUP")}
+    assert max(len(r.code) for r in scanners.source_hints(files(spark, {"a.java": code})).collect()) == 500
+
+
+def test_declared_parents(spark):
+    f = files(spark, {"r/A.java": "public class A<T extends X> extends b.Base<Map<String, T>> implements C, D<E> {\n}\ninterface F extends G, H { }\nclass Plain { int x; }\n", "r/x.js": "class Q extends R { }"})
+    assert {(r.child, r.parent) for r in scanners.declared_parents(f).collect()} >= {("F", "G"), ("F", "H"), ("A", "Base"), ("A", "C"), ("A", "D")}
+    assert all(r.child != "Q" and r.child != "Plain" for r in scanners.declared_parents(f).collect())
+
+
+def test_names_meet_within_a_project(spark):
+    from factloom.functions.text import project_of
+
+    def repo(x, body):
+        return {f"{x}/S.java": f"class S {{ void s() {{ helper.help(1); lone(2); }} }} class Helper {{ void help(int a) {{ }} }} {body}"}
+
+    p = jf.parse_files(files(spark, repo("one", "") | repo("two", "class L { void lone(int b) { } }")))
+    run = lambda project: resolve.resolve_calls(jf.calls(p), jf.methods(p), jf.implementations(p), jf.method_refs(p), project)[0].collect()
+    inside = lambda r: r.from_id.split("@")[1][:3] == r.to_id.split("@")[1][:3]
+    assert sorted((r.to_id[:6], inside(r)) for r in run(project_of)) == [("Helper", True), ("Helper", True), ("L#lone", True)]
+    assert sum(not inside(r) for r in run(None)) == 3
+
+
+def test_answers_and_rules(spark):
+    a = [
+        (1, '```json\n[{"methodName": " zap ", "receiverType": "RayGun", "category": "file_write"}, {"methodName": "", "receiverType": "x", "category": "FILE_WRITE"}, {"methodName": "m", "receiverType": "x", "category": "ODD"}]\n```'),
+        (2, '{"result": "Sure: [{\\"methodName\\": \\"zap\\", \\"receiverType\\": \\"raygun\\", \\"category\\": \\"FILE_WRITE\\"}] done"}'), (3, "none"), (4, None), (5, '[{"methodName": {"a": 1}, "receiverType": "x", "category": "FILE_WRITE"}]'), (6, "[]"),
+    ]
+    d = spark.createDataFrame(a, "n int, text string")
+    rules = classify.answer_rules(d, "n")
+    assert [(r.method_pattern, r.receiver_pattern, r.category, r.rule_ord) for r in rules.collect()] == [("zap", "raygun", "FILE_WRITE", (1, 0))]
+    assert [r.rule_ord[0] for r in classify.answer_rules(d, "n", fold_case=False).collect()] == [2]
+    c = spark.createDataFrame([("m", "C", "f", 3, "zap", "gun", "a.RayGunX", 0, [], [], 7, "gun.zap()"), ("m", "C", "f", 4, "zap", "gun", None, 0, [], [], 1, "e"), ("m", "C", "f", 5, "Zap", "gun", "RayGun", 0, [], [], 1, "e")], CALL)
+    assert [(r.category, r.api, r.line, r.code) for r in classify.reviewed_sinks(c, rules).collect()] == [("FILE_WRITE", "a.raygunx.zap", 7, "gun.zap()")]
+    assert classify.reviewed_sinks(c, rules.limit(0)).count() == 0 and classify.answer_rules(d.limit(0), "n").count() == 0
 
 
 def test_mapper_and_template_sinks(spark):

@@ -93,3 +93,38 @@ def test_write_paths_shortest_and_global_bound(spark):
     got = [(r.entry_id, tuple(r.path), r.correlation) for r in g.write_paths(en, e, ac).orderBy("entry_id").collect()]
     assert got == [("e1", ("a", "c"), "MEDIUM"), ("e2", ("b", "c"), "HIGH")]
     assert g.write_paths(en, e, ac, most=1).select(F.collect_list("entry_id")).first()[0] == ["e1"]
+
+
+def test_write_paths_on_a_layered_graph(spark):
+    """12 layers of 12 nodes, all joined to the next: 12 ** 12 simple paths, 12 x 12 states."""
+    layers, width = 12, 12
+    edges = [(f"l{k}n{i}", f"l{k + 1}n{j}", j, "same-class") for k in range(layers) for i in range(width) for j in range(width)]
+    e = spark.createDataFrame(edges, "from_id string, to_id string, edge_ord int, resolution string")
+    en = spark.createDataFrame([("e", 1, "l0n3")], "entry_id string, entry_ord int, method_id string")
+    ac = spark.createDataFrame([("w", 0, f"l{layers}n5"), ("v", 1, "l2n7"), ("far", 2, "nowhere")], "access_id string, access_ord int, method_id string")
+    got = {r.access_id: tuple(r.path) for r in g.write_paths(en, e, ac, most=None).collect()}
+    assert got == {"w": ("l0n3", *(f"l{k}n0" for k in range(1, layers)), f"l{layers}n5"), "v": ("l0n3", "l1n0", "l2n7")}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_write_paths_equal_the_least_simple_path(spark, seed):
+    n, edges, _ = random_graph(seed, 7, 16)
+    e = spark.createDataFrame(edges, "from_id string, to_id string, edge_ord int, resolution string")
+    en = spark.createDataFrame([(f"e{i}", i, f"n{i}") for i in range(n)], "entry_id string, entry_ord int, method_id string")
+    ac = spark.createDataFrame([("w", 0, "n2"), ("v", 1, "n5")], "access_id string, access_ord int, method_id string")
+    first = {}
+    for a, b, o, _ in edges:
+        first[a, b] = min(o, first.get((a, b), o))
+
+    def least(start, goal):
+        best, todo = None, [((), (start,))]
+        while todo:
+            ords, path = todo.pop()
+            if path[-1] == goal:
+                best = min(best or (99,), (len(ords), ords, path))
+            elif len(ords) < 4:
+                todo += [((*ords, o), (*path, b)) for (a, b), o in first.items() if a == path[-1] and b not in path]
+        return best and best[2]
+
+    got = {(r.entry_id, r.access_id): tuple(r.path) for r in g.write_paths(en, e, ac, depth=4, most=None).collect()}
+    assert got == {(f"e{i}", a): p for i in range(n) for a, m in (("w", "n2"), ("v", "n5")) if (p := least(f"n{i}", m))}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.common import skew_join
 from factloom.functions import text as tx
+from factloom.operators import report
 from factloom.operators import report as r
 
 FINDING = "ord bigint, rule_id string, file_path string, start_line int, verdict string, confidence double, severity string, discovered_by string, vuln_type string"
@@ -103,3 +104,62 @@ def test_skew_join_with_a_hot_key(spark):
     assert skew_join(big, small, "k").groupBy("v").count().orderBy("v").collect() == [(1, 20_000), (2, 1)]
     assert skew_join(big, small, "k", "left").count() == 30_000
     assert skew_join(big, small.select("k"), "k", "left_semi").count() == 20_001
+
+
+def test_envelopes():
+    whole = '{"findings": [{"a": 1}], "selected_hunters": ["x"]}'
+    assert report.answer_envelope(whole) == report.answer_envelope(f"text\n```json\n{whole}\n```") == report.answer_envelope(f"so: {whole}") == {"findings": [{"a": 1}], "selected_hunters": ["x"]}
+    cut = '```json\n{"selected_hunters": ["x", "y"], "findings": [{"a": "1, ]"}, {"b": 2, "c": [1, 2'
+    assert report.answer_envelope(cut + "\n```") == {"selected_hunters": ["x", "y"], "findings": [{"a": "1, ]"}, {"b": 2, "c": [1]}]}
+    assert report.answer_envelope(cut.removeprefix("```json\n")) == report.answer_envelope(cut + "\n```")
+    for bad in (None, "", "{", "[1]", '{"findings": 1, "selected_hunters": []}', '{"findings": []', "}{" * 50):
+        assert report.answer_envelope(bad) is None
+    assert report.closed_json("[1, 2}") is None and report.closed_json('{"a": "x') is None
+
+
+def test_envelope_chunks_and_empty_groups(spark):
+    import json
+
+    def pretty(start, items):
+        body = "[ ]" if not items else "[ " + ", ".join(items) + " ]"
+        return len(f'{{\n  "start_index" : {start},\n  "end_index" : {start + len(items) - 1},\n  "items" : {body}\n}}')
+
+    items = [("g", i, len(json.dumps({"n": "x" * i}))) for i in range(120)] + [("h", 0, 90_000)]
+    d = spark.createDataFrame(items, "g string, o int, s int")
+    groups = spark.createDataFrame([("g",), ("none",)], "g string")
+    got = report.chunk_plan(d, "g", "o", "s", 50, 2000, groups, envelope=True).orderBy("g", "chunk").collect()
+    texts = {(g, o): "y" * s for g, o, s in items}
+    assert [(r.g, r.start_index, r.end_index, r.bytes) for r in got if r.g == "none"] == [("none", 0, -1, pretty(0, []))]
+    for r in got:
+        if r.g != "none":
+            assert r.bytes == pretty(r.start_index, [texts[r.g, o] for o in range(r.start_index, r.end_index + 1)])
+            assert r.bytes <= 2000 or r.start_index == r.end_index
+    mine = [r for r in got if r.g == "g"]
+    assert [r.start_index for r in mine[1:]] == [r.end_index + 1 for r in mine[:-1]] and mine[-1].end_index == 119
+    for a, b in zip(mine, mine[1:]):  # greedy: the next item would not have fitted
+        assert pretty(a.start_index, [texts["g", o] for o in range(a.start_index, b.start_index + 1)]) > 2000 or a.end_index - a.start_index == 49
+
+
+def test_jobs_are_kept_restored_and_left_out(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", "1", "DONE"), ("b", "2", "RUNNING"), ("c", "3", "FAILED"), ("d", "4", "DONE"), ("e", "0", "RUNNING")], "job_id string, created_at string, status string")
+    assert [r.job_id for r in report.retained_jobs(jobs, 3).collect()] == ["d", "b", "e"]
+    assert [r.job_id for r in report.retained_jobs(jobs, 1).collect()] == ["b", "e"] and report.retained_jobs(jobs, 9).count() == 5
+    meta = spark.createDataFrame([("a", "en", "DONE", "2024-05-06T07:08:09.120Z", ""), ("b", "en", "DONE", "yesterday", None)], report.META)
+    f = spark.createDataFrame([("a", "r1"), ("a", "r2")], "job_id string, rule_id string")
+    report.write_job(f, meta, str(tmp_path / "jobs"))
+    got = {r.job_id: (r.findings, r.created and str(r.created)) for r in report.restore_jobs(spark, str(tmp_path / "jobs"), "rule_id string, job_id string").collect()}
+    assert got == {"a": (2, "2024-05-06 07:08:09.120000"), "b": (0, None)}
+    assert report.restore_jobs(spark, str(tmp_path / "nothing"), "rule_id string, job_id string").count() == 0
+
+
+def test_salts_do_not_depend_on_the_order_of_rows(spark):
+    """A hot key joined twice, its rows read in another order and in other partitions: the same rows, each with the salt it had."""
+    from pyspark.sql import functions as F
+
+    from factloom.common import skew_join
+
+    big = spark.range(25_000).select(F.lit("k").alias("k"), F.col("id").alias("v"))
+    small = spark.createDataFrame([("k", "x")], "k string, w string")
+    a, b = skew_join(big, small, "k"), skew_join(big.repartition(7).sortWithinPartitions(F.desc("v")), small, "k")
+    assert a.count() == b.count() == 25_000 and a.exceptAll(b).count() == 0
+    assert "rand(" not in a._jdf.queryExecution().optimizedPlan().toString()

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from factloom.streaming import events as ev
 
 LOG = [
@@ -22,8 +24,9 @@ def test_results_levels_and_batch_progress(spark, tmp_path):
     p = ev.progress_batch(e).orderBy("seq").collect()
     assert [(r.seq, r.agent, r.status, r.completed, r.total) for r in p] == WANT
     assert (p[2].result_size, p[2].preview, p[3].result_size) == ("3 B", "a | b", "2.0 KB") and len(p[3].preview) == 201
-    d = spark.createDataFrame([("x ERROR y",), ("warning: z",), ("fine",)], "l string")
-    assert [r[0] for r in d.select(ev.log_level("l")).collect()] == ["ERROR", "WARN", "INFO"]
+    d = spark.createDataFrame([("x [ERROR] y",), ("[WARN] z",), ("fine ERROR",), ("ERROR z",), ("[FATAL]",), ("WARNING",), ("error x FAILED Exception",), ("\rERROR",), (None,)], "l string")
+    assert [r[0] for r in d.select(ev.log_level(ev.log_line("l"))).collect()] == ["ERROR", "WARN", "INFO", "ERROR", "ERROR", "WARN", "INFO", "ERROR", "INFO"]
+    assert d.select(ev.log_line(F.lit("a\r\nb"))).first()[0] == "a | b"
 
 
 def test_streamed_progress(spark, tmp_path):
@@ -52,3 +55,14 @@ def test_log_broadcast_and_tail(spark, tmp_path):
     s = spark.readStream.schema("job_id string, seq bigint, line string").json(str(src))
     ev.broadcast_logs(s, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert [r.seq for r in ev.tail_logs(spark, str(tmp_path / "out"), 3).collect()] == [7, 8, 9]
+    done = spark.createDataFrame([("j",), ("empty",)], "job_id string")
+    assert [(r.job_id, r.seq, r.line) for r in ev.tail_logs(spark, str(tmp_path / "out"), 2, done).collect()] == [("empty", 0, ev.DONE), ("j", 8, "line 8"), ("j", 9, "line 9"), ("j", 10, ev.DONE)]
+    # a subscriber replays what is there and then gets only what comes after
+    history = ev.tail_logs(spark, str(tmp_path / "out"), 3)
+    rows = history.collect()
+    history = spark.createDataFrame(rows, history.schema)
+    (src / "b.json").write_text("".join(json.dumps({"job_id": "j", "seq": i, "line": f"two\nlines {i}"}) + "\n" for i in range(10, 13)))
+    ev.broadcast_logs(s, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    q = ev.follow_logs(spark, str(tmp_path / "out"), history).writeStream.format("parquet").option("path", str(tmp_path / "live")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.seq, r.line) for r in spark.read.parquet(str(tmp_path / "live")).collect()) == [(i, f"two\\nlines {i}") for i in range(10, 13)]
