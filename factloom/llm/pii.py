@@ -117,14 +117,32 @@ class Lexicon:
         self.given, self.family, self.common = given, family, common
 
 
-def features(text: str, a: int, b: int, kind: str, lex: Lexicon) -> list[str]:
-    s, left, right = text[a:b], text[max(0, a - 40) : a], text[b : b + 24]
-    words = re.findall(r"[^\W_]+|[^\w\s]", left)[-3:]
-    after = re.findall(r"[^\W_]+|[^\w\s]", right)[:2]
-    p1 = words[-1].lower() if words else "^"
-    p2 = words[-2].lower() if len(words) > 1 else "^"
-    n1 = after[0].lower() if after else "$"
-    out = [kind, f"{kind}<{p1}", f"{kind}<{p2} {p1}", f"{kind}>{n1}", f"{kind}<<{left[-1:] if not left[-1:].isalnum() else 'a'}", f"{kind}>>{right[:1] if not right[:1].isalnum() else 'a'}"]
+_WORDS = re.compile(r"[^\W_]+|[^\w\s]")
+
+
+def _before(text: str, a: int) -> tuple[str, str, str, bool, str]:
+    """What stands before an offset: the text, its last two words or marks, whether the last begins in upper case, and the character just before (a for letters and digits)."""
+    left = text[max(0, a - 40) : a]
+    words = _WORDS.findall(left)[-2:]
+    return left, words[-1].lower() if words else "^", words[-2].lower() if len(words) > 1 else "^", bool(words) and words[-1][0].isupper(), left[-1:] if not left[-1:].isalnum() else "a"
+
+
+def _behind(text: str, b: int) -> tuple[str, str, bool, str]:
+    """What stands behind an offset, as in _before(), with one word."""
+    right = text[b : b + 24]
+    m = _WORDS.search(right)
+    return right, m.group().lower() if m else "$", bool(m) and m.group()[0].isupper(), right[:1] if not right[:1].isalnum() else "a"
+
+
+def features(text: str, a: int, b: int, kind: str, lex: Lexicon, memo: dict | None = None) -> list[str]:
+    """The features of a segment. memo: keeps what stands around the offsets of one text, which candidates share."""
+    memo = {} if memo is None else memo
+    if (around := memo.get(a)) is None:
+        around = memo[a] = _before(text, a)
+    if (behind := memo.get(~b)) is None:
+        behind = memo[~b] = _behind(text, b)
+    s, (left, p1, p2, upper_before, at), (right, n1, upper_behind, to) = text[a:b], around, behind
+    out = [kind, f"{kind}<{p1}", f"{kind}<{p2} {p1}", f"{kind}>{n1}", f"{kind}<<{at}", f"{kind}>>{to}"]
     if kind == "NAME":
         parts = re.split(r",? ", s)
         low = [w.rstrip(".").lower() for w in parts]
@@ -132,7 +150,7 @@ def features(text: str, a: int, b: int, kind: str, lex: Lexicon) -> list[str]:
         known = _known(s, lex)
         camel = any(re.search(r"[a-z][A-Z]", w) for w in parts)
         side = lambda x: "F" if x in lex.family else "G" if x in lex.given else "n"
-        out += [f"N:{',' in s} after {side(p1) if left[-1:] == ' ' and words[-1][0].isupper() else '-'}", f"N:{',' in s} before {side(n1) if right[:1] == ' ' and n1 != '$' and after[0][0].isupper() else '-'}"]
+        out += [f"N:{',' in s} after {side(p1) if left[-1:] == ' ' and upper_before else '-'}", f"N:{',' in s} before {side(n1) if right[:1] == ' ' and upper_behind else '-'}"]
         out += [f"N:{kinds}", f"N:{known}", f"N:camel{camel}", f"N:common{sum(w in lex.common for w in low)}", f"N:open{min(2, len(parts))}"]
     elif kind == "ADDRESS":
         w = [x.lower().strip(".,") for x in s.split()]
@@ -267,7 +285,10 @@ def fit(texts: list[str]) -> tuple[dict[str, float], Lexicon]:
                     given.update(w.strip(".").lower() for w in re.split(r"[ -]", first) if len(w.strip(".")) > 1)
                     family.update([last.lower(), *([] if "-" not in last else last.lower().split("-"))] if len(last) > 2 else [])
         lex = Lexicon({w for w, n in given.items() if n >= 2 and n >= family[w]}, {w for w, n in family.items() if n >= 2 and n >= given[w]}, common)
-    data = [[(a, b, k, g, features(t, a, b, k, lex)) for (a, b, k), g in known] for t, known in rows]
+    data = []
+    for t, known in rows:
+        memo: dict = {}
+        data.append([(a, b, k, g, features(t, a, b, k, lex, memo)) for (a, b, k), g in known])
     seen = Counter(f for row in data for x in row for f in x[4])
     keep = {f for f, n in seen.most_common(FEATURES) if n >= 2}
     w: dict[str, float] = dict.fromkeys(keep, 0.0)
@@ -307,9 +328,9 @@ def find(text: str, w: dict[str, float], lex: Lexicon) -> list[tuple[int, int, s
         return []
     cand.sort(key=lambda c: (c[1], c[0]))
     ends, best, via = [], [], []  # by end: the best score of a chain that ends with this candidate
-    top, top_at = [], []  # best over all candidates up to here
+    top, top_at, memo = [], [], {}  # best over all candidates up to here
     for i, (a, b, k) in enumerate(cand):
-        s = sum(w.get(f, 0.0) for f in features(text, a, b, k, lex))
+        s = sum(w.get(f, 0.0) for f in features(text, a, b, k, lex, memo))
         # chains that end NEAR or more before it have no transition; those that end closer pay theirs, whatever its sign
         far, close = bisect.bisect_left(ends, a - NEAR), bisect.bisect_right(ends, a)
         before, at = (top[far - 1], top_at[far - 1]) if far and top[far - 1] > 0 else (0.0, -1)
