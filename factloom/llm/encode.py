@@ -14,6 +14,7 @@ import base64
 import functools
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -124,8 +125,8 @@ class Bpe:
         for w, ids in made.items():
             self.words[w] = ids if all(ok[p] for p in zip(ids, ids[1:])) else self.merge(w.encode())
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Token ids of each text; the words of SLICE texts are proposed and verified together."""
+    def _slices(self, texts: list[str]) -> Iterator[list[list[str]]]:
+        """The words of SLICE texts at a time, proposed and verified together, so that self.words has the ids of each."""
         split = _splitter().findall
         for k in range(0, len(texts), SLICE):
             parts = [split(t) for t in texts[k : k + SLICE]]
@@ -136,9 +137,21 @@ class Bpe:
                 self.pairs.clear()
                 fresh = needed
             self.learn(fresh)
+            yield parts
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Token ids of each text."""
+        for parts in self._slices(texts):
+            known = self.words
+            for p in parts:
+                yield np.fromiter(chain.from_iterable(map(known.__getitem__, p)), np.int32)
+
+    def lengths(self, texts: list[str]) -> Iterator[int]:
+        """The number of tokens of each text."""
+        for parts in self._slices(texts):
             known = self.words
             for p in parts:
-                yield np.fromiter((i for w in p for i in known[w]), np.int32)
+                yield sum(map(len, map(known.__getitem__, p)))
 
 
 @functools.lru_cache(1)
@@ -187,8 +200,8 @@ def token_counts(spark: SparkSession, text: Column | str, vocabulary: str | None
         bpe = model(raw.value)
         for texts in batches:
             rows = [t if isinstance(t, str) else "" for t in texts]
-            whole = np.array([len(x) for x in bpe.encode(rows)], dtype=np.int32)
-            asked = np.array([len(x) for x in bpe.encode([t.partition("\n")[0] if t.strip("\n").count("\n") else "" for t in rows])], dtype=np.int32)
+            whole = np.fromiter(bpe.lengths(rows), np.int32, len(rows))
+            asked = np.fromiter(bpe.lengths([t.partition("\n")[0] if "\n" in t.strip("\n") else "" for t in rows]), np.int32, len(rows))
             yield pd.DataFrame({"tokens": whole, "loss": np.maximum(whole - asked, 0)})
 
     counts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
