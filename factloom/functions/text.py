@@ -67,9 +67,9 @@ def half_up(c: Column, places: int) -> Column:
 
 
 def byte_size(c: Column | str) -> Column:
-    """N B below 1,024, else x.y KB."""
+    """N B below 1,024, else x.y KB, ties to the even digit."""
     n = _c(c)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / 1024, 1)), F.lit(" KB")))
 
 
 def preview(c: Column | str, limit: int) -> Column:
@@ -86,7 +86,7 @@ def instant(c: Column | str) -> Column:
 
 def instant_text(c: Column | str) -> Column:
     """A timestamp as ISO instant in UTC: no fraction if it is whole, else 3 or 6 digits of it. The session's time zone must be UTC."""
-    t = _c(c)
+    t = _c(c).cast("timestamp")
     micros = F.pmod(F.unix_micros(t), F.lit(1_000_000))
     tail = F.when(micros == 0, "").when(micros % 1000 == 0, F.format_string(".%03d", (micros / 1000).cast("long"))).otherwise(F.format_string(".%06d", micros))
     return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), tail, F.lit("Z"))

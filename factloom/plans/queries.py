@@ -273,7 +273,7 @@ QUERIES = {
     # streams, over finished logs
     "last_results": lambda s, d: ev.last_results(sessions(s, d)),
     "log_levels": lambda s, d: t(s, d, "documents").groupBy(ev.log_level(ev.log_line("text")).alias("level")).agg(F.count("*").alias("n")),
-    "text_sizes": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", tx.byte_size(F.octet_length("text")).alias("size"), tx.preview("text", 80).alias("shown"), tx.instant_text("created_at").alias("created"), (tx.instant(tx.instant_text("created_at")) == F.col("created_at")).alias("same")),
+    "text_sizes": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", tx.byte_size(F.octet_length("text")).alias("size"), tx.preview("text", 80).alias("shown"), tx.instant_text("created_at").alias("created"), (tx.instant(tx.instant_text("created_at")) == F.col("created_at").cast("timestamp")).alias("same")),
     "agent_progress": lambda s, d: ev.progress_batch(sessions(s, d)),
     "retained_events": lambda s, d: report.retained(t(s, d, "events"), "user_id", "event_id").select("user_id", "event_id"),
 }
