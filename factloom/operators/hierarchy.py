@@ -6,7 +6,7 @@ What a round removes is recorded as a link to the node it hung on. Whatever stil
 core of a circle, on which contraction never ends. Backward, the recorded links are undone pairwise (a link to a removed
 node is replaced by that node's link), which reverses 2^k rounds in k joins.
 
-A round is two aggregations on node numbers (no join), so a parent with millions of children is combined before the shuffle.
+A round is one aggregation of messages on node numbers (no join), so a parent with millions of children is combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, drop_cut, skew_join, trimmed
+from ..common import cut, skew_join, trimmed
 
 
 def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -44,37 +44,41 @@ def contract(links: DataFrame, with_paths: bool = False) -> tuple[DataFrame, Dat
 
     links: (nid, up), up NULL for roots. seg holds the nodes between nid and up that were spliced out before (with_paths), else
     their number is kept in w. kid is the only child of a node that compression removed, NULL for raked ones.
+
+    A live node sends its own row to itself and its number to its parent; a node that is spliced out hands its link to its only child and that child's number to
+    its parent. Messages to nodes that are gone fall away. A child that is raked while its parent is spliced out is counted once more, which delays a round and changes nothing.
     """
-    seg = F.expr("cast(array() as array<bigint>)")
-    live = cut(links.select("nid", "up", F.lit(1).cast("long").alias("w"), *([seg.alias("seg")] if with_paths else [])))
     extra = ["seg"] if with_paths else []
+    state = links.select("nid", "up", F.lit(1).cast("long").alias("w"), *([F.expr("cast(array() as array<bigint>)").alias("seg")] if with_paths else []), F.lit(None).cast("long").alias("kid"), F.lit(0).alias("gone"), F.lit(False).alias("done"))
+    null = F.lit(None).cast("long")
     records, cores, k = [], [], 0
     while True:
-        own = F.struct("up", "w", *extra)
-        mail = live.select(F.col("nid").alias("key"), own.alias("own"), F.lit(None).cast("long").alias("kid"))
-        mail = mail.unionByName(live.where("up is not null").select(F.col("up").alias("key"), F.lit(None).cast(mail.schema["own"].dataType).alias("own"), F.col("nid").alias("kid")))
-        st = mail.groupBy("key").agg(F.max("own").alias("own"), F.count("kid").alias("kids"), F.max("kid").alias("kid"))
-        st = st.select(F.col("key").alias("nid"), "own.*", "kids", "kid")
+        def message(key, own=False, new=False, kid=null):
+            parts = [key.alias("key"), F.lit(True if own else None).cast("boolean").alias("own"), (F.col("up") if own else null).alias("up"), (F.col("w") if own else null).alias("w")]
+            parts += [(F.col("up") if new else null).alias("to"), (F.col("w") if new else null).alias("more"), kid.alias("kid")]
+            if with_paths:
+                none = F.lit(None).cast("array<bigint>")
+                parts += [(F.col("seg") if own else none).alias("seg"), (F.concat("seg", F.array("nid")) if new else none).alias("pre")]
+            return F.struct(*parts)
+
+        node, up, kid = F.col("nid"), F.col("up"), F.col("kid")
+        stays = F.array(message(node, own=True), message(F.coalesce(up, node), kid=F.when(up.isNotNull(), node)))
+        spliced = F.array(message(kid, new=True), message(up, kid=kid))
+        mail = state.where("gone <> 1 and not done").select(F.inline(F.when(F.col("gone") == 0, stays).otherwise(spliced)))
+        st = mail.groupBy("key").agg(*[F.max(c).alias(c) for c in ("own", "up", "w", "to", "more")], F.count("kid").alias("kids"), F.max("kid").alias("kid"), *([F.max("seg").alias("seg"), F.max("pre").alias("pre")] if with_paths else []))
+        cols = [F.col("key").alias("nid"), F.coalesce("to", "up").alias("up"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), "kids", "kid"]
+        if with_paths:
+            cols.append(F.when(F.col("pre").isNull(), F.col("seg")).otherwise(F.concat("pre", "seg")).alias("seg"))
+        st = st.where("own").select(*cols)
         rake = (F.col("kids") == 0) & F.col("up").isNotNull()
         chain = (F.col("kids") == 1) & F.col("up").isNotNull() & (F.col("up") != F.col("nid")) & _coin(F.col("nid"), k) & ~_coin(F.col("up"), k)
-        st = cut(st.withColumn("gone", F.when(rake, F.lit(1)).when(chain, F.lit(2)).otherwise(F.lit(0))))
-        drop_cut(live)
-        records.append(st.where("gone > 0").select("nid", "up", "w", *extra, F.when(F.col("gone") == 2, F.col("kid")).alias("kid")))
-        # a spliced node hands its link to its only child
-        stay = st.where("gone = 0")
-        done = F.col("up").isNull() & (F.col("kids") == 0) | (F.col("up") == F.col("nid")) & (F.col("kids") == 1)
-        cores.append(stay.where(done).select("nid", F.col("up").isNotNull().alias("cyclic")))
-        stay = stay.where(~F.coalesce(done, F.lit(False)))
-        moved = st.where("gone = 2").select(F.col("kid").alias("nid"), F.struct(F.col("up").alias("to"), F.col("w").alias("more"), *([F.concat("seg", F.array("nid")).alias("pre")] if with_paths else [])).alias("new"))
-        both = stay.select("nid", own.alias("own")).withColumn("new", F.lit(None).cast(moved.schema["new"].dataType))
-        both = both.unionByName(moved.withColumn("own", F.lit(None).cast(both.schema["own"].dataType)))
-        nxt = both.groupBy("nid").agg(F.max("own").alias("own"), F.max("new").alias("new")).where("own is not null")
-        cols = [F.coalesce("new.to", "own.up").alias("up"), (F.col("own.w") + F.coalesce("new.more", F.lit(0))).alias("w")]
-        if with_paths:
-            cols.append(F.when(F.col("new").isNull(), F.col("own.seg")).otherwise(F.concat("new.pre", "own.seg")).alias("seg"))
-        live = cut(nxt.select("nid", *cols))
+        done = F.col("up").isNull() & (F.col("kids") == 0) | F.coalesce(F.col("up") == F.col("nid"), F.lit(False)) & (F.col("kids") == 1)
+        st = st.select("nid", "up", "w", *extra, "kid", F.when(rake, F.lit(1)).when(chain, F.lit(2)).otherwise(F.lit(0)).alias("gone"), done.alias("done"))
+        state = cut(st)
+        records.append(state.where("gone > 0").select("nid", "up", "w", *extra, F.when(F.col("gone") == 2, F.col("kid")).alias("kid")))
+        cores.append(state.where("done").select("nid", F.col("up").isNotNull().alias("cyclic")))
         k += 1
-        if live.isEmpty():
+        if state.where("gone = 0 and not done").isEmpty():
             break
     union = lambda dfs: dfs[0] if len(dfs) == 1 else union([a.unionByName(b) for a, b in zip(dfs[::2], dfs[1::2])] + ([dfs[-1]] if len(dfs) % 2 else []))
     return cut(union(records)), cut(union(cores)), k
