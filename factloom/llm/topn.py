@@ -3,8 +3,9 @@
 Every row gets one order-preserving number from its score and its identifier (higher is better, no two rows of a group are
 equal). All groups then narrow an interval of that number at once: a round counts, for each open group, the rows above each
 of FAN - 1 midpoints and keeps the part in which the N-th best row lies. A group closes as soon as a midpoint leaves exactly
-N rows above it. Rows are never sorted and no group is gathered: the only things shuffled are counts per (group, part), combined
-before the shuffle, so a group of any size costs as much as the same rows in small groups.
+N rows above it. Rows are never sorted and no group is gathered: what is counted are rows per (group, part), combined
+before the shuffle, so a group of any size costs as much as the same rows in small groups. A round reads only the rows that the one before left in an
+open interval, so after the first round hardly any are left.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ def cutoffs(rows: DataFrame, n: int) -> DataFrame:
     state = state.where(F.col("count") > n).select("g", "lo", "hi", F.lit(n).cast("long").alias("need"))
     whole = kind.typeName() == "long"
     step = F.expr(f"(hi - lo) div {FAN} + 1" if whole else f"cast(ceil((hi - lo + 1) / {FAN}) as {WIDE})")
+    inner = False
     while not state.isEmpty():
         state = cut(state.withColumn("step", step))
-        live = skew_join(rows.select("g", "code"), state, "g", hot=hot).where("code between lo and hi")
+        live = cut(skew_join(rows.select("g", "code"), state, "g", hot=hot).where("code between lo and hi"))
+        drop_cut(rows) if inner else None
+        rows, inner = live, True
         if whole:
             live = live.withColumn("part", F.expr("cast((code - lo) div step as int)"))
         else:  # a decimal quotient may round up to the next part
@@ -42,7 +46,6 @@ def cutoffs(rows: DataFrame, n: int) -> DataFrame:
         at = counts.withColumn("above", above).where("above >= need and above - k < need")
         low = (F.col("lo") + F.col("part").cast(kind) * F.col("step")).cast(kind)
         nxt = cut(at.select("g", low.alias("lo"), F.least(F.col("hi"), (low + F.col("step") - 1).cast(kind)).alias("hi"), (F.col("need") - (F.col("above") - F.col("k"))).alias("need"), ((F.col("above") == F.col("need")) | (F.col("step") == 1)).alias("exact")))
-        drop_cut(state)
         closed = closed.unionByName(nxt.where("exact").select("g", F.col("lo").alias("cutoff")))
         state = nxt.where("not exact").drop("exact")
     return cut(closed)
