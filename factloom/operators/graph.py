@@ -44,22 +44,24 @@ def simple_paths(entries: DataFrame, edges: DataFrame, goals: DataFrame, depth:
 
     entries(entry_id, method_id); edges from links(); goals(id, goal_ord, goal): a node's goals are few. A state is kept while the goals
     of the entry's states before it, in order of (depth, edge ordinals), number less than `per_entry` (all goals of a kept state stay, so an
-    entry may exceed it, as in the reference). Pruning by distance loses nothing: only nodes that reach a goal in the hops left are visited.
+    entry may exceed it, as in the reference). Two prunings lose nothing: only nodes that reach a goal in the hops left are visited; and a state goes if `per_entry` others of its entry
+    are sure to reach goals of their own before any that it can reach, so the states of a round number about per_entry x fan-out however many paths there are.
     """
     near = cut(reverse_reach(edges, goals.select("id"), depth))
     at = cut(goals.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("goal_ord", "goal"))).alias("goals")))
     e = cut(edges.join(near.select(F.col("id").alias("to_id"), "hops"), "to_id"))
     hot = hot_keys(e.groupBy("from_id").count(), "from_id")
     strings = F.expr("cast(array() as array<string>)")
-    state = ["entry_id", "at", "path", "ords", "resolutions"]
-    front = entries.join(near, entries.method_id == near.id).select("entry_id", F.col("method_id").alias("at"), F.array("method_id").alias("path"), F.expr("cast(array() as array<int>)").alias("ords"), strings.alias("resolutions"))
+    # low: the least number of hops to a goal of the nodes before; a shortest way on from a node of fewer hops than that meets none of them
+    state = ["entry_id", "at", "path", "ords", "resolutions", "hops", "low"]
+    front = entries.join(near, entries.method_id == near.id).select("entry_id", F.col("method_id").alias("at"), F.array("method_id").alias("path"), F.expr("cast(array() as array<int>)").alias("ords"), strings.alias("resolutions"), "hops", F.lit(depth + 1).alias("low"))
     hits: list[DataFrame] = []
     most_so_far = 0  # no entry has more goals than this yet
     for k in range(depth + 1):
         front = cut(front.join(at, front["at"] == at["id"], "left").select(*state, "goals"))
         hit = front.where("goals is not null").select("entry_id", F.lit(k).alias("depth"), "path", "ords", "resolutions", "goals")
         hits.append(hit)
-        size = front.groupBy("entry_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("goals").isNotNull(), F.size("goals")).otherwise(0)).alias("g")).agg(F.sum("n"), F.max("g")).first()
+        size = front.groupBy("entry_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("goals").isNotNull(), F.size("goals")).otherwise(0)).alias("g")).agg(F.sum("n"), F.max("g"), F.max("n")).first()
         if not size[0] or k == depth:
             break
         most_so_far += size[1]
@@ -67,9 +69,17 @@ def simple_paths(entries: DataFrame, edges: DataFrame, goals: DataFrame, depth:
             # entries that have their share already are not searched any further
             full = _union(hits).groupBy("entry_id").agg(F.sum(F.size("goals")).alias("g")).where(F.col("g") >= per_entry)
             front = front.join(full, "entry_id", "left_anti")
-        step = e.select(F.col("from_id").alias("at"), "to_id", "edge_ord", "resolution", "hops").where(F.col("hops") <= depth - k - 1)
+        if per_entry and size[2] > per_entry:
+            when = F.struct("hops", "ords")  # all states have one depth: when a state's first goal can come
+            sure = front.where("hops <= low").withColumn("_n", F.row_number().over(Window.partitionBy("entry_id").orderBy("hops", "ords")))
+            bound = sure.where(F.col("_n") == per_entry).select("entry_id", when.alias("_bound"))
+            front = front.join(bound, "entry_id", "left").where(F.col("_bound").isNull() | (when <= F.col("_bound"))).drop("_bound")
+        step = e.select(F.col("from_id").alias("at"), "to_id", "edge_ord", "resolution", F.col("hops").alias("next")).where(F.col("next") <= depth - k - 1)
         j = skew_join(step, front.drop("goals"), "at", hot=hot).where(~F.array_contains("path", F.col("to_id")))
-        front = j.select("entry_id", F.col("to_id").alias("at"), F.concat("path", F.array("to_id")).alias("path"), F.concat("ords", F.array(F.col("edge_ord").cast("int"))).alias("ords"), F.concat("resolutions", F.array("resolution")).alias("resolutions"))
+        front = j.select(
+            "entry_id", F.col("to_id").alias("at"), F.concat("path", F.array("to_id")).alias("path"), F.concat("ords", F.array(F.col("edge_ord").cast("int"))).alias("ords"), F.concat("resolutions", F.array("resolution")).alias("resolutions"),
+            F.col("next").alias("hops"), F.least("low", "hops").alias("low"),
+        )
     out = _union(hits)
     if per_entry and most_so_far >= per_entry:
         order = Window.partitionBy("entry_id").orderBy("depth", "ords", "path")

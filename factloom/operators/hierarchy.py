@@ -24,6 +24,13 @@ def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
     return e.where("child <> '' and parent <> ''").groupBy("child").agg(F.min("parent").alias("parent"))
 
 
+def other_parents(edges: DataFrame, parent: str = "from_id", child: str = "to_id") -> DataFrame:
+    """(child, parent), distinct: the links that parent_links() leaves out because the child has a smaller parent. Empty where every child has one."""
+    e = edges.select(trimmed(child).alias("child"), trimmed(parent).alias("parent")).where("child <> '' and parent <> ''").distinct()
+    several = e.groupBy("child").agg(F.min("parent").alias("kept"), F.count("*").alias("n")).where("n > 1").select("child", "kept")
+    return skew_join(e, several, "child").where("parent <> kept").select("child", "parent")
+
+
 def _numbered(links: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """names(nid, id) and numbered links (nid, up): long numbers instead of long strings travel in the rounds."""
     ids = links.select(F.col("child").alias("id")).unionByName(links.select(F.col("parent").alias("id")))

@@ -216,6 +216,7 @@ QUERIES = {
     "p4_found": lambda s, d: hi.cycles(t(s, d, "call_edges")),
     "p4_tree": lambda s, d: hi.hierarchy(t(s, d, "call_edges"), nodes=t(s, d, "methods").select("id")).fillna(-1, ["depth"]),
     "p4_descendants": lambda s, d: hi.descendants(hi.hierarchy(t(s, d, "call_edges"), nodes=t(s, d, "methods").select("id"))),
+    "other_parents": lambda s, d: hi.other_parents(t(s, d, "call_edges")),
     # scans
     "java_methods": lambda s, d: jf.methods(parsed(s, d)).select("id", "class_name", "method_name", "parameter_count", "file_path", "start_line", "end_line", "signature"),
     "java_calls": lambda s, d: jf.calls(parsed(s, d)).select("method_id", "call_ord", "method_name", "receiver", "receiver_type", "argument_count", "line"),
@@ -385,6 +386,7 @@ c AS (SELECT id FROM a WHERE id = up)
 SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP BY a.id""",
     "p4_tree": _TREE + "SELECT n.id, w.root, coalesce(w.depth, -1) AS depth, w.path, w.id IS NULL AS cyclic FROM n LEFT JOIN w ON w.id = n.id",
     "p4_descendants": _TREE + "SELECT x AS id, id AS descendant, CAST(depth - i + 1 AS INT) AS distance FROM (SELECT id, depth, unnest(path) AS x, generate_subscripts(path, 1) AS i FROM w) WHERE i <= depth",
+    "other_parents": f"WITH e AS (SELECT DISTINCT {_T} AS child, {_F} AS parent FROM call_edges WHERE {_F} <> '' AND {_T} <> '') SELECT child, parent FROM e WHERE parent <> (SELECT min(parent) FROM e x WHERE x.child = e.child)",
     "properties_templates": f"""WITH {_FILES}, {_LINES}, kv AS (SELECT path, regexp_extract(line, '{_PATHREGEX}', 1) AS key, regexp_replace(regexp_extract(line, '{_PATHREGEX}', 2), '^\\s+|\\s+$', '', 'g') AS v FROM ln)
         SELECT path AS config_file, key, v AS template_value, regexp_extract_all(v, '\\$\\{{([^}}]+)\\}}', 1) AS placeholders FROM kv WHERE key <> '' AND contains(v, '${{') AND {_ISCMD}""",
     "mapper_statements": f"""WITH {_FILES}, {_MAPPERS} SELECT path AS file_path, mapper, statement_id, snippet FROM ms""",

@@ -32,7 +32,7 @@ def queue_search(edges, goals, start, depth, cap):
     return out
 
 
-@pytest.mark.parametrize("seed,cap", [(1, 200), (2, 3), (3, 2)])
+@pytest.mark.parametrize("seed,cap", [(1, 200), (2, 3), (3, 2), (7, 1), (8, 2)])
 def test_candidate_paths_equal_the_queue(spark, seed, cap):
     n, edges, sinks = random_graph(seed)
     e = spark.createDataFrame(edges, "from_id string, to_id string, edge_ord int, resolution string")
@@ -43,6 +43,17 @@ def test_candidate_paths_equal_the_queue(spark, seed, cap):
     assert got == want
 
 
+def test_candidate_paths_where_paths_explode(spark):
+    """10 layers of 6 nodes, all joined to the next, and goals only at the end: 6 ** 10 simple paths, of which the first 7 in order are wanted."""
+    layers, width = 10, 6
+    edges = [(f"l{k}n{i}", f"l{k + 1}n{j}", j, "same-class") for k in range(layers) for i in range(width) for j in range(width)]
+    e = spark.createDataFrame(edges, "from_id string, to_id string, edge_ord int, resolution string")
+    s = spark.createDataFrame([("s", f"l{layers}n{i}", i, "A") for i in range(width)], "id string, method_id string, sink_ord int, category string")
+    got = [tuple(r.path) for r in g.candidate_paths(spark.createDataFrame([("e", "l0n2")], "entry_id string, method_id string"), e, s, depth=12, per_entry=7).collect()]
+    first = lambda a, b: ("l0n2", *(f"l{k}n0" for k in range(1, layers - 1)), f"l{layers - 1}n{a}", f"l{layers}n{b}")
+    assert sorted(got) == sorted([first(0, b) for b in range(6)] + [first(1, 0)])
+
+
 def test_reverse_reach_bounds_and_blanks(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", ""), (None, "d"), ("d", "b")], "from_id string, to_id string")
     t = spark.createDataFrame([("d",), ("",), (None,)], "id string")

@@ -75,3 +75,9 @@ def test_nodes_without_links_and_descendants(spark):
     assert set(rows) == {"a", "b", "c", "lone"} and rows["lone"].depth == 0
     d = {(r.id, r.descendant, r.distance) for r in h.descendants(t).collect()}
     assert d == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_links_that_are_left_out_are_told(spark):
+    d = frame(spark, [("b", "x"), ("a", "x"), ("a ", "x"), ("c", "x"), ("a", "y"), (None, "y"), ("a", "y")])
+    assert {(r.child, r.parent) for r in h.other_parents(d).collect()} == {("x", "b"), ("x", "c")}
+    assert h.other_parents(d.limit(0)).count() == 0
