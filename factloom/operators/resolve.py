@@ -22,7 +22,7 @@ CONFIG_CALLS = ["@Value", "@ConfigurationProperties", "environment.getProperty"]
 
 def closure(pairs: DataFrame) -> DataFrame:
     """G1: transitive (parent, child) of (parent, child), cycle safe; NULL ends link nothing. Doubling: k joins reach 2^k levels."""
-    all_ = cut(pairs.where("parent is not null and child is not null").distinct())
+    all_ = cut(pairs.where("parent is not null and child is not null").select("parent", "child").distinct())
     n = all_.count()
     while True:
         step = all_.select(F.col("parent").alias("child"), F.col("child").alias("further"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import skew_join
+from ..common import scratch_root, skew_join
 from ..common import table as t
 from ..common import trimmed
 from ..functions import text as tx
@@ -21,6 +23,8 @@ from . import pipeline
 _CALL = r"^(?:([\w$.]+)\.)?([\w$]+)\((.*)\)$"
 #: The file in a method id.
 _AT = r"@(.*):\d+:\d+$"
+#: Strings and characters of Java.
+_STRINGS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\])'"
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
@@ -138,6 +142,37 @@ def q_unresolved(s, d):
     return _resolved(s, d)[1]
 
 
+def _matching(s, d):
+    """The Java files that still hold the text of every method that the given index has of them (the index keeps 400 characters of each), with as many braces that open as close."""
+    m = methods(s, d).select(tx.unix_path("file_path").alias("path"), "signature").where(F.col("path").endswith(".java") & F.col("signature").isNotNull())
+    f = files(s, d).withColumn("flat", F.regexp_replace("content", r"\s+", " "))
+    held = m.join(f, "path").groupBy("path").agg(F.bool_and(F.contains("flat", F.col("signature"))).alias("all")).where("all")
+    code = F.regexp_replace("content", _STRINGS, "")
+    even = F.length(F.replace(code, F.lit("{"), F.lit(""))) == F.length(F.replace(code, F.lit("}"), F.lit("")))
+    return files(s, d).where(even).join(held.select("path"), "path", "left_semi")
+
+
+def q_indexed(s, d):
+    return jf.methods(jf.parse_files(_matching(s, d))).select("class_name", "method_name", "parameter_count", "parameter_names", "file_path", "start_line", "end_line", "signature")
+
+
+def q_indexed_entries(s, d):
+    return disc.discover(jf.parse_files(_matching(s, d))).select("protocol", F.array_join("operations", ",").alias("operations"), "route", "class_name", "method_name", "file_path", "framework", "discovery_source", "confidence")
+
+
+def q_implementations(s, d):
+    pairs = jf.implementations(parsed(s, d)).select(F.struct(tx.project_of("file_path").alias("pj"), F.col("parent").alias("cls")).alias("parent"), F.struct(tx.project_of("file_path").alias("pj"), F.col("child").alias("cls")).alias("child"))
+    return resolve.closure(pairs).select(F.col("parent.pj").alias("project"), F.col("parent.cls").alias("parent"), F.col("child.cls").alias("child"))
+
+
+def q_restored(s, d):
+    """The findings as they come back from JSON."""
+    f = findings(s, d)
+    folder = f"{scratch_root(s)}/factloom-facts-{uuid.uuid4().hex}"
+    report.write_facts({"findings": f.select("ord", "rule_id", "file_path", "start_line", "verdict", "confidence", "severity")}, folder)
+    return report.restore(s, folder, "ord bigint, rule_id string, file_path string, start_line int, verdict string, confidence double, severity string")
+
+
 def q_mapper_sinks(s, d):
     """J5 over the call edges, the class of the callee as the receiver's type."""
     c = calls(s, d).withColumn("receiver_type", F.col("callee_class"))
@@ -220,7 +255,9 @@ QUERIES = {
     # scans
     "java_methods": lambda s, d: jf.methods(parsed(s, d)).select("id", "class_name", "method_name", "parameter_count", "file_path", "start_line", "end_line", "signature"),
     "java_calls": lambda s, d: jf.calls(parsed(s, d)).select("method_id", "call_ord", "method_name", "receiver", "receiver_type", "argument_count", "line"),
-    "java_implementations": lambda s, d: resolve.closure(jf.implementations(parsed(s, d))),
+    "java_implementations": q_implementations,
+    "indexed_methods": q_indexed,
+    "indexed_entries": q_indexed_entries,
     "java_diagnostics": lambda s, d: jf.diagnostics(parsed(s, d), most=None),
     "entry_points": lambda s, d: disc.discover(parsed(s, d)),
     "interface_inventory": lambda s, d: disc.inventory(disc.discover(parsed(s, d))),
@@ -262,6 +299,7 @@ QUERIES = {
     "paths_by_category": lambda s, d: paths(s, d).groupBy("category").agg(F.count("*").alias("n")),
     "worst_findings": lambda s, d: report.by_severity(findings(s, d)).limit(100).select("ord", "severity", "confidence"),
     "first_candidates": lambda s, d: report.by_priority(paths(s, d).where("call_depth >= 0")).limit(100).select("path_id", "static_confidence", "call_depth"),
+    "restored_findings": q_restored,
     "best_findings": lambda s, d: report.dedup_findings(findings(s, d)).select("ord", "rule_id", "file_path", "start_line", "verdict", "confidence"),
     "finding_stats": lambda s, d: report.finding_stats(findings(s, d)),
     "attack_chains": lambda s, d: _chain_columns(report.attack_chains(findings(s, d).withColumn("repo", F.substring_index("file_path", "/", 1)), group=["repo"])),
@@ -346,6 +384,9 @@ _LINES = r"ln AS (SELECT path, i AS line_no, string_split_regex(content, '\r\n|\
 _ISCMD = "(" + " OR ".join(f"contains(lower(v), '{w}')" for w in scanners.COMMANDS) + ")"
 _ENTRY = r"sha256(coalesce(upper(category), '') || chr(10) || '[' || api || ']' || chr(10) || code || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 1) || chr(10) || regexp_extract(method_id, '^([^#]*)#([^/]*)/', 2) || chr(10) || " + _UNIX.format("file_path") + ")"
 
+_CODE = "regexp_replace(content, '" + _STRINGS.replace("'", "''") + "', '', 'g')"
+_MATCHING = f"""mj AS (SELECT * EXCLUDE (file_path), {_UNIX.format('file_path')} AS path FROM m WHERE signature IS NOT NULL AND file_path LIKE '%.java'),
+ok AS (SELECT mj.path FROM mj JOIN f ON f.path = mj.path GROUP BY 1 HAVING bool_and(contains(regexp_replace(content, '\\s+', ' ', 'g'), signature)) AND bool_and(length(replace({_CODE}, '{{', '')) = length(replace({_CODE}, '}}', ''))))"""
 _MAPPERS = "sm AS (" + " UNION ALL ".join(
     f"""SELECT path, regexp_extract(regexp_extract(content, '(?i)<mapper\\s+namespace\\s*=\\s*"([^"]+)"', 1), '([^.]*)$', 1) AS mapper, regexp_extract_all(content, '(?i)<{w}\\s+[^>]*id\\s*=\\s*"([^"]+)"[^>]*>((?s:.)*?)</{w}>', 1) AS ids,
     regexp_extract_all(content, '(?i)<{w}\\s+[^>]*id\\s*=\\s*"([^"]+)"[^>]*>((?s:.)*?)</{w}>', 2) AS bodies, regexp_extract_all(content, '(?i)(<{w}\\s+[^>]*id\\s*=\\s*"([^"]+)"[^>]*>((?s:.)*?)</{w}>)', 1) AS wholes, content FROM f WHERE path LIKE '%.xml' AND regexp_matches(content, '(?i)<mapper\\s+namespace\\s*=\\s*"([^"]+)"')"""
@@ -392,6 +433,17 @@ SELECT a.id, min(a.up) AS cycle_id FROM a WHERE a.up IN (SELECT id FROM c) GROUP
     "mapper_statements": f"""WITH {_FILES}, {_MAPPERS} SELECT path AS file_path, mapper, statement_id, snippet FROM ms""",
     "mapper_sinks": f"""WITH {_FILES}, {_MAPPERS}, {_CALLS}, one AS (SELECT split_part(path, '/', 1) AS pj, mapper, statement_id, arg_max(snippet, struct_pack(p := path, at := place)) AS code FROM ms GROUP BY 1, 2, 3)
         SELECT DISTINCT method_id, c.file_path, line, 'MyBatis ${{}}:' || expression AS api, one.code FROM c JOIN one ON one.mapper = c.callee_class AND one.statement_id = c.method_name AND one.pj = c.pj""",
+    "indexed_methods": f"""WITH {_FILES}, {_METHODS}, {_MATCHING}
+        SELECT class_name, method_name, parameter_count, parameter_names, mj.path AS file_path, start_line, end_line, signature FROM mj WHERE path IN (SELECT path FROM ok)""",
+    "indexed_entries": f"""WITH {_FILES}, {_METHODS}, {_MATCHING}, {_LINES}, q AS (SELECT path, line_no, trim(line) AS line FROM ln WHERE path IN (SELECT path FROM ok) AND trim(line) <> ''),
+        g AS (SELECT *, count(*) FILTER (WHERE line NOT LIKE '@%') OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM q),
+        an AS (SELECT path, grp, list(struct_pack(name := regexp_extract(line, '^@(\\w+)', 1), args := regexp_extract(line, '^@\\w+\\((.*)\\)$', 1)) ORDER BY line_no) AS a FROM g WHERE line LIKE '@%' GROUP BY 1, 2),
+        mt AS (SELECT an.path AS file_path, regexp_extract(line, '(\\w+)\\s*\\([^()]*\\)[^()]*$', 1) AS method_name, regexp_extract(an.path, '([^/]*)[.]java$', 1) AS class_name, a FROM an JOIN g ON g.path = an.path AND g.grp = an.grp WHERE line NOT LIKE '@%' AND contains(line, '(') AND contains(line, '{{')),
+        ht AS (SELECT *, list_filter(a, lambda x: x.name IN ('GetMapping', 'PostMapping', 'PutMapping', 'DeleteMapping', 'PatchMapping')) AS h, list_filter(a, lambda x: x.name IN ('Scheduled', 'Async', 'EventListener', 'KafkaListener', 'JmsListener', 'RabbitListener')) AS t FROM mt)
+        SELECT 'HTTP' AS protocol, array_to_string(list_transform(h, lambda x: upper(replace(x.name, 'Mapping', ''))), ',') AS operations, CASE WHEN regexp_extract(h[1].args, '"(/[^"]*)"', 1) = '' THEN '/' ELSE regexp_extract(h[1].args, '"(/[^"]*)"', 1) END AS route, class_name, method_name, file_path,
+          'annotation-based' AS framework, 'annotated-http' AS discovery_source, 'HIGH' AS confidence FROM ht WHERE len(h) > 0
+        UNION ALL SELECT CASE t[1].name WHEN 'Scheduled' THEN 'scheduled' WHEN 'Async' THEN 'async' WHEN 'EventListener' THEN 'event' ELSE 'message' END, t[1].name, t[1].args, class_name, method_name, file_path, 'spring-async', 'async-trigger', 'HIGH' FROM ht WHERE len(t) > 0""",
+    "restored_findings": f"WITH {_FINDINGS} SELECT ord, rule_id, file_path, start_line, verdict, confidence, severity FROM fi",
     "source_lines": f"WITH {_FILES}, {_LINES} SELECT path, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '^\\s*$')) AS blank FROM ln GROUP BY 1",
     "declared_parents": f"WITH {_FILES}, {_PARENTS} SELECT file_path, parent, child FROM im",
     # the rules are stated here once more, in words of their own
