@@ -53,7 +53,7 @@ def _exact(lang: str, text: str) -> int | None:
 def verdict(lang: str, text: str) -> tuple[int, str | None, int | None]:
     """(edit cost, cause, line of the first edit); cost 0 for texts that parse. Where an exact parser can tell, it decides: what it alone rejects costs one edit at its line.
 
-    cause: conflict (edits between or at conflict marks), mismatch (several edits, more than one for four lines, or many from the first
+    cause: conflict (edits between conflict marks, or within two lines of one), mismatch (several edits, more than one for four lines, or many from the first
     lines on), truncation (all edits at the end), else damage.
     """
     tokens = grammars.LANGUAGES[lang][2](text)
@@ -66,7 +66,7 @@ def verdict(lang: str, text: str) -> tuple[int, str | None, int | None]:
     lines = text.count("\n") + 1
     first = min((n for _, n in edits), default=1)
     marks = [text.count("\n", 0, m.start()) + 1 for m in _CONFLICT.finditer(text)]
-    if marks and any(marks[0] - 1 <= n <= marks[-1] + 1 for _, n in edits):
+    if marks and any(marks[0] - 2 <= n <= marks[-1] + 2 for _, n in edits):
         cause = "conflict"
     elif cost * 4 > lines and cost > chart.MOST_EDITS // 2 or cost >= chart.MOST_EDITS and first <= 3:
         cause = "mismatch"
